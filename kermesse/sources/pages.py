@@ -97,18 +97,21 @@ def accept_events(
     rejects = (
         exploded.filter("unreadable").groupBy("agenda_uid").agg(F.count("*").alias("bad_pages"))
     )
-    tags = listed.join(rejects, "agenda_uid", "left_anti")
-    events = (
-        exploded.filter(~F.col("unreadable"))
-        .join(tags, "agenda_uid")
-        .select(
-            "e.*",
-            "agenda_uid",
-            F.coalesce("agenda_title", F.lit(default_title)).alias("agenda_title"),
-            *INGEST_ORDER,
-        )
+    readable = listed.join(rejects, "agenda_uid", "left_anti")
+    events = tag_events(
+        exploded.filter(~F.col("unreadable")), readable, default_title=default_title
+    )
+    return EventImport(
+        events.select("e.*", "agenda_uid", "agenda_title", *INGEST_ORDER), rejects
     )
-    return EventImport(events, rejects)
+
+
+def tag_events(
+    events: DataFrame, listed: DataFrame, *, default_title: str = DEFAULT_AGENDA_TITLE
+) -> DataFrame:
+    """Events of the listed agendas with their agenda's title and place in the listing."""
+    tags = listed.withColumn("agenda_title", F.coalesce("agenda_title", F.lit(default_title)))
+    return events.join(tags, "agenda_uid")
 
 
 def _cutoff(as_of: dt.date, months: int) -> Column:
