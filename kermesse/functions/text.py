@@ -66,10 +66,14 @@ def labelled_text(
     parts = []
     for label, value in pairs:
         text = value.cast("string")
-        stripped = valid_text(text)
-        shown = stripped if strip_values else text
-        test = empty_to_null(text) if blank_is_value else stripped
-        parts.append(F.when(test.isNotNull(), F.concat(F.lit(f"{label} : "), shown)))
+        if strip_values:
+            cell = valid_text(text)
+        elif blank_is_value:
+            cell = empty_to_null(text)
+        else:
+            cell = F.when(valid_text(text).isNotNull(), text)
+        # A null cell makes its whole part null, and concat_ws skips it.
+        parts.append(F.concat(F.lit(f"{label} : "), cell))
     return F.concat_ws(separator, *parts)
 
 

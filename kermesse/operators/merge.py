@@ -22,6 +22,7 @@ from kermesse.functions.missing import comparison_key, is_missing, present
 from kermesse.functions.text import valid_text
 
 OLDEST = -(2**63) + 1
+LONG_KEY = 64
 
 
 def _age_rank(c: Column, dtype: T.DataType) -> Column:
@@ -39,6 +40,18 @@ def _age_rank(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(micros, F.lit(OLDEST))
 
 
+def _group_key(c: Column) -> Column:
+    """Text that is never null, so that both sides of the join keep the aggregations' partitioning.
+
+    A long key (a whole text) is shuffled as its SHA-256.
+    """
+    return (
+        F.when(c.isNull(), F.lit("null"))
+        .when(F.length(c) > LONG_KEY, F.concat(F.lit("#"), F.sha2(c, 256)))
+        .otherwise(F.concat(F.lit("="), c))
+    )
+
+
 def merge_by_key(
     df: DataFrame,
     key: str,
@@ -48,6 +61,7 @@ def merge_by_key(
     base_only: Sequence[str] = (),
     gather: Mapping[str, str] | None = None,
     gather_text: Mapping[str, str] | None = None,
+    normalised: bool = False,
 ) -> DataFrame:
     """One row per key; null keys form one group.
 
@@ -55,7 +69,8 @@ def merge_by_key(
     columns, ascending, among rows equally new; without any, a hash of the row decides, so the
     result never depends on partitioning. `base_only`: columns taken from the newest row even
     when missing there. `gather` / `gather_text`: new list column -> source column whose distinct
-    values (distinct stripped texts) are listed newest first.
+    values (distinct stripped texts) are listed newest first. `normalised`: missing values of
+    whole columns are null already.
     """
     if key not in df.columns:
         raise ValueError(f"key column {key!r} is missing")
@@ -74,9 +89,7 @@ def merge_by_key(
     forward = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
     backward = [-newest, *[F.greatest(t, F.lit(OLDEST)) for t in ties]]
 
-    # A key that is never null lets both sides of the join keep the aggregations' partitioning.
-    safe_key = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
-    work = df.select("*", safe_key.alias("_key"))
+    work = df.select("*", _group_key(F.col(key).cast("string")).alias("_key"))
 
     lists = [n for n in values if isinstance(types[n], T.ArrayType) and n not in base_only]
     maps = [n for n in values if isinstance(types[n], T.MapType) and n not in base_only]
@@ -97,8 +110,8 @@ def merge_by_key(
             filled = F.struct(*[F.col(f"`{n}.{f.name}`").alias(f.name) for f in dtype.fields])
             shape[n] = present(filled, dtype)
         else:
-            seen = F.when(~is_missing(c, dtype), F.col("_rank"))
-            aggs.append(F.max_by(c, seen).alias(n))
+            absent = c.isNull() if normalised else is_missing(c, dtype)
+            aggs.append(F.max_by(c, F.when(~absent, F.col("_rank"))).alias(n))
     plain = work.withColumn("_rank", rank).groupBy("_key").agg(*aggs)
 
     items = _distinct_items(work, types, lists, maps, gather, gather_text, forward, backward)
@@ -160,39 +173,34 @@ def _distinct_items(
         return None
 
     targets = list(sources)
+    # The type all items share: one field per target, only the item's own one set.
     value_type = T.StructType(
         [T.StructField(f"v{j}", sources[t][0]) for j, t in enumerate(targets)]
-    )
-    row_type = value_type.simpleString()
+    ).simpleString()
 
     def tagged(j: int) -> Column:
-        _, array, ranks = sources[targets[j]]
-        return F.transform(
-            array,
-            lambda x: F.struct(
-                F.lit(j).alias("c"),
-                x["k"].alias("k"),
-                F.struct(
-                    *[r.alias(f"o{m}") for m, r in enumerate(ranks)], (-x["i"]).alias("i")
-                ).alias("r"),
-                F.struct(
-                    *[
-                        (x["v"] if m == j else F.lit(None)).cast(sources[t][0]).alias(f"v{m}")
-                        for m, t in enumerate(targets)
-                    ]
-                )
-                .cast(row_type)
-                .alias("v"),
-            ),
-        )
-
-    empty = F.array()
-    every = F.concat(*[F.coalesce(tagged(j), empty) for j in range(len(targets))])
-    distinct = (
-        work.select("_key", F.explode(every).alias("x"))
-        .groupBy("_key", F.col("x.c").alias("c"), F.col("x.k").alias("k"))
+        def item(x: Column) -> Column:
+            cells = [x["v"] if m == j else F.lit(None) for m in range(len(targets))]
+            value = F.struct(*[v.alias(f"v{m}") for m, v in enumerate(cells)]).cast(value_type)
+            return F.struct(
+                F.lit(j).alias("c"), x["k"].alias("k"), x["i"].alias("i"), value.alias("v")
+            )
+
+        return F.transform(sources[targets[j]][1], item)
+
+    every = F.concat(*[F.coalesce(tagged(j), F.array()) for j in range(len(targets))])
+    backwards = [j for j, t in enumerate(targets) if sources[t][2] is backward]
+    ranks = [
+        (F.when(F.col("x.c").isin(*backwards), b).otherwise(f) if backwards else f).alias(f"o{m}")
+        for m, (f, b) in enumerate(zip(forward, backward))
+    ]
+    exploded = work.select("*", F.explode(every).alias("x")).select(
+        "_key", "x.c", "x.k", "x.v", F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r")
+    )
+    distinct = exploded.groupBy("_key", "c", "k").agg(
         # Place of the first sight, value of the last one.
-        .agg(F.max("x.r").alias("r"), F.min_by("x.v", "x.r").alias("v"))
+        F.max("r").alias("r"),
+        F.min_by("v", "r").alias("v"),
     )
     gathered = distinct.groupBy("_key").agg(
         *[

@@ -104,6 +104,15 @@ def embed_table(
     text: str = "chunk_text",
     keep: Sequence[str] = ("chunk_id", "uid"),
     batch_size: int = EMBED_BATCH,
+    spread_by: str | None = None,
 ) -> DataFrame:
-    """The kept columns and `embedding`."""
+    """The kept columns and `embedding`.
+
+    A model costs far more than a shuffle. Where the texts may sit in few partitions or one long
+    document holds many of them, `spread_by` names a near-unique column to spread them by; the
+    partition count is fixed so that small data is spread too.
+    """
+    if spread_by is not None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.select(*keep, text).repartition(partitions, spread_by)
     return df.select(*keep, embed(F.col(text), factory, batch_size=batch_size).alias("embedding"))

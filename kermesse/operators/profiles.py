@@ -32,6 +32,15 @@ def duplicate_profile(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     )
 
 
+def _comparable(c: Column, dtype: T.DataType) -> Column:
+    """A value in a type that orders, equal where comparison keys are; null where it is blank."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(c), c)
+    if isinstance(dtype, (T.NumericType, T.DatetimeType, T.BooleanType)):
+        return c
+    return empty_to_null(comparison_key(c, dtype))
+
+
 def conflict_profile(
     df: DataFrame, keys: str | Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
@@ -43,12 +52,7 @@ def conflict_profile(
     keys = [keys] if isinstance(keys, str) else list(keys)
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in (columns or df.columns) if c not in keys]
-    cells = []
-    for n in columns:
-        c, dtype = F.col(f"`{n}`"), types[n]
-        if isinstance(dtype, (T.FloatType, T.DoubleType)):
-            c = F.nullif(c, F.lit(float("nan")).cast(dtype))
-        cells.append(empty_to_null(comparison_key(c, dtype)))
+    cells = [_comparable(F.col(f"`{n}`"), types[n]) for n in columns]
     per_key = (
         df.dropna(subset=keys)
         .groupBy(*_key(keys))

@@ -32,8 +32,15 @@ def unit_vector(v: Column) -> Column:
     """Vector over its Euclidean length, as array<float>; a zero vector stays as it is."""
     wide = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(wide, lambda x: (x / norm).cast("float"))
-    return F.when(norm > 0, unit).otherwise(v.cast("array<float>"))
+
+    def scaled(n: Column) -> Column:
+        return F.when(n > 0, F.transform(wide, lambda x: (x / n).cast("float"))).otherwise(
+            v.cast("array<float>")
+        )
+
+    # Through a one-item array the norm is a bound variable. Named directly inside the lambda, it
+    # would be computed again for every element.
+    return F.get(F.transform(F.array(norm), scaled), F.lit(0))
 
 
 def normalise_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -20,6 +20,7 @@ from kermesse.operators.columns import drop_constant, existing
 from kermesse.operators.merge import merge_by_key
 from kermesse.sources.pages import INGEST_ORDER
 from kermesse.sources.schemas import LINK_DATA, conform_raw
+from kermesse.sources.store import materialise
 
 
 def _image(image: Column) -> Column:
@@ -54,14 +55,15 @@ def merge_events(raw: DataFrame) -> DataFrame:
         base_only=sorted(has_agenda),
         gather={"agenda_uids": "agenda_uid"} if "agenda_uid" in has_agenda else None,
         gather_text={"agenda_titles": "agenda_title"} if "agenda_title" in has_agenda else None,
+        normalised=True,
     )
 
 
 def clean_events(raw: DataFrame, *, drop_constants: bool = False) -> DataFrame:
     """Clean rows, known columns in fixed order.
 
-    `drop_constants` also removes columns with a single value; that runs the plan once more, so
-    a job over much data writes this result first and drops constants from the written table.
+    `drop_constants` also removes columns with a single value. Finding them takes a job, so the
+    clean rows are written to the checkpoint folder first rather than computed twice.
     """
     merged = merge_events(raw)
     have = set(merged.columns)
@@ -102,4 +104,4 @@ def clean_events(raw: DataFrame, *, drop_constants: bool = False) -> DataFrame:
     if "links" in have:
         out["links"] = _links(c("links"))
     clean = existing(merged.select(*[v.alias(n) for n, v in out.items()]), CLEAN_COLUMNS)
-    return drop_constant(clean) if drop_constants else clean
+    return drop_constant(materialise(clean)) if drop_constants else clean

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,20 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the checkpoint folder and read back, so later steps neither recompute `df` nor
+    depend on the executors that made it.
+
+    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared storage.
+    Only where that is unset, as in tests, is a temporary folder used.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="kermesse-")
+    return write_table(df, f"{folder.rstrip('/')}/kermesse-{uuid.uuid4().hex}")
+
+
 def save_documents(chunks: DataFrame, path: str) -> DataFrame:
     """Write the metadata columns that exist."""
     return write_table(existing(chunks, CHUNK_COLUMNS), path)

@@ -23,6 +23,7 @@ from kermesse.operators import answers, chunks, columns, merge, models, profiles
 from kermesse.plans.clean import clean_events
 from kermesse.plans.jobs import stage_counts
 from kermesse.sources import pages
+from kermesse.sources.store import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -631,7 +632,7 @@ def topk_events(spark, sf_dir):
 def embed_topk(spark, sf_dir):
     """Benchmark passages against all document chunks, both embedded by the offline model."""
     embedder = models.hashed_token_embedder()
-    index = models.embed_table(_document_chunks(spark, sf_dir), embedder)
+    index = models.embed_table(_document_chunks(spark, sf_dir), embedder, spread_by="chunk_id")
     questions = table(spark, sf_dir, "benchmark").select(
         c("item_id").alias("query_id"), c("text").alias("question")
     )
@@ -699,8 +700,9 @@ def generated_answers(spark, sf_dir):
 @query
 def build_stages(spark, sf_dir):
     """Pages to clean events to chunks to unit vectors: rows of every stage."""
-    raw = _import(spark, sf_dir).events
-    clean = clean_events(raw)
+    raw = materialise(_import(spark, sf_dir).events)
+    clean = materialise(clean_events(raw))
     parts = chunks.explode_chunks(chunks.with_document_text(clean))
-    units = vectors.normalise_vectors(models.embed_table(parts, models.hashed_token_embedder()))
+    embedded = models.embed_table(parts, models.hashed_token_embedder(), spread_by="chunk_id")
+    units = vectors.normalise_vectors(embedded)
     return stage_counts({"raw": raw, "clean": clean, "chunks": parts, "vectors": units})
