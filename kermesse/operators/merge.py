@@ -161,9 +161,9 @@ def _distinct_items(
         sources[n] = (pair, array, backward)
     for target, n in gather.items():
         c = F.col(f"`{n}`")
-        single = F.when(
-            c.isNotNull(), F.array(entry(comparison_key(c, types[n]), c, F.lit(0)))
-        )
+        # Here text differs by its white space too.
+        exact = c if isinstance(types[n], T.StringType) else comparison_key(c, types[n])
+        single = F.when(c.isNotNull(), F.array(entry(exact, c, F.lit(0))))
         sources[target] = (types[n], single, forward)
     for target, n in gather_text.items():
         c = valid_text(F.col(f"`{n}`"))
