@@ -133,7 +133,7 @@ def _block_search(n: int, vector: str, carry: Sequence[str], id_column: str):
         first = np.searchsorted(q, q, side="left")
         return order.filter(pa.array(np.arange(len(q)) - first < n))
 
-    def search(batches, queries, schema, step=256):
+    def search(batches, queries, step=256):
         """Candidates of all batches, cut to the best n per query along the way."""
         import numpy as np
         import pyarrow as pa
@@ -178,17 +178,17 @@ def _result_type(vectors: DataFrame, queries: DataFrame, carry: Sequence[str]) -
 
 def _search_local(vectors, local, n, id_column, carry, schema):
     """Queries fit in every task: one pass over the vectors, no shuffle before the final cut."""
+    if local.num_rows == 0:
+        return vectors.sparkSession.createDataFrame([], schema)
     search, matrix = _block_search(n, "embedding", carry, id_column)
     names = schema.names
 
     def task(batches):
         import numpy as np
 
-        import pyarrow as pa
-
         queries = matrix(local.column("embedding"), np)
         ids = local.column("query_id")
-        found = search(batches, queries, names)
+        found = search(batches, queries)
         if found is not None:
             out = found.append_column("query_id", ids.take(found.column("_q"))).select(names)
             yield from out.combine_chunks().to_batches()
@@ -221,7 +221,7 @@ def _search_blocked(vectors, queries, n, id_column, carry, schema):
         found = None
         if left_table.num_rows and right_table.num_rows:
             block = matrix(right_table.column("embedding"), np)
-            found = search(left_table.to_batches(max_chunksize=10_000), block, names)
+            found = search(left_table.to_batches(max_chunksize=10_000), block)
         if found is None:
             empty = empty.append(right_table.schema.field("query_id"))
             return empty.append(pa.field("score", pa.float32())).empty_table().select(names)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
@@ -17,11 +18,13 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | None = None, app: str = "kermesse") -> SparkSession:
+def local_session(
+    cores: int | None = None, app: str = "kermesse", extra: Mapping[str, str] | None = None
+) -> SparkSession:
     """Session for tests and benches on one machine."""
     cores = cores or os.cpu_count() or 1
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(cores))

@@ -26,11 +26,13 @@ class EventImport(NamedTuple):
 
 def read_pages(spark: SparkSession, path: str, *, page_per_file: bool = False) -> DataFrame:
     """Raw page text with the agenda named by its folder, if any."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "agenda_uid=([^/]+)/", 1)
+    decode = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    # The path is a URI, and the folder's value is escaped once more, as partition values are.
+    folder = decode(decode(F.regexp_extract("_metadata.file_path", "agenda_uid=([^/]+)/", 1)))
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(path, wholetext=page_per_file)
-        .select("value", F.nullif(F.url_decode(folder), F.lit("")).alias("folder_agenda"))
+        .select("value", F.nullif(folder, F.lit("")).alias("folder_agenda"))
     )
 
 

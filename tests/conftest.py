@@ -4,7 +4,8 @@ from kermesse.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "kermesse-tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, "kermesse-tests", {"spark.checkpoint.dir": folder})
     yield session
     session.stop()
