@@ -33,7 +33,11 @@ def valid_text(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Drop tags and drawn rules, squeeze white space; Markdown and emoji stay."""
-    bare = F.regexp_replace(c, TAG_PATTERN, " ")
+    # No tag ends after the last ">". Leaving that rest out keeps the search linear: there, every
+    # "<" would be followed to the end of the text in vain.
+    rest = F.substring_index(c, ">", -1)
+    tagged = F.left(c, F.length(c) - F.length(rest))
+    bare = F.concat(F.regexp_replace(tagged, TAG_PATTERN, " "), rest)
     bare = F.regexp_replace(bare, RULE_PATTERN, " ")
     return empty_to_null(strip(F.regexp_replace(bare, WHITESPACE_RUN, " ")))
 

@@ -47,10 +47,8 @@ def import_and_clean(
     listed = pages.agendas(pages.read_pages(spark, agenda_path, page_per_file=page_per_file))
     listed = write_table(pages.first_agendas(listed, max_agendas), out("agendas"))
     parsed = pages.explode_events(pages.read_pages(spark, event_path, page_per_file=page_per_file))
-    # Pages of agendas that are not wanted are dropped before anything is written.
-    wanted = parsed.join(listed.select("agenda_uid").distinct(), "agenda_uid", "left_semi")
-    parsed = write_table(wanted, out("pages"))
-    events, rejects = pages.accept_events(parsed, listed)
+    tagged = write_table(pages.tag_pages(parsed, listed), out("pages"))
+    events, rejects = pages.accept_events(tagged)
     write_table(rejects, out("rejects"))
     if city is not None:
         events = pages.in_city(events, city)
@@ -72,6 +70,8 @@ def embed_events(
     """Clean events to `documents` (one row per chunk) and `vectors`, both keyed by chunk id."""
     chunks = explode_chunks(with_document_text(events), size=size, overlap=overlap)
     documents = save_documents(chunks, out("documents"))
+    if documents.isEmpty():
+        raise ValueError("no text to embed")
     vectors = write_table(embed_table(documents, embedder, batch_size=batch_size), out("vectors"))
     return documents, vectors
 

@@ -87,35 +87,46 @@ def explode_events(raw: DataFrame) -> DataFrame:
     return flat.filter(F.col("unreadable") | F.col("e").isNotNull())
 
 
-def accept_events(
+def tag_events(
+    events: DataFrame, listed: DataFrame, *, default_title: str = DEFAULT_AGENDA_TITLE
+) -> DataFrame:
+    """Events of the listed agendas with their agenda's title and place in the listing.
+
+    No broadcast hint: the planner broadcasts a side only when it measures small, and adaptive
+    execution splits an agenda that holds much of the data.
+    """
+    return events.join(_tags(listed, default_title), "agenda_uid")
+
+
+def _tags(listed: DataFrame, default_title: str) -> DataFrame:
+    return listed.withColumn("agenda_title", F.coalesce("agenda_title", F.lit(default_title)))
+
+
+def tag_pages(
     exploded: DataFrame, listed: DataFrame, *, default_title: str = DEFAULT_AGENDA_TITLE
-) -> EventImport:
-    """Events of the listed agendas, tagged with agenda id and title.
+) -> DataFrame:
+    """`tag_events` for exploded pages; an unreadable page without a known owner is kept too."""
+    unowned = F.col("unreadable") & F.col("agenda_uid").isNull()
+    return exploded.join(_tags(listed, default_title), "agenda_uid", "left").filter(
+        F.col("ingest_agenda").isNotNull() | unowned
+    )
+
+
+def accept_events(tagged: DataFrame) -> EventImport:
+    """Events of the agendas whose every page could be read, and the other agendas.
 
-    An agenda with any unreadable page is left out as a whole and reported in `rejects`.
-    Joins carry no broadcast hint: the planner broadcasts a side only when it measures small,
-    and adaptive execution splits an agenda that holds much of the data.
+    An agenda with an unreadable page is left out as a whole and reported in `rejects`. Both
+    results read `tagged`: hand in a written table and the pages are parsed only once.
     """
     rejects = (
-        exploded.filter("unreadable").groupBy("agenda_uid").agg(F.count("*").alias("bad_pages"))
-    )
-    readable = listed.join(rejects, "agenda_uid", "left_anti")
-    events = tag_events(
-        exploded.filter(~F.col("unreadable")), readable, default_title=default_title
+        tagged.filter("unreadable").groupBy("agenda_uid").agg(F.count("*").alias("bad_pages"))
     )
+    events = tagged.filter(~F.col("unreadable")).join(rejects, "agenda_uid", "left_anti")
     return EventImport(
         events.select("e.*", "agenda_uid", "agenda_title", *INGEST_ORDER), rejects
     )
 
 
-def tag_events(
-    events: DataFrame, listed: DataFrame, *, default_title: str = DEFAULT_AGENDA_TITLE
-) -> DataFrame:
-    """Events of the listed agendas with their agenda's title and place in the listing."""
-    tags = listed.withColumn("agenda_title", F.coalesce("agenda_title", F.lit(default_title)))
-    return events.join(tags, "agenda_uid")
-
-
 def _cutoff(as_of: dt.date, months: int) -> Column:
     return F.add_months(F.lit(as_of), -months)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from kermesse.constants import CHUNK_COLUMNS
 from kermesse.operators.columns import existing
-from kermesse.operators.vectors import check_alignment
 
 MANIFEST = (
     "version long, clean_events long, chunks long, embedding_dimension int, indexed_vectors long"
@@ -70,12 +70,32 @@ def publish(spark: SparkSession, root: str, row: dict) -> None:
     ).json(f"{root.rstrip('/')}/manifest")
 
 
+def load_tables(spark: SparkSession, out: Callable[[str], str], *names: str) -> list[DataFrame]:
+    """Tables of one version; raises when one is absent, empty, or they differ in rows.
+
+    Rows are counted from the Parquet footers. That keys match is checked once, at build time.
+    """
+    tables = []
+    for name in names:
+        try:
+            tables.append(spark.read.parquet(out(name)))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise FileNotFoundError(f"table {name!r} not found at {out(name)}") from None
+    counts = {name: df.count() for name, df in zip(names, tables)}
+    if len(set(counts.values())) > 1:
+        raise ValueError(f"tables differ in rows: {counts}")
+    if not all(counts.values()):
+        raise ValueError(f"tables are empty: {counts}")
+    return tables
+
+
 class VectorStore:
     """Index and documents of the newest finished version, loaded once until `reload`."""
 
-    def __init__(self, spark: SparkSession, root: str, *, cache: bool = False, check: bool = True):
-        self._spark, self._root = spark, root
-        self._cache, self._check = cache, check
+    def __init__(self, spark: SparkSession, root: str, *, cache: bool = False):
+        self._spark, self._root, self._cache = spark, root, cache
         self._loaded: tuple[DataFrame, DataFrame] | None = None
 
     def load(self) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +104,8 @@ class VectorStore:
             version = latest_version(self._spark, self._root)
             if version is None:
                 raise FileNotFoundError(f"no finished version under {self._root}")
-            index, documents = (
-                self._spark.read.parquet(version_path(self._root, version, t))
-                for t in ("index", "documents")
-            )
-            if self._check:
-                check_alignment(index, documents)
+            out = lambda table: version_path(self._root, version, table)
+            index, documents = load_tables(self._spark, out, "index", "documents")
             if self._cache:
                 index, documents = index.cache(), documents.cache()
             self._loaded = index, documents

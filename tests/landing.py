@@ -19,7 +19,7 @@ EVENT = {
     "status": 6,
     "registration": [{"type": "phone", "value": "05"}],
     "location": {
-        "name": "Salle", "address": "1 rue", "city": "Toulouse", "postalCode": "31000", "department": "Alto Garona",
+        "name": "Salle", "address": "1 rue", "city": "Castres", "postalCode": "31000", "department": "Alto Garona",
         "region": " OCCITANIE", "latitude": 43.6, "longitude": 1, "description": {"en": "Hall", "fr": ""},
         "access": "Métro", "phone": "", "website": "https://s", "image": "i.png",
     },

@@ -13,10 +13,11 @@ from landing import write_landing
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
     listing, landed = write_landing(tmp_path_factory.mktemp("landing"))
-    return pages.accept_events(
+    tagged = pages.tag_pages(
         pages.explode_events(pages.read_pages(spark, landed)),
         pages.agendas(pages.read_pages(spark, listing)),
-    ).events
+    )
+    return pages.accept_events(tagged).events
 
 
 def test_clean_event(events):
@@ -51,7 +52,7 @@ def test_clean_event(events):
         "agenda_titles": "Un, Sans titre",
         "location_name": "Salle",
         "location_address": "1 rue",
-        "location_city": "Toulouse",
+        "location_city": "Castres",
         "location_postal_code": "31000",
         "location_department": "Haute-Garonne",
         "location_region": "Occitanie",

@@ -82,6 +82,11 @@ def test_clean_text(spark):
     ]
 
 
+def test_clean_text_is_linear_in_unclosed_tags(spark):
+    got = apply(spark, "string", ["<b>x" + "<" * 200_000, "a > b <" + "c" * 10], text.clean_text)
+    assert got == ["x" + "<" * 200_000, "a > b <cccccccccc"]
+
+
 def test_join_list(spark):
     values = [[" a", "b", "a ", None, "", "missing value"], [], None, [" "]]
     assert apply(spark, "array<string>", values, text.join_list) == ["a, b", None, None, None]

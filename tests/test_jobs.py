@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kermesse.operators import answers, models
 from kermesse.plans import jobs
-from kermesse.sources.store import VectorStore, latest_version, published, version_path
+from kermesse.sources.store import VectorStore, latest_version, load_tables, published, version_path
 from landing import write_landing
 
 EMBEDDER = models.hashed_token_embedder(32)
@@ -67,6 +67,26 @@ def test_misaligned_vectors_are_not_indexed(spark, tmp_path):
         jobs.build_index(vectors, docs, lambda t: str(tmp_path / t))
 
 
+def test_loading_checks_tables(spark, tmp_path):
+    out = lambda t: str(tmp_path / t)
+    with pytest.raises(FileNotFoundError):
+        load_tables(spark, out, "vectors", "documents")
+    spark.range(2).write.parquet(out("vectors"))
+    spark.range(3).write.parquet(out("documents"))
+    spark.range(0).write.parquet(out("index"))
+    with pytest.raises(ValueError, match="differ"):
+        load_tables(spark, out, "vectors", "documents")
+    with pytest.raises(ValueError, match="empty"):
+        load_tables(spark, out, "index")
+    assert len(load_tables(spark, out, "vectors")) == 1
+
+
+def test_no_events_no_embedding(spark, tmp_path):
+    none = spark.createDataFrame([], "uid string, title string")
+    with pytest.raises(ValueError, match="no text to embed"):
+        jobs.embed_events(none, EMBEDDER, lambda t: str(tmp_path / t))
+
+
 def test_stage_counts(spark):
     vectors = spark.range(3).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
     rows = jobs.stage_counts({"raw": spark.range(5), "vectors": vectors}).collect()

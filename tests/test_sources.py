@@ -31,7 +31,7 @@ def test_unreadable_listing_is_an_error(spark):
 
 
 def test_agenda_with_a_bad_page_is_left_out(landed):
-    events, rejects = pages.accept_events(landed[1], landed[0])
+    events, rejects = pages.accept_events(pages.tag_pages(landed[1], landed[0]))
     got = {(r.uid, r.agenda_uid, r.agenda_title) for r in events.collect()}
     assert got == {
         ("10", "1", "Un"), ("10", "b c", "Sans titre"), ("11", "b c", "Sans titre"), ("14", "4", "Quatre"),
@@ -52,8 +52,15 @@ def test_owner_of_a_cut_page_comes_from_its_text(spark):
     assert row.unreadable and row.agenda_uid == "q-1"
 
 
+def test_bad_page_without_an_owner_is_reported(spark, landed):
+    raw = spark.createDataFrame([("[1,",), ('{"agenda_uid": "1", "events": [{"uid": 7}]}',)], "value string")
+    events, rejects = pages.accept_events(pages.tag_pages(pages.explode_events(raw), landed[0]))
+    assert [r.uid for r in events.collect()] == ["7"]
+    assert [tuple(r) for r in rejects.collect()] == [(None, 1)]
+
+
 def test_filters(landed):
-    events = pages.accept_events(landed[1], landed[0]).events
+    events = pages.accept_events(pages.tag_pages(landed[1], landed[0])).events
     assert [r.uid for r in pages.in_city(events, "Albi").collect()] == ["11"]
     assert [r.uid for r in pages.recent_only(events, dt.date(2025, 6, 1)).collect()] == ["10"]
     assert pages.recent_only(events, dt.date(2025, 6, 2)).count() == 0
@@ -63,7 +70,7 @@ def test_filters(landed):
 
 
 def test_tags_join_is_not_forced(landed):
-    plan = pages.accept_events(landed[1], landed[0]).events._jdf.queryExecution().logical().toString()
+    plan = pages.accept_events(pages.tag_pages(landed[1], landed[0])).events._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" not in plan and "UnresolvedHint" not in plan
 
 

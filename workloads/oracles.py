@@ -341,8 +341,9 @@ ORACLES = {
     "result_context": f"{RESULTS} SELECT query_id, context FROM contexts",
     "generated_answers": f"""{RESULTS}
         SELECT query_id, 'Quoi de neuf {{context}} ' || query_id AS question,
-            'Demande : Quoi de neuf {{context}} ' || query_id || chr(10) || chr(10) || 'Événements :' || chr(10) || chr(10) || context AS answer, n_events
-        FROM contexts""",
+            'Demande : Quoi de neuf {{context}} ' || query_id || chr(10) || chr(10) || 'Événements :' || chr(10) || chr(10) || coalesce(context, '') AS answer,
+            coalesce(n_events, 0) AS n_events
+        FROM (SELECT DISTINCT label AS query_id FROM embeddings) LEFT JOIN contexts USING (query_id)""",
     "build_stages": f"""WITH {IMPORTED},
         lines AS (
             SELECT length('Titre : ' || title || CASE WHEN {strip("description")} <> '' THEN chr(10) || 'Description : ' || d ELSE '' END) AS n FROM (

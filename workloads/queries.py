@@ -75,10 +75,11 @@ def _event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _import(spark: SparkSession, sf_dir: str) -> pages.EventImport:
-    return pages.accept_events(
+    tagged = pages.tag_pages(
         pages.explode_events(_event_pages(spark, sf_dir)),
         pages.agendas(_agenda_pages(spark, sf_dir)),
     )
+    return pages.accept_events(tagged)
 
 
 @query
