@@ -22,9 +22,8 @@ from kermesse.constants import (
 from kermesse.functions.text import labelled_text, valid_text
 from kermesse.operators.models import Embedder, Generator, embed, generate
 from kermesse.operators.vectors import (
-    MAX_BROADCAST_ROWS,
-    MAX_LOCAL_QUERIES,
     normalise_vectors,
+    query_set,
     top_events,
     with_documents,
 )
@@ -126,11 +125,9 @@ def retrieve(
 
     `index`: chunk_id, uid, unit `embedding`; `documents`: chunk_id and the columns to show.
     """
-    queries = embed_questions(questions, embedder, batch_size=batch_size)
-    found = top_events(index, queries, MAX_K)
-    few = questions.limit(MAX_LOCAL_QUERIES + 1).count()
-    bound = few * MAX_K if few <= MAX_LOCAL_QUERIES else MAX_BROADCAST_ROWS + 1
-    return with_documents(found, documents, max_rows=bound)
+    asked = query_set(embed_questions(questions, embedder, batch_size=batch_size))
+    found = top_events(index, asked, MAX_K)
+    return with_documents(found, documents, max_rows=asked.max_rows(MAX_K))
 
 
 def answer_questions(

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +103,26 @@ def check_alignment(vectors: DataFrame, documents: DataFrame, key: str = "chunk_
     return row.vectors
 
 
+class QuerySet(NamedTuple):
+    """Query vectors, and the same as an Arrow table where they are proven small."""
+
+    df: DataFrame
+    local: pa.Table | None
+
+    def max_rows(self, k: int) -> int | None:
+        """Bound of the result rows at k per query; None when there is none."""
+        return None if self.local is None else self.local.num_rows * k
+
+
+def query_set(queries: DataFrame, *, max_local: int = MAX_LOCAL_QUERIES) -> QuerySet:
+    """Checks the size of (query_id, embedding): at most `max_local` + 1 rows reach the driver."""
+    require_columns(queries, ("query_id", "embedding"))
+    local = queries.select("query_id", "embedding").limit(max_local + 1).toArrow()
+    cells = pc.sum(pc.list_value_length(local.column("embedding"))).as_py() or 0
+    small = local.num_rows <= max_local and cells <= MAX_LOCAL_CELLS
+    return QuerySet(queries, local if small else None)
+
+
 def _block_search(n: int, vector: str, carry: Sequence[str], id_column: str):
     """Task-side functions: Arrow vectors against a query matrix, best n per query kept.
 
@@ -235,12 +258,11 @@ def _search_blocked(vectors, queries, n, id_column, carry, schema):
 
 def top_chunks(
     vectors: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | QuerySet,
     n: int,
     *,
     id_column: str = "chunk_id",
     carry: Sequence[str] = (),
-    max_local: int = MAX_LOCAL_QUERIES,
 ) -> DataFrame:
     """Best `n` vectors of each query by inner product: query_id, id, carried columns, score, rank.
 
@@ -248,17 +270,14 @@ def top_chunks(
     Scores are single precision; equal scores go by id. Fewer than n vectors give fewer rows.
     """
     require_columns(vectors, (id_column, "embedding", *carry))
-    require_columns(queries, ("query_id", "embedding"))
-    queries = queries.select("query_id", "embedding")
+    asked = queries if isinstance(queries, QuerySet) else query_set(queries)
     carry = [id_column, *[c for c in carry if c != id_column]]
-    schema = _result_type(vectors, queries, carry)
-
-    local = queries.limit(max_local + 1).toArrow()
-    cells = len(local.column("embedding").combine_chunks().flatten())
-    if local.num_rows <= max_local and cells <= MAX_LOCAL_CELLS:
-        found = _search_local(vectors, local, n, id_column, carry, schema)
+    schema = _result_type(vectors, asked.df, carry)
+    if asked.local is not None:
+        found = _search_local(vectors, asked.local, n, id_column, carry, schema)
     else:
-        found = _search_blocked(vectors, queries, n, id_column, carry, schema)
+        blocks = asked.df.select("query_id", "embedding")
+        found = _search_blocked(vectors, blocks, n, id_column, carry, schema)
 
     # Each task left n rows per query, so a query's rows grow with the number of tasks. Cut them
     # in FAN_IN groups first; no task then sees all of them.
@@ -283,13 +302,12 @@ def first_per_key(
 
 def top_events(
     vectors: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | QuerySet,
     k: int = DEFAULT_K,
     *,
     overfetch: int = OVERFETCH,
     id_column: str = "chunk_id",
     event_column: str = "uid",
-    max_local: int = MAX_LOCAL_QUERIES,
 ) -> DataFrame:
     """Best chunk of each of the `k` best events among the overfetch * k best chunks.
 
@@ -297,17 +315,13 @@ def top_events(
     fewer than k events when few events fill the chunks fetched.
     """
     require_columns(vectors, (event_column,))
+    asked = queries if isinstance(queries, QuerySet) else query_set(queries)
     chunks = top_chunks(
-        vectors,
-        queries,
-        overfetch * k,
-        id_column=id_column,
-        carry=[event_column],
-        max_local=max_local,
+        vectors, asked, overfetch * k, id_column=id_column, carry=[event_column]
     ).withColumnRenamed("rank", "chunk_rank")
     limit: int | Column = k
-    if "k" in queries.columns:
-        own = queries.select("query_id", F.col("k").alias("_k"))
+    if "k" in asked.df.columns:
+        own = asked.df.select("query_id", F.col("k").alias("_k"))
         chunks = chunks.join(own, "query_id").filter(F.col("chunk_rank") <= overfetch * F.col("_k"))
         limit = F.col("_k")
     events = first_per_key(chunks, ["query_id"], [event_column], [F.asc("chunk_rank")], limit)

@@ -72,7 +72,8 @@ def embed_events(
     documents = save_documents(chunks, out("documents"))
     if documents.isEmpty():
         raise ValueError("no text to embed")
-    vectors = write_table(embed_table(documents, embedder, batch_size=batch_size), out("vectors"))
+    vectors = embed_table(documents, embedder, batch_size=batch_size, spread_by="chunk_id")
+    vectors = write_table(vectors, out("vectors"))
     return documents, vectors
 
 

@@ -43,8 +43,14 @@ def parse_pages(raw: DataFrame, schema: str, items: str) -> DataFrame:
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     page = F.from_json("value", f"{schema}, _bad string", options)
-    return raw.select(*[c for c in raw.columns if c != "value"], page.alias("p")).select(
-        "*", (F.col("p._bad").isNotNull() & F.col(f"p.{items}").isNull()).alias("unreadable")
+    # Stands in for a page number where a page has none: any order will do, if always the same.
+    stand_in = F.pmod(F.xxhash64("value"), F.lit(1 << 40))
+    others = [c for c in raw.columns if c != "value"]
+    return raw.select(*others, stand_in.alias("stand_in"), page.alias("p")).select(
+        *others,
+        "p",
+        F.coalesce("p.page", "stand_in").alias("number"),
+        (F.col("p._bad").isNotNull() & F.col(f"p.{items}").isNull()).alias("unreadable"),
     )
 
 
@@ -56,11 +62,10 @@ def agendas(raw: DataFrame) -> DataFrame:
             F.lit(True)
         )
     )
-    page = F.coalesce(F.col("p.page"), F.lit(0))
-    return checked.select(page.alias("page"), F.posexplode("p.agendas").alias("pos", "a")).select(
+    return checked.select("number", F.posexplode("p.agendas").alias("pos", "a")).select(
         F.col("a.uid").alias("agenda_uid"),
         F.col("a.title").alias("agenda_title"),
-        (F.shiftleft("page", 20) + F.col("pos")).alias("ingest_agenda"),
+        (F.shiftleft("number", 20) + F.col("pos")).alias("ingest_agenda"),
     )
 
 
@@ -80,7 +85,7 @@ def explode_events(raw: DataFrame) -> DataFrame:
     lost = F.regexp_extract(F.col("p._bad"), r'"agenda_uid"\s*:\s*"?([^",}\s]+)', 1)
     flat = pages.select(
         F.coalesce(owner, F.nullif(lost, F.lit(""))).alias("agenda_uid"),
-        F.coalesce(F.col("p.page"), F.lit(0)).alias("ingest_page"),
+        F.col("number").alias("ingest_page"),
         "unreadable",
         F.posexplode_outer("p.events").alias("ingest_pos", "e"),
     )

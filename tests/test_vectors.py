@@ -53,7 +53,9 @@ def test_top_chunks_equal_brute_force(spark, monkeypatch, n, max_local):
     monkeypatch.setattr(vectors, "VECTOR_BLOCK", 150)
     v, q, ids, uids = data(n, 400, 9)
     index, queries = frames(spark, v, q, ids, uids)
-    got = vectors.top_chunks(index, queries, n, max_local=max_local)
+    asked = vectors.query_set(queries, max_local=max_local)
+    assert asked.max_rows(n) == (9 * n if max_local > 9 else None)
+    got = vectors.top_chunks(index, asked, n)
     assert by_rank(got) == brute(v, q, ids, n)
     assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (max_local > 9)
 

@@ -680,8 +680,9 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
         when(c("lang") == "fr", c("source")).otherwise(lit(" ")).alias("conditions"),
         c("lang").alias("status"),
     )
-    found = vectors.top_events(_index(spark, sf_dir), _label_queries(spark, sf_dir), 5)
-    return vectors.with_documents(found, docs)
+    asked = vectors.query_set(_label_queries(spark, sf_dir))
+    found = vectors.top_events(_index(spark, sf_dir), asked, 5)
+    return vectors.with_documents(found, docs, max_rows=asked.max_rows(5))
 
 
 @query
