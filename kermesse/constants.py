@@ -135,7 +135,9 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 MISSING_WORDS = ("", "missing value")
 DEFAULT_AGENDA_TITLE = "Sans titre"
-DATETIME_FORMAT = "dd/MM/yyyy 'à' HH'h'mm"
+# "2024-12-31 20:30:00" is shown as "31/12/2024 à 20h30".
+DATETIME_PATTERN = r"^\+?(\d+)-(\d\d)-(\d\d) (\d\d):(\d\d).*$"
+DATETIME_SHOWN = "$3/$2/$1 à $4h$5"
 TAG_PATTERN = "<[^>]+>"
 RULE_PATTERN = "[-_]{3,}"
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kermesse.constants import (
-    DATETIME_FORMAT,
+    DATETIME_PATTERN,
+    DATETIME_SHOWN,
     MISSING_WORDS,
     RULE_PATTERN,
     TAG_PATTERN,
@@ -83,17 +84,23 @@ def labelled_text(
 
 def format_datetime(c: Column) -> Column:
     """ISO text as "31/12/2024 à 20h30" in the wall time it was written in; bad text gives null."""
-    return F.date_format(c.try_cast("timestamp_ntz"), DATETIME_FORMAT)
+    # Not date_format: it goes through the session's zone, where this wall time may not exist.
+    wall = c.try_cast("timestamp_ntz").cast("string")
+    return F.regexp_replace(wall, DATETIME_PATTERN, DATETIME_SHOWN)
+
+
+def wall_micros(c: Column) -> Column:
+    """Microseconds from 1970-01-01 to a timestamp without zone, whatever the session zone is.
+
+    Built from its fields: differences and casts would go through the session's zone.
+    """
+    day = F.unix_date(c.cast("date")).cast("long")
+    whole = (day * 24 + F.hour(c)) * 60 + F.minute(c)
+    return whole * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def utc_timestamp(c: Column) -> Column:
     """ISO text as an instant; text without an offset is UTC whatever the session zone is."""
     has_zone = F.rlike(strip(c), F.lit(r"[T ]\d.*(?:[Zz]|[+-]\d{1,2}:?\d{0,2}|[A-Za-z])$"))
-    as_utc = F.timestamp_micros(
-        F.timestamp_diff(
-            "MICROSECOND",
-            F.lit("1970-01-01").cast("timestamp_ntz"),
-            c.try_cast("timestamp_ntz"),
-        )
-    )
+    as_utc = F.timestamp_micros(wall_micros(c.try_cast("timestamp_ntz")))
     return F.when(has_zone, c.try_cast("timestamp")).otherwise(as_utc)

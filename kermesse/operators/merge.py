@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kermesse.functions.missing import comparison_key, is_missing, present
-from kermesse.functions.text import valid_text
+from kermesse.functions.text import valid_text, wall_micros
 
 OLDEST = -(2**63) + 1
 LONG_KEY = 64
@@ -28,7 +28,7 @@ LONG_KEY = 64
 def _age_rank(c: Column, dtype: T.DataType) -> Column:
     """Orderable long that grows with recency; null comes last."""
     if isinstance(dtype, T.TimestampNTZType):
-        micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+        micros = wall_micros(c)
     elif isinstance(dtype, T.TimestampType):
         micros = F.unix_micros(c)
     elif isinstance(dtype, T.DateType):

@@ -148,7 +148,8 @@ def conform_raw(df: DataFrame) -> DataFrame:
                     c, lambda _, v: ~F.coalesce(v.cast("string"), F.lit("")).isin(*FALSE_TEXTS)
                 )
         elif name in ("attendanceMode", "status"):
-            c = c.try_cast("double").try_cast("int")
+            number = c.try_cast("double")
+            c = F.when(number == F.floor(number), number.try_cast("int"))
         elif name in ("uid", "agenda_uid", "billetterie"):
             c = _text(c.cast("string"))
         elif isinstance(dtype, T.StringType):

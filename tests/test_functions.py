@@ -1,5 +1,6 @@
 """Column functions against hand-computed results."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -100,6 +101,9 @@ DATES = [
     ("2024-12-31T20:30:00.5-0500", "31/12/2024 à 20h30", "2025-01-01 01:30:00.5"),
     ("2024-12-31", "31/12/2024 à 00h00", "2024-12-31 00:00:00"),
     ("2024-12-31 07:05", "31/12/2024 à 07h05", "2024-12-31 07:05:00"),
+    # This hour does not exist in New York.
+    ("2024-03-10T02:30:00", "10/03/2024 à 02h30", "2024-03-10 02:30:00"),
+    ("1969-12-31T23:59:59.250001", "31/12/1969 à 23h59", "1969-12-31 23:59:59.250001"),
     ("demain", None, None),
     (None, None, None),
 ]
@@ -112,10 +116,10 @@ def test_dates_do_not_depend_on_the_session_zone(spark, zone):
     try:
         values = [d[0] for d in DATES]
         assert apply(spark, "string", values, text.format_datetime) == [d[1] for d in DATES]
-        utc = lambda v: F.convert_timezone(
-            F.lit(zone), F.lit("UTC"), text.utc_timestamp(v).cast("timestamp_ntz")
-        ).cast("string")
-        assert apply(spark, "string", values, utc) == [d[2] for d in DATES]
+        utc = lambda v: F.unix_micros(text.utc_timestamp(v))
+        day = lambda x: dt.datetime.fromisoformat(x).replace(tzinfo=dt.timezone.utc)
+        micros = [None if d[2] is None else round(day(d[2]).timestamp() * 1e6) for d in DATES]
+        assert apply(spark, "string", values, utc) == micros
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 

@@ -82,6 +82,19 @@ def test_ties_go_to_the_first_ingested_and_else_to_content(spark):
     assert len(results) == 1
 
 
+def test_zoneless_times_order_in_any_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # The first of these hours does not exist in New York.
+        rows = [("a", "2024-03-10 02:30:00", 1, "older"), ("a", "2024-03-10 03:20:00", 2, "newer")]
+        df = spark.createDataFrame(rows, "uid string, at string, n int, v string")
+        df = df.withColumn("at", F.col("at").cast("timestamp_ntz"))
+        assert merge_by_key(df, "uid", order_by="at", tie_break=["n"]).first().v == "newer"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_key_is_required(spark):
     with pytest.raises(ValueError):
         merge_by_key(spark.range(1), "uid")

@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def iso(ts: Column, suffix: str = "") -> Column:
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), lit(suffix))
+    return F.concat(F.replace(ts.cast("string"), lit(" "), lit("T")), lit(suffix))
 
 
 # --- Sources ---
