@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from kermesse.constants import CHUNK_COLUMNS, CHUNK_OVERLAP, CHUNK_SIZE, DOCUMENT_LABELS
 from kermesse.functions.text import empty_to_null, labelled_text, strip
-from kermesse.operators.columns import existing, require_columns
+from kermesse.operators.columns import require_columns
+
+# Types of the chunk columns that are no text.
+NOT_TEXT = {
+    "agenda_uids": "array<string>",
+    "location_latitude": "double",
+    "location_longitude": "double",
+}
 
 
 def with_document_text(
@@ -23,7 +30,8 @@ def with_document_text(
     `strict` makes the run fail at the first row that has no text at all.
     """
     require_columns(df, ("uid", "title"))
-    pairs = [(label, F.col(f"`{n}`")) for label, n in labels if n in df.columns]
+    have = set(df.columns)
+    pairs = [(label, F.col(f"`{n}`")) for label, n in labels if n in have]
     text = labelled_text(pairs, "\n", strip_values=True)
     if strict:
         failure = F.raise_error(
@@ -72,7 +80,8 @@ def explode_chunks(
 ) -> DataFrame:
     """One row per chunk: `chunk_id` = key_index, `chunk_index`, `chunk_text`, carried columns.
 
-    `carry` names the output columns (those that do not exist are skipped); None carries all.
+    `carry` names the output columns, so the schema is the same whichever columns the cleaning
+    dropped: one that does not exist is null. None carries those that exist.
     """
     require_columns(df, (key, text))
     keep = [n for n in df.columns if n != text]
@@ -83,5 +92,9 @@ def explode_chunks(
     chunks = chunks.withColumn(
         "chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index"))
     )
-    order = carry or [*keep, "chunk_id", "chunk_index", "chunk_text"]
-    return existing(chunks, order)
+    if carry is None:
+        return chunks.select(*keep, "chunk_id", "chunk_index", "chunk_text")
+    have = set(chunks.columns)
+    absent = [n for n in carry if n not in have]
+    nulls = {n: F.lit(None).cast(NOT_TEXT.get(n, "string")) for n in absent}
+    return chunks.withColumns(nulls).select(*carry)

@@ -19,7 +19,8 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
 
 def existing(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The named columns that exist, in the order named."""
-    return df.select(*[F.col(f"`{n}`") for n in names if n in df.columns])
+    have = set(df.columns)
+    return df.select(*[F.col(f"`{n}`") for n in names if n in have])
 
 
 def constant_columns(

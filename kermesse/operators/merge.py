@@ -45,10 +45,9 @@ def _group_key(c: Column) -> Column:
 
     A long key (a whole text) is shuffled as its SHA-256.
     """
-    return (
-        F.when(c.isNull(), F.lit("null"))
-        .when(F.length(c) > LONG_KEY, F.concat(F.lit("#"), F.sha2(c, 256)))
-        .otherwise(F.concat(F.lit("="), c))
+    long_key = F.concat(F.lit("#"), F.sha2(c, 256))
+    return F.coalesce(
+        F.when(F.length(c) > LONG_KEY, long_key).otherwise(F.concat(F.lit("="), c)), F.lit("null")
     )
 
 

@@ -89,7 +89,8 @@ def explode_events(raw: DataFrame) -> DataFrame:
         "unreadable",
         F.posexplode_outer("p.events").alias("ingest_pos", "e"),
     )
-    return flat.filter(F.col("unreadable") | F.col("e").isNotNull())
+    rows = flat.filter(F.col("unreadable") | F.col("e").isNotNull())
+    return rows.select("agenda_uid", "ingest_page", "ingest_pos", "unreadable", "e.*")
 
 
 def tag_events(
@@ -127,9 +128,7 @@ def accept_events(tagged: DataFrame) -> EventImport:
         tagged.filter("unreadable").groupBy("agenda_uid").agg(F.count("*").alias("bad_pages"))
     )
     events = tagged.filter(~F.col("unreadable")).join(rejects, "agenda_uid", "left_anti")
-    return EventImport(
-        events.select("e.*", "agenda_uid", "agenda_title", *INGEST_ORDER), rejects
-    )
+    return EventImport(events.drop("unreadable"), rejects)
 
 
 def _cutoff(as_of: dt.date, months: int) -> Column:

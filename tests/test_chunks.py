@@ -58,7 +58,8 @@ def test_chunk_rows(spark):
     )
     rows = chunks.explode_chunks(df, size=4, overlap=0).collect()
     assert [(r.chunk_id, r.chunk_index, r.chunk_text) for r in rows] == [("u_0", 0, "aaaa"), ("u_1", 1, "bbbb")]
-    assert rows[0].__fields__ == ["uid", "title", "chunk_id", "chunk_index", "chunk_text", "age"]
+    assert rows[0].__fields__ == list(CHUNK_COLUMNS)
+    assert rows[0].age == "kept" and rows[0].status is None and rows[0].agenda_uids is None
     every = chunks.explode_chunks(df, size=4, overlap=0, carry=None)
     assert every.columns == ["uid", "title", "age", "location_city", "chunk_id", "chunk_index", "chunk_text"]
 

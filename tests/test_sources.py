@@ -43,7 +43,7 @@ def test_page_per_file(spark, tmp_path):
     (tmp_path / "p.json").write_text('{\n "agenda_uid": "z",\n "events": [\n {"uid": 1, "title": "t"}\n]}')
     raw = pages.read_pages(spark, str(tmp_path), page_per_file=True)
     row = pages.explode_events(raw).first()
-    assert (row.agenda_uid, row.e.uid, row.unreadable) == ("z", "1", False)
+    assert (row.agenda_uid, row.uid, row.unreadable) == ("z", "1", False)
 
 
 def test_owner_of_a_cut_page_comes_from_its_text(spark):
