@@ -48,13 +48,11 @@ def canonicalise(c: Column, aliases: Mapping[str, str]) -> Column:
 def format_timing(timing: Column) -> Column:
     begin = format_datetime(timing.getField("begin"))
     end = format_datetime(timing.getField("end"))
-    return (
-        F.when(
-            begin.isNotNull() & end.isNotNull(),
-            F.concat(F.lit("Du "), begin, F.lit(" au "), end),
-        )
-        .when(begin.isNotNull(), F.concat(F.lit("À partir du "), begin))
-        .when(end.isNotNull(), F.concat(F.lit("Jusqu'au "), end))
+    # A null part makes its whole sentence null, so each time is mostly computed once only.
+    return F.coalesce(
+        F.concat(F.lit("Du "), begin, F.lit(" au "), end),
+        F.concat(F.lit("À partir du "), begin),
+        F.concat(F.lit("Jusqu'au "), end),
     )
 
 
@@ -130,13 +128,10 @@ def location_columns(location: Column) -> dict[str, Column]:
 
 def format_age(age: Column) -> Column:
     low, high = (age.getField(f).cast("string") for f in ("min", "max"))
-    return (
-        F.when(
-            low.isNotNull() & high.isNotNull(),
-            F.concat(F.lit("De "), low, F.lit(" à "), high, F.lit(" ans")),
-        )
-        .when(low.isNotNull(), F.concat(F.lit("À partir de "), low, F.lit(" ans")))
-        .when(high.isNotNull(), F.concat(F.lit("Jusqu'à "), high, F.lit(" ans")))
+    return F.coalesce(
+        F.concat(F.lit("De "), low, F.lit(" à "), high, F.lit(" ans")),
+        F.concat(F.lit("À partir de "), low, F.lit(" ans")),
+        F.concat(F.lit("Jusqu'à "), high, F.lit(" ans")),
     )
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +43,38 @@ def _comparable(c: Column, dtype: T.DataType) -> Column:
     return empty_to_null(comparison_key(c, dtype))
 
 
+def _fixed_width(c: Column, dtype: T.DataType) -> list[Column]:
+    """Text as two 64-bit hashes, so that rows of long texts shuffle as a few numbers and aggregate
+    in hash tables. Texts that differ agree in both with a chance of 2^-128."""
+    if not isinstance(dtype, T.StringType):
+        return [c]
+    return [F.when(c.isNotNull(), h) for h in (F.xxhash64(c), F.xxhash64(F.lit(1), c))]
+
+
 def conflict_profile(
     df: DataFrame, keys: str | Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Per column, how many duplicated keys hold more than one distinct value, most first.
 
-    A key conflicts when its smallest and largest comparison keys differ, so no distinct set is
-    built. Null and blank text are no values here; an empty list is one. Null keys do not count.
+    A key conflicts when the smallest and largest stand-ins of its values differ, so no distinct
+    set is built. Null and blank text are no values here; an empty list is one. Null keys do not count.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     types = {f.name: f.dataType for f in df.schema.fields}
     columns = [c for c in (columns or df.columns) if c not in keys]
-    cells = [_comparable(F.col(f"`{n}`"), types[n]) for n in columns]
+    # A projection each: nested, every use of a value would compute it again.
+    values = {f"_v{i}": _comparable(F.col(f"`{n}`"), types[n]) for i, n in enumerate(columns)}
+    cells = df.dropna(subset=keys).select(*_key(keys), *[v.alias(n) for n, v in values.items()])
+    stand_ins = {n: _fixed_width(F.col(n), cells.schema[n].dataType) for n in values}
+    narrow = {f"{n}_{j}": x for n, xs in stand_ins.items() for j, x in enumerate(xs)}
+    differ = [
+        reduce(or_, [F.min(f"{n}_{j}") < F.max(f"{n}_{j}") for j in range(len(xs))])
+        for n, xs in stand_ins.items()
+    ]
     per_key = (
-        df.dropna(subset=keys)
+        cells.select(*_key(keys), *[x.alias(n) for n, x in narrow.items()])
         .groupBy(*_key(keys))
-        .agg(
-            F.count("*").alias("_n"),
-            *[(F.min(k) < F.max(k)).alias(f"_c{i}") for i, k in enumerate(cells)],
-        )
+        .agg(F.count("*").alias("_n"), *[d.alias(f"_c{i}") for i, d in enumerate(differ)])
         .filter(F.col("_n") > 1)
     )
     counts = per_key.agg(
