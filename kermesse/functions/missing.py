@@ -48,13 +48,14 @@ def normalise_missing(df: DataFrame, *, containers_only: bool = False) -> DataFr
     )
 
 
-def _holds_map(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.MapType):
+def holds_map(dtype: T.DataType) -> bool:
+    """Whether values of the type hold keys in an order of their own."""
+    if isinstance(dtype, (T.MapType, T.VariantType)):
         return True
     if isinstance(dtype, T.ArrayType):
-        return _holds_map(dtype.elementType)
+        return holds_map(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        return any(_holds_map(f.dataType) for f in dtype.fields)
+        return any(holds_map(f.dataType) for f in dtype.fields)
     return False
 
 
@@ -68,7 +69,7 @@ def comparison_key(c: Column, dtype: T.DataType) -> Column:
         return F.to_json(c)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
         text = F.to_json(c, {"ignoreNullFields": "false"})
-        return F.to_json(F.parse_json(text)) if _holds_map(dtype) else text
+        return F.to_json(F.parse_json(text)) if holds_map(dtype) else text
     return strip(c.cast("string"))
 
 

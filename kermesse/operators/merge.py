@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kermesse.functions.missing import comparison_key, is_missing, present
+from kermesse.functions.missing import comparison_key, holds_map, is_missing, present
 from kermesse.functions.text import valid_text, wall_micros
 
 OLDEST = -(2**63) + 1
@@ -65,8 +65,8 @@ def merge_by_key(
     """One row per key; null keys form one group.
 
     `order_by`: column that tells which row is newest (null is oldest). `tie_break`: numeric
-    columns, ascending, among rows equally new; without any, a hash of the row decides, so the
-    result never depends on partitioning. `base_only`: columns taken from the newest row even
+    columns, ascending, among rows equally new; a hash of the row decides the rest, so the result
+    never depends on partitioning. `base_only`: columns taken from the newest row even
     when missing there. `gather` / `gather_text`: new list column -> source column whose distinct
     values (distinct stripped texts) are listed newest first. `normalised`: missing values of
     whole columns are null already.
@@ -79,11 +79,10 @@ def merge_by_key(
     values = [n for n in df.columns if n != key and n not in helpers]
 
     newest = _age_rank(F.col(order_by), types[order_by]) if order_by else F.lit(0).cast("long")
-    if tie_break:
-        ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
-    else:
-        # A map cannot be hashed directly: its comparison key stands in.
-        ties = [F.xxhash64(*[comparison_key(F.col(f"`{n}`"), types[n]) for n in df.columns])]
+    ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
+    # Rows still tied go by a hash of their content. Maps cannot be hashed; their key text can.
+    cells = [(F.col(f"`{n}`"), types[n]) for n in df.columns]
+    ties.append(F.xxhash64(*[comparison_key(c, t) if holds_map(t) else c for c, t in cells]))
     # Absolute value bounds keep the negated rank inside a long.
     forward = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
     backward = [-newest, *[F.greatest(t, F.lit(OLDEST)) for t in ties]]

@@ -78,8 +78,11 @@ def test_ties_go_to_the_first_ingested_and_else_to_content(spark):
     rows = [("a", None, 2, "second"), ("a", None, 1, "first")]
     df = spark.createDataFrame(rows, "uid string, at timestamp, n int, v string")
     assert merge_by_key(df, "uid", order_by="at", tie_break=["n"]).first().v == "first"
-    results = {merge_by_key(df.repartition(p, "v"), "uid", order_by="at").first().v for p in (1, 2, 5)}
-    assert len(results) == 1
+    rows = [("a", None, 1, f"v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "uid string, at timestamp, n int, v string")
+    for ties in ([], ["n"]):
+        merge = lambda d: merge_by_key(d, "uid", order_by="at", tie_break=ties, gather={"all": "v"}).first()
+        assert len({(r.v, *r.all) for r in (merge(df.repartition(p, "v")) for p in (1, 2, 5))}) == 1
 
 
 def test_zoneless_times_order_in_any_session_zone(spark):
