@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kermesse.llm import mixing, quality, sharding, simhash
+from kermesse.llm import decontamination, mixing, quality, sharding, simhash
 from kermesse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5("text").alias("text"),
     )
     return sharding.with_shards(docs).drop("text").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.overlaps(spark, docs.select("doc_id", "text"), benchmark)
