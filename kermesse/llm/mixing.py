@@ -32,54 +32,89 @@ def _steps(count: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hypergeometric(population: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` items are marked, at the quantile `u` in [0, 1).
 
     The inverse of the distribution function, summed outwards from the mode to where what is left
     is below the precision of a double (14 standard deviations and 60 steps).
     """
-    n, k, d = (x.cast("double") for x in (population, marked, drawn))
+    given = F.struct(
+        population.cast("double").alias("n"),
+        marked.cast("double").alias("k"),
+        drawn.cast("double").alias("d"),
+        u.alias("u"),
+    )
+    return _let(given, lambda g: _let(_bounds(g), lambda b: _let(_masses(g, b), lambda m: _at(g, b, m))))
+
+
+def _bounds(g: Column) -> Column:
+    """The mode, and how many steps are summed above and below it."""
+    n, k, d = g["n"], g["k"], g["d"]
     low, high = F.greatest(lit(0.0), d + k - n), F.least(d, k)
     mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")))
     share = k / F.greatest(n, lit(1.0))
-    width = F.ceil(14 * F.sqrt(d * share * F.greatest(1 - share, lit(0.0)))) + 60
-    up, down = F.least(high - mode, width), F.least(mode - low, width)
+    width = F.ceil(14 * F.sqrt(d * share * F.greatest(1 - share, lit(0.0)))).cast("double") + 60
+    first = F.struct(mode.alias("mode"), low.alias("low"), high.alias("high"), width.alias("width"))
+    return _let(
+        first,
+        lambda f: F.struct(
+            f["mode"].alias("mode"),
+            F.least(f["high"] - f["mode"], f["width"]).alias("up"),
+            F.least(f["mode"] - f["low"], f["width"]).alias("down"),
+        ),
+    )
 
-    def rise(j: Column) -> Column:  # weight of mode + j over that of mode + j - 1
-        x = mode + j - 1
-        return (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))
 
-    def fall(j: Column) -> Column:
-        x = mode - j + 1
-        return x * (n - k - d + x) / ((k - x + 1) * (d - x + 1))
+def _rise(g: Column, b: Column, j: Column) -> Column:
+    """The weight of mode + j over that of mode + j - 1."""
+    x = b["mode"] + j - 1
+    return (g["k"] - x) * (g["d"] - x) / ((x + 1) * (g["n"] - g["k"] - g["d"] + x + 1))
+
+
+def _fall(g: Column, b: Column, j: Column) -> Column:
+    x = b["mode"] - j + 1
+    return x * (g["n"] - g["k"] - g["d"] + x) / ((g["k"] - x + 1) * (g["d"] - x + 1))
+
+
+def _masses(g: Column, b: Column) -> Column:
+    """Summed weights above and below the mode, whose own weight is 1."""
 
     def mass(ratio, count: Column) -> Column:
         start = F.struct(lit(1.0).alias("w"), lit(0.0).alias("sum"))
-        step = lambda acc, j: F.struct(
-            (acc["w"] * ratio(j)).alias("w"), (acc["sum"] + acc["w"] * ratio(j)).alias("sum")
+        step = lambda acc, j: _let(
+            acc["w"] * ratio(g, b, j),
+            lambda w: F.struct(w.alias("w"), (acc["sum"] + w).alias("sum")),
         )
         return F.aggregate(_steps(count), start, step, lambda acc: acc["sum"])
 
+    return F.struct(mass(_rise, b["up"]).alias("above"), mass(_fall, b["down"]).alias("below"))
+
+
+def _at(g: Column, b: Column, m: Column) -> Column:
+    """The value at the quantile: the mode, or as many steps as bring the sum past it."""
+
     def walk(ratio, count: Column, beyond: Column) -> Column:
-        """Steps until the summed weights pass `beyond`."""
         start = F.struct(lit(1.0).alias("w"), lit(0.0).alias("sum"), lit(0).alias("at"))
-
-        def step(acc: Column, j: Column) -> Column:
-            w = acc["w"] * ratio(j)
-            return F.struct(
+        step = lambda acc, j: _let(
+            acc["w"] * ratio(g, b, j),
+            lambda w: F.struct(
                 w.alias("w"),
                 (acc["sum"] + w).alias("sum"),
                 F.when(acc["sum"] <= beyond, j).otherwise(acc["at"]).cast("int").alias("at"),
-            )
-
+            ),
+        )
         return F.aggregate(_steps(count), start, step, lambda acc: acc["at"])
 
-    above = mass(rise, up)
-    point = u * (1 + above + mass(fall, down))
+    point = g["u"] * (1 + m["above"] + m["below"])
     return (
-        F.when(point < 1, mode)
-        .when(point < 1 + above, mode + walk(rise, up, point - 1))
-        .otherwise(mode - walk(fall, down, point - 1 - above))
+        F.when(point < 1, b["mode"])
+        .when(point < 1 + m["above"], b["mode"] + walk(_rise, b["up"], point - 1))
+        .otherwise(b["mode"] - walk(_fall, b["down"], point - 1 - m["above"]))
         .cast("long")
     )
 
@@ -94,11 +129,13 @@ def split_node(counts: Column, drawn: Column, label: Column) -> Column:
     def step(acc: Column, count: Column) -> Column:
         digits = F.substring(F.md5(F.concat_ws(":", lit(SEED), label, F.size(acc["out"]))), 1, 13)
         u = F.conv(digits, 16, 10).cast("double") / lit(float(1 << 52))
-        x = hypergeometric(acc["pool"], count, acc["need"], u)
-        return F.struct(
-            (acc["pool"] - count).alias("pool"),
-            (acc["need"] - x).alias("need"),
-            F.array_append(acc["out"], x).alias("out"),
+        return _let(
+            hypergeometric(acc["pool"], count, acc["need"], u),
+            lambda x: F.struct(
+                (acc["pool"] - count).alias("pool"),
+                (acc["need"] - x).alias("need"),
+                F.array_append(acc["out"], x).alias("out"),
+            ),
         )
 
     return F.aggregate(counts, start, step, lambda acc: acc["out"])
@@ -107,23 +144,20 @@ def split_node(counts: Column, drawn: Column, label: Column) -> Column:
 def splitting_tree(root: DataFrame, shards: int) -> DataFrame:
     """(shard, counts) from one row (counts): each source's block draws in each shard."""
     nodes = root.select(lit(0).alias("low"), lit(shards).alias("high"), "counts")
+    total = F.aggregate("counts", lit(0).cast("long"), lambda a, x: a + x)
+    middle = F.floor((c("low") + c("high")) / 2).cast("int")
+    drawn = F.floor(total * (middle - c("low")) / (c("high") - c("low"))).cast("long")
+    left = split_node(c("counts"), drawn, F.concat_ws("-", "low", "high"))
+    right = F.zip_with("counts", "left", lambda a, b: a - b)
+    halves = F.array(
+        F.struct("low", c("middle").alias("high"), c("left").alias("counts")),
+        F.struct(c("middle").alias("low"), "high", right.alias("counts")),
+    )
+    whole = F.array(F.struct("low", "high", "counts"))
+    children = F.explode(F.when(c("high") - c("low") > 1, halves).otherwise(whole)).alias("node")
     for _ in range(max(shards - 1, 0).bit_length()):
-        total = F.aggregate("counts", lit(0).cast("long"), lambda a, x: a + x)
-        middle = F.floor((c("low") + c("high")) / 2).cast("int")
-        drawn = F.floor(total * (middle - c("low")) / (c("high") - c("low"))).cast("long")
-        label = F.concat_ws("-", "low", "high")
-        halves = nodes.withColumn("middle", middle).withColumn(
-            "left", split_node(c("counts"), drawn, label)
-        )
-        right = F.zip_with("counts", "left", lambda a, b: a - b)
-        children = F.when(
-            c("high") - c("low") > 1,
-            F.array(
-                F.struct("low", c("middle").alias("high"), c("left").alias("counts")),
-                F.struct(c("middle").alias("low"), "high", right.alias("counts")),
-            ),
-        ).otherwise(F.array(F.struct("low", "high", "counts")))
-        nodes = halves.select(F.explode(children).alias("node")).select("node.*")
+        parts = nodes.select("low", "high", "counts", middle.alias("middle"), left.alias("left"))
+        nodes = parts.select(children).select("node.*")
     return nodes.select(c("low").alias("shard"), "counts")
 
 
