@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kermesse.llm import decontamination, html, mixing, quality, secrets, sharding, simhash
+from kermesse.llm import (
+    decontamination,
+    html,
+    licenses,
+    linededup,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+)
 from kermesse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +80,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract(pages)
+
+
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
