@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kermesse.llm import (
     decontamination,
     html,
+    katz,
     licenses,
     linededup,
     mixing,
@@ -90,3 +91,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
