@@ -78,7 +78,8 @@ def explode_chunks(
     overlap: int = CHUNK_OVERLAP,
     carry: Sequence[str] | None = CHUNK_COLUMNS,
 ) -> DataFrame:
-    """One row per chunk: `chunk_id` = key_index, `chunk_index`, `chunk_text`, carried columns.
+    """One row per chunk: `chunk_id` = key_index, `chunk_index`, `chunk_text`, carried columns. A
+    null key is written "None".
 
     `carry` names the output columns, so the schema is the same whichever columns the cleaning
     dropped: one that does not exist is null. None carries those that exist.
@@ -90,7 +91,8 @@ def explode_chunks(
         F.posexplode(split_text(F.col(text), size, overlap)).alias("chunk_index", "chunk_text"),
     )
     chunks = chunks.withColumn(
-        "chunk_id", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index"))
+        "chunk_id",
+        F.concat_ws("_", F.coalesce(F.col(key).cast("string"), F.lit("None")), F.col("chunk_index")),
     )
     if carry is None:
         return chunks.select(*keep, "chunk_id", "chunk_index", "chunk_text")

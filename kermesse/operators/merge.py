@@ -40,6 +40,23 @@ def _age_rank(c: Column, dtype: T.DataType) -> Column:
     return F.coalesce(micros, F.lit(OLDEST))
 
 
+def _hashable(c: Column, dtype: T.DataType) -> Column:
+    """A value that can be hashed: each map in it as its entries in order of their keys."""
+    if not holds_map(dtype):
+        return c
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(e["key"].alias("k"), _hashable(e["value"], dtype.valueType).alias("v")),
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _hashable(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_hashable(c[f.name], f.dataType).alias(f.name) for f in dtype.fields])
+    return F.to_json(c)
+
+
 def _group_key(c: Column) -> Column:
     """Text that is never null, so that both sides of the join keep the aggregations' partitioning.
 
@@ -80,9 +97,8 @@ def merge_by_key(
 
     newest = _age_rank(F.col(order_by), types[order_by]) if order_by else F.lit(0).cast("long")
     ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
-    # Rows still tied go by a hash of their content. Maps cannot be hashed; their key text can.
-    cells = [(F.col(f"`{n}`"), types[n]) for n in df.columns]
-    ties.append(F.xxhash64(*[comparison_key(c, t) if holds_map(t) else c for c, t in cells]))
+    # Rows still tied go by a hash of their content.
+    ties.append(F.xxhash64(*[_hashable(F.col(f"`{n}`"), types[n]) for n in df.columns]))
     # Absolute value bounds keep the negated rank inside a long.
     forward = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
     backward = [-newest, *[F.greatest(t, F.lit(OLDEST)) for t in ties]]

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from kermesse.constants import EMBED_BATCH
 
+ROWS_PER_TASK = 20_000  # texts embedded by one task
+
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Generator = Callable[[Sequence[str]], Sequence[str]]
 
@@ -105,14 +107,19 @@ def embed_table(
     keep: Sequence[str] = ("chunk_id", "uid"),
     batch_size: int = EMBED_BATCH,
     spread_by: str | None = None,
+    rows: int | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """The kept columns and `embedding`.
 
     A model costs far more than a shuffle. Where the texts may sit in few partitions or one long
-    document holds many of them, `spread_by` names a near-unique column to spread them by; the
-    partition count is fixed so that small data is spread too.
+    document holds many of them, `spread_by` names a near-unique column to spread them by. Their
+    number follows the rows: `rows`, or a count where it is not given, over `rows_per_task`, and no
+    less than the cluster's cores, so that small data is spread too.
     """
     if spread_by is not None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = df.sparkSession
+        known = df.count() if rows is None else rows
+        partitions = max(-(-known // rows_per_task), spark.sparkContext.defaultParallelism)
         df = df.select(*keep, text).repartition(partitions, spread_by)
     return df.select(*keep, embed(F.col(text), factory, batch_size=batch_size).alias("embedding"))

@@ -44,11 +44,13 @@ def _comparable(c: Column, dtype: T.DataType) -> Column:
 
 
 def _fixed_width(c: Column, dtype: T.DataType) -> list[Column]:
-    """Text as two 64-bit hashes, so that rows of long texts shuffle as a few numbers and aggregate
-    in hash tables. Texts that differ agree in both with a chance of 2^-128."""
+    """Text as the four numbers of its SHA-256, so that rows of long texts shuffle as a few numbers
+    and aggregate in hash tables."""
     if not isinstance(dtype, T.StringType):
         return [c]
-    return [F.when(c.isNotNull(), h) for h in (F.xxhash64(c), F.xxhash64(F.lit(1), c))]
+    digest = F.sha2(c, 256)
+    part = lambda i: F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long")
+    return [part(i) for i in range(4)]
 
 
 def conflict_profile(

@@ -51,9 +51,12 @@ def normalise_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def index_profile(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """One row: vectors, smallest and largest dimension, vectors that are null or hold a null."""
+    """One row: vectors, smallest and largest dimension, vectors that are null or hold a null, a
+    NaN or an infinity."""
     size = F.size(column)
-    broken = F.col(column).isNull() | F.exists(column, lambda x: x.isNull())
+    infinite = F.lit(float("inf"))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == infinite)
+    broken = F.col(column).isNull() | F.exists(column, bad)
     return df.agg(
         F.count("*").alias("vectors"),
         F.min(size).alias("min_dimension"),
@@ -173,6 +176,8 @@ def _block_search(n: int, vector: str, carry: Sequence[str], id_column: str):
             for start in range(0, len(queries), step):
                 # Scores are single precision, as the stored vectors are.
                 scores = (queries[start : start + step] @ vectors.T).astype(np.float32)
+                if not np.isfinite(scores).all():
+                    raise ValueError("a vector or a query is not finite")
                 if scores.shape[1] > n:
                     cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
                     q, v = np.nonzero(scores >= cut[:, None])
@@ -311,17 +316,19 @@ def top_events(
 ) -> DataFrame:
     """Best chunk of each of the `k` best events among the overfetch * k best chunks.
 
-    A `k` column in `queries` sets each query's own k, at most the `k` given here. May return
-    fewer than k events when few events fill the chunks fetched.
+    A `k` column in `queries` sets each query's own k; where it is null the `k` given here counts.
+    May return fewer than k events when few events fill the chunks fetched.
     """
     require_columns(vectors, (event_column,))
     asked = queries if isinstance(queries, QuerySet) else query_set(queries)
+    most, limit = k, F.lit(k)
+    if "k" in asked.df.columns:
+        most = max(k, asked.df.agg(F.max("k")).first()[0] or 0)
     chunks = top_chunks(
-        vectors, asked, overfetch * k, id_column=id_column, carry=[event_column]
+        vectors, asked, overfetch * most, id_column=id_column, carry=[event_column]
     ).withColumnRenamed("rank", "chunk_rank")
-    limit: int | Column = k
     if "k" in asked.df.columns:
-        own = asked.df.select("query_id", F.col("k").alias("_k"))
+        own = asked.df.select("query_id", F.coalesce("k", F.lit(k)).alias("_k"))
         chunks = chunks.join(own, "query_id").filter(F.col("chunk_rank") <= overfetch * F.col("_k"))
         limit = F.col("_k")
     events = first_per_key(chunks, ["query_id"], [event_column], [F.asc("chunk_rank")], limit)

@@ -70,9 +70,12 @@ def embed_events(
     """Clean events to `documents` (one row per chunk) and `vectors`, both keyed by chunk id."""
     chunks = explode_chunks(with_document_text(events), size=size, overlap=overlap)
     documents = save_documents(chunks, out("documents"))
-    if documents.isEmpty():
+    rows = documents.count()  # from the footers of the written table
+    if not rows:
         raise ValueError("no text to embed")
-    vectors = embed_table(documents, embedder, batch_size=batch_size, spread_by="chunk_id")
+    vectors = embed_table(
+        documents, embedder, batch_size=batch_size, spread_by="chunk_id", rows=rows
+    )
     vectors = write_table(vectors, out("vectors"))
     return documents, vectors
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kermesse.constants import DEFAULT_AGENDA_TITLE, RECENT_MONTHS
-from kermesse.sources.schemas import AGENDA_PAGE, EVENT_PAGE
+from kermesse.sources.schemas import AGENDA_PAGE, EVENT_PAGE, text_cells
 
 INGEST_ORDER = ("ingest_agenda", "ingest_page", "ingest_pos")
 
@@ -90,7 +90,9 @@ def explode_events(raw: DataFrame) -> DataFrame:
         F.posexplode_outer("p.events").alias("ingest_pos", "e"),
     )
     rows = flat.filter(F.col("unreadable") | F.col("e").isNotNull())
-    return rows.select("agenda_uid", "ingest_page", "ingest_pos", "unreadable", "e.*")
+    return text_cells(
+        rows.select("agenda_uid", "ingest_page", "ingest_pos", "unreadable", "e.*")
+    )
 
 
 def tag_events(

@@ -1,9 +1,10 @@
 """Shape of landed pages, and conforming of raw event columns to one type each.
 
-Cells that may hold more than one JSON type are read as text, where Spark keeps an object or
-list as its JSON with the key order it had: `keywords` (list or text), `image` (object or
-text), a location's `description` and `access` (language map or text), a link's `data`.
-Numbers that are only shown (ids, ages) are read as text too, so they show as written.
+Cells that may hold more than one JSON type are landed as VARIANT, which keeps the type each one
+has: `keywords` (list or text), `image` (object or text) and the text columns, where an empty list
+or object stands for nothing but the words "[]" and "{}" are text. A location's texts and a link's
+`data` are read as text, where Spark keeps an object or list as its JSON with the key order it had.
+Numbers that are only shown (ids, ages) become text too.
 """
 
 from __future__ import annotations
@@ -54,7 +55,13 @@ RAW_TYPES = {
     "links": "array<struct<link:string,data:string>>",
 }
 
-RAW_EVENT = "struct<" + ",".join(f"{n}:{t}" for n, t in RAW_TYPES.items()) + ">"
+# Text columns of a landed event that keep their JSON type until `text_cells`.
+TEXT_COLUMNS = (
+    "title", "description", "longDescription", "dateRange", "createdAt", "updatedAt", "conditions",
+    "billetterie",
+)
+LANDED_TYPES = {**RAW_TYPES, **dict.fromkeys((*TEXT_COLUMNS, "keywords", "image"), "variant")}
+RAW_EVENT = "struct<" + ",".join(f"{n}:{t}" for n, t in LANDED_TYPES.items()) + ">"
 AGENDA_PAGE = "page long, agendas array<struct<uid:string,title:string>>, after string"
 EVENT_PAGE = f"agenda_uid string, page long, events array<{RAW_EVENT}>, after string"
 
@@ -62,9 +69,36 @@ EVENT_PAGE = f"agenda_uid string, page long, events array<{RAW_EVENT}>, after st
 FALSE_TEXTS = ("false", "0", "0.0", "", "null", "[]", "{}")
 
 
-def _text(c: Column) -> Column:
-    """Text cell; an empty object or list in its place counts as absent."""
-    return F.when(~c.isin("{}", "[]"), c)
+def _kind(c: Column) -> Column:
+    """First letters of a VARIANT's type: OBJECT, ARRAY, or that of a plain value."""
+    return F.substring_index(F.schema_of_variant(c), "<", 1)
+
+
+def _plain(c: Column) -> Column:
+    """Text of a VARIANT cell; null for an empty list or object, JSON for another one."""
+    shown = F.try_variant_get(c, "$", "string")
+    return F.when(~(_kind(c).isin("OBJECT", "ARRAY") & shown.isin("{}", "[]")), shown)
+
+
+def text_cells(events: DataFrame) -> DataFrame:
+    """Landed events with their text columns as text; other VARIANT cells stay for `conform_raw`."""
+    variants = {f.name for f in events.schema.fields if isinstance(f.dataType, T.VariantType)}
+    return events.select(
+        *[
+            _plain(F.col(n)).alias(n) if n in variants and n in TEXT_COLUMNS else F.col(f"`{n}`")
+            for n in events.columns
+        ]
+    )
+
+
+def _keywords(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """(list, text) of a keywords cell. Where it is text already, a JSON list of texts is a list, and
+    what does not parse as one is text, whatever it begins with."""
+    if isinstance(dtype, T.VariantType):
+        is_list = _kind(c) == "ARRAY"
+        return F.when(is_list, F.try_variant_get(c, "$", "array<string>")), F.when(~is_list, _plain(c))
+    found = F.try_variant_get(F.try_parse_json(c), "$", "array<string>")
+    return found, F.when(found.isNull(), c)
 
 
 def _image(c: Column, dtype: T.DataType) -> Column:
@@ -72,9 +106,12 @@ def _image(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         fields, text, is_object = c, F.lit(None).cast("string"), c.isNotNull()
     else:
-        is_object = F.coalesce(F.startswith(c, F.lit("{")), F.lit(False))
-        fields = F.from_json(F.when(is_object, c), IMAGE_OBJECT)
-        text = F.when(~is_object & ~F.startswith(c, F.lit("[")), c)
+        cell = c if isinstance(dtype, T.VariantType) else F.try_parse_json(c)
+        is_object = F.coalesce(_kind(cell) == "OBJECT", F.lit(False))
+        fields = F.try_variant_get(F.when(is_object, cell), "$", IMAGE_OBJECT)
+        is_list = F.coalesce(_kind(cell) == "ARRAY", F.lit(False))
+        shown = _plain(c) if isinstance(dtype, T.VariantType) else c
+        text = F.when(~is_object & ~is_list, shown)
     cell = F.struct(
         empty_to_null(fields["base"]).alias("base"),
         empty_to_null(fields["filename"]).alias("filename"),
@@ -82,8 +119,7 @@ def _image(c: Column, dtype: T.DataType) -> Column:
         text.alias("text"),
         F.when(is_object, F.lit(True)).alias("object"),
     )
-    kept = c if isinstance(dtype, T.StructType) else _text(c)
-    return F.when(kept.isNotNull(), cell)
+    return F.when(is_object | text.isNotNull(), cell)
 
 
 def _location(c: Column, dtype: T.StructType) -> Column:
@@ -96,7 +132,7 @@ def _location(c: Column, dtype: T.StructType) -> Column:
         elif isinstance(types[name], (T.MapType, T.StructType)):
             cell = F.to_json(c[name])
         else:
-            cell = _text(c[name].cast("string"))
+            cell = c[name].cast("string")
         if name in ("latitude", "longitude"):
             cell = cell.try_cast("double")
         cells.append(cell.alias(name))
@@ -129,12 +165,11 @@ def conform_raw(df: DataFrame) -> DataFrame:
             continue
         c, dtype = F.col(name), types[name]
         if name == "keywords":
-            is_list = F.startswith(c, F.lit("[")) if isinstance(dtype, T.StringType) else None
-            if is_list is None:
+            if isinstance(dtype, (T.StringType, T.VariantType)):
+                words, text = _keywords(c, dtype)
+                out += [words.alias("keywords"), text.alias("keywords_text")]
+            else:
                 out.append(c.alias(name))
-                continue
-            out.append(F.from_json(F.when(is_list, c), "array<string>").alias("keywords"))
-            out.append(F.when(~is_list, _text(c)).alias("keywords_text"))
             continue
         if name == "image":
             c = _image(c, dtype)
@@ -151,9 +186,9 @@ def conform_raw(df: DataFrame) -> DataFrame:
             number = c.try_cast("double")
             c = F.when(number == F.floor(number), number.try_cast("int"))
         elif name in ("uid", "agenda_uid", "billetterie"):
-            c = _text(c.cast("string"))
-        elif isinstance(dtype, T.StringType):
-            c = _text(c)
+            c = _plain(c) if isinstance(dtype, T.VariantType) else c.cast("string")
+        elif isinstance(dtype, T.VariantType):
+            c = _plain(c)
         out.append(c.alias(name))
     out += [F.col(f"`{n}`") for n in df.columns if n not in RAW_COLUMNS]
     return df.select(*out)

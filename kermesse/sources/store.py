@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -28,13 +27,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write to the checkpoint folder and read back, so later steps neither recompute `df` nor
     depend on the executors that made it.
 
-    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared storage.
-    Only where that is unset, as in tests, is a temporary folder used.
+    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared storage;
+    this raises where it is unset. Who sets the folder also clears it.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="kermesse-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return write_table(df, f"{folder.rstrip('/')}/kermesse-{uuid.uuid4().hex}")
 
 
