@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from kermesse.llm.common import WHITE_SPACE, free_name, materialise, slices
 
-SEED_WORDS = 4
+SEED_WORDS = 3
 RARE_SHARE = 0.75  # of an item's n-grams, the rarest in the corpus, are seeds
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5  # of the score of an exact copy
