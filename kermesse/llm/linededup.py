@@ -15,6 +15,8 @@ from kermesse.llm.common import free_name, materialise, slices
 WINDOW_LINES = 2
 CUT_ONE_IN = 4  # a boundary after one line in four, on average
 LONG_LINE = 50  # words; such a line is a chunk by itself
+HOT_CHUNK = 1000  # a chunk found more often meets its first occurrence in SALTS tasks
+SALTS = 16
 
 
 def chunks(text: str | None) -> list[tuple[int, int]]:
@@ -89,23 +91,32 @@ def repeated_chunks(docs: DataFrame, row: str, order: str, text: str) -> DataFra
 
     Chunks meet by hash first, without their text. Only those whose hash is found twice are read
     with their text, and are equal only if their bytes are. The first by `order` (nulls last), row
-    and place stays. A chunk that millions of rows share is summed up before it is shuffled.
+    and place stays. A chunk that millions of rows share is summed up before it is shuffled, and its
+    rows are dealt to several tasks.
     """
     narrow = _chunk_rows(docs, row, order, text, with_text=False)
-    again = materialise(
-        narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    )
-    full = materialise(_chunk_rows(docs, row, order, text, with_text=True).join(again, "hash"))
+    again = materialise(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    # Merge joins at every size: texts meet in the same way on a small and on a large input.
+    found = _chunk_rows(docs, row, order, text, with_text=True).join(again.hint("merge"), "hash")
+    salt = F.when(F.col("n") > HOT_CHUNK, F.pmod(F.xxhash64(row, "chunk"), F.lit(SALTS))).otherwise(0)
+    full = materialise(found.withColumn("salt", salt))
     place = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("o"), F.col(row).alias("r"), "chunk")
     first = (
         full.groupBy("hash", "chunk_text")
-        .agg(F.count("*").alias("n"), F.min(place).alias("first"))
-        .where("n > 1")
-        .withColumnRenamed("hash", "hash_")
-        .withColumnRenamed("chunk_text", "chunk_text_")
+        .agg(F.count("*").alias("times"), F.min(place).alias("first"), F.max("n").alias("n"))
+        .where("times > 1")
+        .select(
+            F.col("hash").alias("hash_"),
+            F.col("chunk_text").alias("chunk_text_"),
+            "first",
+            F.explode(
+                F.sequence(F.lit(0), F.when(F.col("n") > HOT_CHUNK, SALTS - 1).otherwise(0))
+            ).alias("salt_"),
+        )
     )
+    same = (F.col("hash") == F.col("hash_")) & (F.col("salt") == F.col("salt_"))
     later = full.join(
-        first, (F.col("hash") == F.col("hash_")) & (F.col("chunk_text") == F.col("chunk_text_"))
+        first.hint("merge"), same & (F.col("chunk_text") == F.col("chunk_text_"))
     ).where((F.col(row) != F.col("first.r")) | (F.col("chunk") != F.col("first.chunk")))
     return later.groupBy(row).agg(F.collect_set("chunk").alias("numbers"))
 
@@ -126,7 +137,7 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     numbers = materialise(
         repeated_chunks(distinct, row, id, text).withColumnRenamed("numbers", removed)
     )
-    joined = keyed.join(numbers, row, "left")
+    joined = keyed.join(numbers.hint("merge"), row, "left")
     names = [name for name in keyed.columns if name != row]
     counts = StructType.fromDDL("n_lines long, n_removed long")
     out = StructType([*keyed.select(*names).schema.fields, *counts.fields])
