@@ -21,6 +21,7 @@ TYPES = {
     "int": "INTEGER",
     "string": "VARCHAR",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 

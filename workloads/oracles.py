@@ -103,6 +103,12 @@ RESULTS = f"""WITH {UNIT}, {TOP_EVENTS},
             CAST(count(*) AS INTEGER) AS n_events
         FROM shown GROUP BY query_id)"""
 
+LINES = f"""{IMPORTED},
+    lines AS (
+        SELECT uid, title, length('Titre : ' || title || CASE WHEN {strip("description")} <> '' THEN chr(10) || 'Description : ' || d ELSE '' END) AS n FROM (
+            SELECT *, nullif({strip("regexp_replace(regexp_replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '[-_]{{3,}}', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g')")}, '') AS d FROM tagged)),
+    parts AS (SELECT *, CAST(CASE WHEN n <= 1000 THEN 1 ELSE ceil((n - 1000) / 850.0) + 1 END AS BIGINT) AS chunks FROM lines)"""
+
 ORACLES = {
     "explode_pages": f"WITH {IMPORTED} SELECT * FROM tagged",
     "rejected_agendas": """
@@ -344,13 +350,34 @@ ORACLES = {
             'Demande : Quoi de neuf {{context}} ' || query_id || chr(10) || chr(10) || 'Événements :' || chr(10) || chr(10) || coalesce(context, '') AS answer,
             coalesce(n_events, 0) AS n_events
         FROM (SELECT DISTINCT label AS query_id FROM embeddings) LEFT JOIN contexts USING (query_id)""",
-    "build_stages": f"""WITH {IMPORTED},
-        lines AS (
-            SELECT length('Titre : ' || title || CASE WHEN {strip("description")} <> '' THEN chr(10) || 'Description : ' || d ELSE '' END) AS n FROM (
-                SELECT *, nullif({strip("regexp_replace(regexp_replace(regexp_replace(description, '<[^>]+>', ' ', 'g'), '[-_]{{3,}}', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g')")}, '') AS d FROM tagged)),
-        n AS (SELECT CAST(sum(CASE WHEN n <= 1000 THEN 1 ELSE ceil((n - 1000) / 850.0) + 1 END) AS BIGINT) AS chunks FROM lines)
+    "build_stages": f"""WITH {LINES},
+        n AS (SELECT CAST(sum(chunks) AS BIGINT) AS chunks FROM parts)
         SELECT 'raw' AS stage, (SELECT count(*) FROM tagged) AS rows, CAST(NULL AS INTEGER) AS dimension
         UNION ALL SELECT 'clean', (SELECT count(DISTINCT uid) FROM tagged), NULL
         UNION ALL SELECT 'chunks', chunks, NULL FROM n
         UNION ALL SELECT 'vectors', chunks, 64 FROM n""",
+    "landed_pages": """
+        SELECT CAST(conv_id AS VARCHAR) AS agenda_uid, conv_id || '-' || turn AS uid, role AS title, false AS unreadable
+        FROM conversations WHERE turn <> 7 AND role IN ('user', 'assistant')
+        UNION ALL SELECT CAST(conv_id AS VARCHAR), conv_id || '-' || turn || 'b', 'reply', false
+        FROM conversations WHERE turn <> 7 AND role = 'assistant'
+        UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, NULL, true FROM conversations WHERE turn = 7""",
+    "rebuild_job": f"""WITH {LINES}
+        SELECT CAST(1 AS BIGINT) AS version, (SELECT count(DISTINCT uid) FROM tagged) AS clean_events,
+            CAST(sum(chunks) AS BIGINT) AS chunks, 64 AS embedding_dimension, CAST(sum(chunks) AS BIGINT) AS indexed_vectors
+        FROM parts""",
+    "stored_vectors": f"""WITH {LINES}
+        SELECT uid || '_' || i AS chunk_id, uid, title, CAST(1 AS DOUBLE) AS squared_length
+        FROM (SELECT uid, title, unnest(generate_series(0, chunks - 1)) AS i FROM parts)""",
+    "polymorphic_cells": """
+        SELECT CAST(c_custkey AS VARCHAR) AS uid,
+            CASE c_custkey % 5 WHEN 0 THEN '[]' WHEN 1 THEN '{}' WHEN 2 THEN NULL ELSE 'd' END AS description,
+            CASE c_custkey % 5 WHEN 0 THEN '[Jazz] concert' WHEN 1 THEN 'a, b' WHEN 2 THEN NULL ELSE '{x}' END AS keywords,
+            CASE c_custkey % 5 WHEN 0 THEN '[x].jpg' WHEN 1 THEN 'u/f' END AS image
+        FROM customer""",
+    "topk_own_k": """
+        SELECT DISTINCT label AS query_id, CAST(label + 1 AS BIGINT) AS n, CAST(label + 1 AS INTEGER) AS last FROM embeddings""",
+    "answered_questions": f"""
+        SELECT item_id AS query_id, {strip("text")} AS question, true AS answered
+        FROM benchmark WHERE item_id % 5 IN (1, 2, 3) AND item_id <> 3""",
 }

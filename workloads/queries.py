@@ -7,6 +7,8 @@ columns first; the SQL in `oracles.py` derives the same.
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,10 @@ from kermesse.constants import (
 from kermesse.functions import formats, missing, text
 from kermesse.operators import answers, chunks, columns, merge, models, profiles, vectors
 from kermesse.plans.clean import clean_events
+from kermesse.plans import jobs
 from kermesse.plans.jobs import stage_counts
 from kermesse.sources import pages
-from kermesse.sources.store import materialise
+from kermesse.sources.store import VectorStore, materialise, published
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder. A local session without one, as a test's may be, gets its own."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kermesse-"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def iso(ts: Column, suffix: str = "") -> Column:
     return F.concat(F.replace(ts.cast("string"), lit(" "), lit("T")), lit(suffix))
 
@@ -702,9 +714,98 @@ def generated_answers(spark, sf_dir):
 @query
 def build_stages(spark, sf_dir):
     """Pages to clean events to chunks to unit vectors: rows of every stage."""
+    shared_folder(spark)
     raw = materialise(_import(spark, sf_dir).events)
     clean = materialise(clean_events(raw))
-    parts = chunks.explode_chunks(chunks.with_document_text(clean))
+    parts = materialise(chunks.explode_chunks(chunks.with_document_text(clean)))
     embedded = models.embed_table(parts, models.hashed_token_embedder(), spread_by="chunk_id")
     units = vectors.normalise_vectors(embedded)
     return stage_counts({"raw": raw, "clean": clean, "chunks": parts, "vectors": units})
+
+
+# --- Jobs over landed files ---
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Agenda and event pages written as text files, one folder per agenda; and a new root folder."""
+    root = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
+    _agenda_pages(spark, sf_dir).write.text(f"{root}/agendas")
+    owned = _event_pages(spark, sf_dir).withColumn("agenda_uid", F.regexp_extract("value", r'"agenda_uid":(\d+)', 1))
+    owned.repartition("agenda_uid").write.partitionBy("agenda_uid").text(f"{root}/events")
+    return f"{root}/agendas", f"{root}/events", f"{root}/store"
+
+
+@query
+def landed_pages(spark, sf_dir):
+    """`read_pages` over landed files, the agenda taken from the folder."""
+    _, events, _ = _landed(spark, sf_dir)
+    rows = pages.explode_events(pages.read_pages(spark, events))
+    return rows.select("agenda_uid", "uid", "title", "unreadable")
+
+
+@query
+def rebuild_job(spark, sf_dir):
+    """Import, clean, embed, index and publish; what the manifest says."""
+    agendas, events, root = _landed(spark, sf_dir)
+    jobs.rebuild(spark, agendas, events, root, models.hashed_token_embedder())
+    return published(spark, root)
+
+
+@query
+def stored_vectors(spark, sf_dir):
+    """Index and documents of a store as written by the jobs, joined by chunk."""
+    agendas, events, root = _landed(spark, sf_dir)
+    jobs.rebuild(spark, agendas, events, root, models.hashed_token_embedder())
+    store = VectorStore(spark, root)
+    store.load()
+    index, documents = store.reload()
+    columns.require_columns(documents, ("chunk_id", "uid", "title"))
+    length = F.aggregate("embedding", lit(0.0), lambda a, x: a + x * x)
+    units = index.select("chunk_id", F.round(length, 3).alias("squared_length"))
+    return documents.select("chunk_id", "uid", "title").join(units, "chunk_id")
+
+
+@query
+def polymorphic_cells(spark, sf_dir):
+    """Text that looks like JSON beside real lists and objects, through landing and cleaning."""
+    n = c("c_custkey") % 5
+    events = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.concat(
+            lit('{"agenda_uid":1,"page":'), "c_custkey", lit(',"events":[{"uid":'), "c_custkey", lit(',"title":"t","description":'),
+            when(n == 0, lit('"[]"')).when(n == 1, lit('"{}"')).when(n == 2, lit("{}")).otherwise(lit('"d"')),
+            lit(',"keywords":'),
+            when(n == 0, lit('"[Jazz] concert"')).when(n == 1, lit('["a","b"]')).when(n == 2, lit("[]")).otherwise(lit('"{x}"')),
+            lit(',"image":'),
+            when(n == 0, lit('"[x].jpg"')).when(n == 1, lit('{"base":"u/","filename":"f"}')).otherwise(lit("null")),
+            lit("}]}"),
+        ).alias("value"),
+    )
+    raw = pages.explode_events(events.select("value")).select("uid", "title", "description", "keywords", "image")
+    return clean_events(raw).select("uid", "description", "keywords", "image")
+
+
+@query
+def topk_own_k(spark, sf_dir):
+    """A k of each query's own, also above the argument: three chunks fetched for each event."""
+    asked = _label_queries(spark, sf_dir).withColumn("k", (c("query_id") + 1).cast("int"))
+    found = vectors.top_events(_index(spark, sf_dir).withColumn("uid", c("chunk_id")), asked, 2)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+
+
+@query
+def answered_questions(spark, sf_dir):
+    """Questions end to end, k from none to too many; a question without text or with a k out of
+    bounds has no answer."""
+    index = models.embed_table(_document_chunks(spark, sf_dir), models.hashed_token_embedder())
+    docs = _document_chunks(spark, sf_dir).select("chunk_id", c("chunk_text").alias("title"))
+    n = c("query_id") % 5
+    k = when(n == 0, 0).when(n == 1, 1).when(n == 2, 10).when(n == 4, 11).cast("int")
+    out = answers.answer_questions(
+        _questions(spark, sf_dir).withColumn("k", k),
+        vectors.normalise_vectors(index),
+        docs,
+        models.hashed_token_embedder(),
+        answers.echo_generator(),
+    )
+    return out.select("query_id", "question", (F.size("events") > 0).alias("answered"))
