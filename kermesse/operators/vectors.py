@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -18,15 +19,15 @@ from pyspark.sql import types as T
 
 from kermesse.constants import DEFAULT_K, OVERFETCH
 from kermesse.operators.columns import require_columns
+from kermesse.sources.store import materialise
 
-# A query matrix up to this size is handed to every task whole; a larger one is shuffled in blocks.
+# A query matrix up to this size is handed to every task whole; a larger one block by block.
 MAX_LOCAL_QUERIES = 4096
 MAX_LOCAL_CELLS = 1 << 22
 # Result rows up to this many may be broadcast to look up their documents.
 MAX_BROADCAST_ROWS = 200_000
-# Rows of one (query block, vector block) pair in the shuffled form.
-QUERY_BLOCK = 2048
-VECTOR_BLOCK = 32_768
+# Queries of one pass over the vectors where they are more.
+QUERY_BLOCK = 4096
 # Partial winners of a query are cut in this many groups before the last cut.
 FAN_IN = 64
 
@@ -225,40 +226,21 @@ def _search_local(vectors, local, n, id_column, carry, schema):
 
 
 def _search_blocked(vectors, queries, n, id_column, carry, schema):
-    """Queries do not fit: query blocks meet vector blocks in a grid of bounded tasks."""
-    search, matrix = _block_search(n, "embedding", carry, id_column)
-    names = schema.names
-    q_blocks = math.ceil(queries.count() / QUERY_BLOCK) or 1
-    v_blocks = math.ceil(vectors.count() / VECTOR_BLOCK) or 1
-
-    def gridded(df, key, own, blocks, other, other_blocks):
-        block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
-        return df.select("*", block.alias(own), copies.alias(other))
-
-    left = gridded(
-        vectors.select(*carry, "embedding"), id_column, "_vb", v_blocks, "_qb", q_blocks
-    )
-    right = gridded(queries, "query_id", "_qb", q_blocks, "_vb", v_blocks)
-
-    def task(left_table, right_table):
-        import numpy as np
-        import pyarrow as pa
-
-        empty = pa.schema([left_table.schema.field(c) for c in carry])
-        found = None
-        if left_table.num_rows and right_table.num_rows:
-            block = matrix(right_table.column("embedding"), np)
-            found = search(left_table.to_batches(max_chunksize=10_000), block)
-        if found is None:
-            empty = empty.append(right_table.schema.field("query_id"))
-            return empty.append(pa.field("score", pa.float32())).empty_table().select(names)
-        ids = right_table.column("query_id").take(found.column("_q"))
-        return found.append_column("query_id", ids).select(names)
-
-    return (
-        left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInArrow(task, schema)
-    )
+    """Queries do not fit at once: one pass over the vectors per block of queries, each block's
+    results written before the next. The vectors are never shuffled, and the driver and the tasks
+    hold one block of queries at a time."""
+    asked = materialise(queries)
+    width = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
+    block_rows = max(1, min(QUERY_BLOCK, MAX_LOCAL_CELLS // width))
+    blocks = math.ceil(asked.count() / block_rows) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [
+        materialise(
+            _search_local(vectors, asked.where(block == b).toArrow(), n, id_column, carry, schema)
+        )
+        for b in range(blocks)
+    ]
+    return reduce(DataFrame.union, found)
 
 
 def top_chunks(

@@ -50,7 +50,6 @@ def by_rank(df, column="chunk_id"):
 def test_top_chunks_equal_brute_force(spark, monkeypatch, n, max_local):
     """Same result with queries in every task and, beyond the bound, in shuffled blocks."""
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 150)
     v, q, ids, uids = data(n, 400, 9)
     index, queries = frames(spark, v, q, ids, uids)
     asked = vectors.query_set(queries, max_local=max_local)
