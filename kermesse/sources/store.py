@@ -27,10 +27,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write to the checkpoint folder and read back, so later steps neither recompute `df` nor
     depend on the executors that made it.
 
-    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared storage;
-    this raises where it is unset. Who sets the folder also clears it.
+    The folder is the session's `spark.checkpoint.dir`, which a cluster points at shared storage, or
+    where that is unset the context's checkpoint folder; this raises where there is neither. Who
+    sets the folder also clears it.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return write_table(df, f"{folder.rstrip('/')}/kermesse-{uuid.uuid4().hex}")

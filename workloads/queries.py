@@ -45,11 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder. A local session without one, as a test's may be, gets its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kermesse-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kermesse-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def iso(ts: Column, suffix: str = "") -> Column:
