@@ -24,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`. A session without one gets its own, but only in local
     mode, where driver and tasks share the disk; elsewhere this raises."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not (master == "local" or master.startswith("local[")):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="kermesse-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kermesse-llm-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
