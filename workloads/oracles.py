@@ -260,6 +260,23 @@ ORACLES = {
             CAST(NULL AS DOUBLE) AS location_latitude, CAST(NULL AS DOUBLE) AS location_longitude,
             CASE WHEN name IS NOT NULL THEN 'Lieu : ' || name END AS location_text
         FROM plain JOIN kw USING (o_custkey) JOIN tm USING (o_custkey) JOIN ag USING (o_custkey)""",
+    "clean_all_columns": """
+        WITH o AS (
+            SELECT *, CAST(o_orderkey AS VARCHAR) AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso,
+                strftime(o_orderdate, '%d/%m/%Y à %Hh%M') AS day FROM orders)
+        SELECT k AS uid, o_orderpriority AS title, 'd ' || k AS description, 'L ' || k AS "longDescription",
+            '[solo] ' || o_orderstatus AS keywords, '1 - 2 juin' AS "dateRange", iso AS "createdAt",
+            CAST(epoch(o_orderdate) AS BIGINT) AS "updatedAt", 'Du ' || day || ' au ' || day AS timings,
+            'À partir du ' || day AS "firstTiming", 'Jusqu''au ' || day AS "lastTiming", 'Du ' || day || ' au ' || day AS "nextTiming",
+            'https://i/' || k || '-full.jpg' AS image, 'Présentiel' AS mode_participation, 'Complet' AS status,
+            'Téléphone : ' || k || ' | Abc : v' AS registration, 'De 3 à 9 ans' AS age, 'handicap auditif' AS accessibility_text,
+            'Gratuit' AS conditions, 'https://b/' || k AS billetterie,
+            'Lien : https://l | Titre : T | Auteur : A | Lien : https://k' AS links,
+            o_orderstatus AS agenda_uids, 'Agenda ' || o_orderstatus AS agenda_titles, 'Salle' AS location_name, '1 rue' AS location_address,
+            'Castres' AS location_city, '31000' AS location_postal_code, 'Haute-Garonne' AS location_department, 'Occitanie' AS location_region,
+            CAST(43.5 AS DOUBLE) AS location_latitude, CAST(1 AS DOUBLE) AS location_longitude,
+            'Lieu : Salle | Adresse : 1 rue | Description du lieu : Halle | Accès : {Métro | Téléphone : 05 | Email : e@e | Site web : https://s | Image du lieu : i.png' AS location_text
+        FROM o""",
     "drop_constants": "SELECT c_custkey, c_name, c_mktsegment, 'kept' AS title FROM customer",
     "drop_sparse": f"""WITH {HOLEY} SELECT o_orderkey, o_orderstatus, o_orderpriority FROM holey""",
     "project_columns": "SELECT c_mktsegment AS mode_participation, c_custkey, c_name FROM customer",

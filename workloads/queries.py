@@ -499,6 +499,61 @@ def clean_event_rows(spark, sf_dir):
     )
 
 
+@query
+def clean_all_columns(spark, sf_dir):
+    """Every raw column at once: timings, image object, registration, links, location and its texts."""
+    key, day = c("o_orderkey").cast("string"), c("o_orderdate")
+    begin, end = iso(day, "Z").alias("begin"), iso(day, "Z").alias("end")
+    text = lambda value, name: lit(value).alias(name)
+    none = lambda name: lit(None).cast("string").alias(name)
+    raw = table(spark, sf_dir, "orders").select(
+        key.alias("uid"),
+        c("o_orderpriority").alias("title"),
+        F.concat(lit("d "), key).alias("description"),
+        F.concat(lit("<p>L</p>\n-----\n"), key).alias("longDescription"),
+        F.concat(lit("[solo] "), "o_orderstatus").alias("keywords"),
+        lit("1 - 2 juin").alias("dateRange"),
+        iso(day, "Z").alias("createdAt"),
+        iso(day, "Z").alias("updatedAt"),
+        F.array(F.struct(begin, end)).alias("timings"),
+        F.struct(begin, none("end")).alias("firstTiming"),
+        F.struct(none("begin"), end).alias("lastTiming"),
+        F.struct(begin, end).alias("nextTiming"),
+        F.struct(
+            text("https://i/", "base"),
+            key.alias("filename"),
+            F.array(F.struct(text("full", "type"), F.concat(key, lit("-full.jpg")).alias("filename"))).alias("variants"),
+        ).alias("image"),
+        lit(1).alias("attendanceMode"),
+        lit(5).alias("status"),
+        F.array(
+            F.struct(text("phone", "type"), key.alias("value")),
+            F.struct(none("type"), text(" ", "value")),
+            F.struct(text("abc", "type"), text("v", "value")),
+        ).alias("registration"),
+        F.struct(
+            text("Salle", "name"), text("1 rue", "address"), text("Castres", "city"), text("31000", "postalCode"),
+            text(" Alto Garona", "department"), text("OCCITANIA", "region"), text("43.5", "latitude"), text("1", "longitude"),
+            text('{"en":"Hall","fr":"Halle"}', "description"), text("{Métro", "access"), text("05", "phone"),
+            text("e@e", "email"), text("https://s", "website"), text("i.png", "image"),
+        ).alias("location"),
+        F.struct(lit(3).alias("min"), lit(9).alias("max")).alias("age"),
+        F.create_map(lit("hi"), lit(True), lit("vi"), lit(False)).alias("accessibility"),
+        lit("<b>Gratuit</b>").alias("conditions"),
+        F.concat(lit("https://b/"), key).alias("billetterie"),
+        F.array(
+            F.struct(text("https://l", "link"), text('{"title":"T","author":"A","x":1}', "data")),
+            F.struct(text("https://k", "link"), text("text", "data")),
+        ).alias("links"),
+        c("o_orderstatus").alias("agenda_uid"),
+        F.concat(lit("Agenda "), "o_orderstatus").alias("agenda_title"),
+    )
+    clean = clean_events(raw)
+    return clean.withColumn("agenda_uids", F.array_join("agenda_uids", ",")).withColumn(
+        "updatedAt", c("updatedAt").cast("long")
+    )
+
+
 # --- Columns and profiles ---
 
 
