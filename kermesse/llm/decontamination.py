@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from kermesse.llm.common import WHITE_SPACE, free_name, materialise, slices
 
 SEED_WORDS = 3
-RARE_SHARE = 0.75  # of an item's n-grams, the rarest in the corpus, are seeds
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5  # of the score of an exact copy
 BLOCK_BYTES = 32 << 20  # of benchmark text that a pass over the documents looks for
@@ -213,10 +211,10 @@ def overlaps(
 ) -> DataFrame:
     """(`id`, item_id, score, first_word, end_word, n_seeds): benchmark items found in documents.
 
-    An item's seeds are the rarest RARE_SHARE of its n-grams, by the number of pieces of documents
-    that hold them. A document that holds a seed of an item is aligned with the item around its
-    hits. `score` is the alignment's, over that of an exact copy; pairs from `min_score` on are
-    returned, one per document and item, the best. Words are counted in the document, plain ones from 0.
+    All n-grams of an item are seeds. A document that holds a seed of an item is aligned with the
+    item around its hits, unless it holds too few of the item's words for `min_score`. `score` is the
+    alignment's, over that of an exact copy; pairs from `min_score` on are returned, one per document
+    and item, the best. Words are counted in the document, plain ones from 0.
 
     The benchmark is looked for in blocks of bounded size, so a larger one means more passes, not
     larger tasks. The passes emit only the words around hits. Null and blank texts hold and are
@@ -237,24 +235,10 @@ def overlaps(
 
 def _overlaps_block(docs, benchmark, items, id, text, item, min_score, out) -> DataFrame:
     pieces = materialise(_find(docs, id, text, [row["text"] for row in items]))
-    spread = pieces.select(F.explode(F.array_distinct("grams")).alias("gram"))
-    counts = spread.groupBy("gram").agg(F.count("*").alias("pieces"))
-    spark = docs.sparkSession
-    grams = [
-        (n, int(g)) for n, row in enumerate(items) for g in np.unique(item_grams(row["text"]).view(np.int64))
-    ] if items else []
-    listed = spark.createDataFrame(grams, "item_no int, gram long")
-    # A block's n-grams are bounded, and so are their counts.
-    rarity = listed.join(counts, "gram", "left").fillna(0, ["pieces"])
-    by_rarity = Window.partitionBy("item_no").orderBy("pieces", "gram")
-    place = F.row_number().over(by_rarity)
-    of = F.count("*").over(Window.partitionBy("item_no"))
-    seeds = (
-        rarity.withColumn("place", place).withColumn("of", of)
-        .where((F.col("place") <= F.ceil(F.col("of") * RARE_SHARE)) & (F.col("pieces") > 0))
-        .groupBy("gram").agg(F.collect_list("item_no").alias("items"))
-    )
-    seeds = {row["gram"]: row["items"] for row in seeds.collect()}
+    seeds: dict[int, list[int]] = {}
+    for no, row in enumerate(items):
+        for gram in np.unique(item_grams(row["text"]).view(np.int64)).tolist():
+            seeds.setdefault(gram, []).append(no)
     texts = [row["text"] for row in items]
     ids = [row["item"] for row in items]
     kind = benchmark.schema[item]
@@ -270,6 +254,7 @@ def _overlaps_block(docs, benchmark, items, id, text, item, min_score, out) -> D
         code = lambda words: np.array([coded.setdefault(w, len(coded)) for w in words], dtype=np.int64)
         known = [code(words_of(t)) for t in texts]
         size = len(coded)
+        here = np.zeros(size + 1, dtype=bool)
         for batch in batches:
             rows, item_ids, results = [], [], []
             columns = ("piece_words", "grams", "piece_start")
@@ -282,13 +267,17 @@ def _overlaps_block(docs, benchmark, items, id, text, item, min_score, out) -> D
                 if not hits:
                     continue
                 piece = np.array([coded.get(w, size) for w in words_of(words)], dtype=np.int64)
+                here[piece] = True
                 for no, count in hits.items():
                     full = MATCH * len(known[no])
+                    if MATCH * np.count_nonzero(here[known[no]]) < min_score * full:
+                        continue  # a score is MATCH for each word found at most
                     score, first, end = align(known[no], piece)
                     if score >= min_score * full:
                         rows.append(at)
                         item_ids.append(ids[no])
                         results.append((score / full, offset + first, offset + end, count))
+                here[piece] = False
             columns = list(zip(*results)) or [[], [], [], []]
             types = [pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(

@@ -80,3 +80,26 @@ def test_edges(spark):
     assert clean_documents(spark, docs.limit(0), benchmark(spark)).count() == 0
     twice = benchmark(spark, [ITEMS[0], ITEMS[0]])
     assert overlaps(spark, documents(spark, [(1, ITEMS[0][1], "x")]), twice).count() == 1
+
+
+def test_every_fourth_word_edited_is_found_at_all_lengths_and_offsets(spark):
+    """Alone and in many copies; the edited words stand nowhere else, nor do the item's other triples."""
+    items, rows = [], []
+    for length in range(15, 60):
+        for offset in range(4):
+            item = words(9000 + 4 * length + offset, length, 10**6).split()
+            items.append((len(items), " ".join(item)))
+            edited = [f"new{length}" if i % 4 == offset else w for i, w in enumerate(item)]
+            rows.append((len(rows), f"{words(length, 30)} {' '.join(edited)} {words(offset, 30)}", "s"))
+    many = [(1000 + i, rows[14][1], "s") for i in range(40)]
+    out = overlaps(spark, documents(spark, rows + many, clash=False), benchmark(spark, items)).collect()
+    reached = by_every_pair_of(rows, items)
+    assert len(reached) == 180
+    wanted = reached | {(1000 + i, 14) for i in range(40)}
+    assert {(r.doc_id, r.item_id) for r in out} == wanted
+
+
+def by_every_pair_of(rows, items):
+    """Pairs of equal number that score enough: items of random words meet in no other way."""
+    scores = (table_of_scores(words_of(b), words_of(a)) for (_, a, _), (_, b) in zip(rows, items))
+    return {(i, i) for i, s in enumerate(scores) if s >= len(words_of(items[i][1]))}
