@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kermesse.llm import (
+    collocations,
     decontamination,
     html,
     katz,
@@ -18,6 +19,8 @@ from kermesse.llm import (
     secrets,
     sharding,
     simhash,
+    spelling,
+    tokenids,
 )
 from kermesse.llm.common import table
 
@@ -96,3 +99,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokenids.token_files(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
