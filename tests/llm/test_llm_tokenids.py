@@ -76,7 +76,7 @@ def test_files_against_a_plain_version(spark, tokenizer, tmp_path):
     rows = [(i * 3, t, "s") for i, t in enumerate(texts())]
     draw.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    found = tokenids.token_files(spark, docs, PATH, 2, folder=str(tmp_path / "ids"), file_ids=4000)
+    found = tokenids.token_files(spark, docs, PATH, 2, folder=str(tmp_path / "ids"), file_ids=4000, part_bytes=9000)
     got = sorted(tuple(r) for r in found.collect())
     assert got == wanted([r[:2] for r in rows], tokenizer)
     files = sorted((tmp_path / "ids").glob("*.ids"))
@@ -108,7 +108,7 @@ def test_ties_nulls_clashes_and_an_empty_table(spark, tokenizer):
     docs = documents(spark)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = sorted(
-        (tuple(r) for r in tokenids.token_files(spark, docs, PATH, 2, file_ids=1000).collect()),
+        (tuple(r) for r in tokenids.token_files(spark, docs, PATH, 2, file_ids=1000, part_bytes=50_000).collect()),
         key=lambda r: r[1],
     )
     want = wanted(rows, tokenizer)
@@ -121,6 +121,6 @@ def test_ties_nulls_clashes_and_an_empty_table(spark, tokenizer):
 
 def test_one_id_for_many_rows(spark):
     docs = spark.createDataFrame([(1, "a b c")] * 400 + [(2, "x")] * 20, "doc_id long, text string")
-    found = tokenids.token_files(spark, docs, PATH, 2, file_ids=200).collect()
+    found = tokenids.token_files(spark, docs, PATH, 2, file_ids=200, part_bytes=500).collect()
     assert sorted(r.start for r in found if r.doc_id == 1) == list(range(0, 1600, 4))
     assert {r.n_tokens for r in found if r.doc_id == 1} == {4}
