@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kermesse.llm import decontamination, mixing, nearcopies, quality, sharding
+from kermesse.llm import decontamination, mixing, quality, sharding, simhash
 from kermesse.llm.common import materialise, table
 
 
@@ -17,8 +17,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return nearcopies.one_of_each_group(docs)
+    """One document of each group of near copies stays: SimHash of 4-word shingles, 4 bits or fewer."""
+    return simhash.one_of_each_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
