@@ -1,9 +1,9 @@
 """Token ids in packed files: each id takes the fewest bits that hold the vocabulary.
 
-Texts are cut before white space that follows a visible character; byte-level BPE never joins across
-such a place, so each distinct piece of a slice goes through the tokenizer once and its ids are dealt
-out to all its places. Documents are then sorted over the cluster, and a task writes each of its
-ranges as files of whole documents:
+Documents are sorted over the cluster, and a task encodes the texts of its range and writes them as
+files of whole documents. For that, texts are cut before white space that follows a visible
+character; byte-level BPE never joins across such a place, so each distinct piece goes through the
+tokenizer once while a worker remembers it, and its ids are dealt out to all its places. A file is:
 
     magic, bits per id, ids per block, ids, documents, bytes of the index     (a fixed header)
     index of documents: an Arrow stream of their ids and where each one ends
@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -37,7 +38,9 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24  # a file is closed after the document that reaches so many ids
 READ_IDS = 1 << 20  # ids unpacked at a time
 SLICE = 8 << 20
-CACHED_PIECES = 400_000  # a worker forgets its pieces beyond this
+PART_BYTES = 32 << 20  # text per range
+JOINED = 256  # new pieces encoded as one text
+CACHED_PIECES = 1_500_000  # a worker forgets its pieces beyond this: some 100 MB
 CACHED_BYTES = 64  # longer pieces are not kept
 GROUP = 1024  # ranges per group of the running sums
 
@@ -174,6 +177,68 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Memory:
+    """Ids of pieces seen before: bytes and ids in flat arrays, found by a hash and then compared."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.entry = np.zeros(0, np.int64)  # the entry of each hash, hashes being sorted
+        self.bytes, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.id_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Entries of pieces, -1 for those not held."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = np.where(self.hashes[spot] == hashes, self.entry[spot], -1)
+        sizes = np.diff(bounds)
+        same = (found >= 0) & (np.diff(self.ends)[found] == sizes)
+        rows = np.flatnonzero(same & (sizes > 0))
+        mine = raw[_runs(bounds[rows], sizes[rows])]
+        held = self.bytes[_runs(self.ends[found[rows]], sizes[rows])]
+        heads = np.cumsum(sizes[rows]) - sizes[rows]
+        if len(rows):
+            same[rows] = np.logical_and.reduceat(mine == held, heads)
+        return np.where(same, found, -1)
+
+    def add(self, hashes, raw, sizes, ids, id_sizes) -> None:
+        """Pieces that `find` did not know; of two with one hash the first is held."""
+        first = len(self.ends) - 1
+        self.bytes, self.ids = np.concatenate([self.bytes, raw]), np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(id_sizes)])
+        fresh, at = np.unique(hashes, return_index=True)
+        spot = np.searchsorted(self.hashes, fresh)
+        known = np.zeros(len(fresh), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(spot, len(self.hashes) - 1)] == fresh
+        self.hashes = np.insert(self.hashes, spot[~known], fresh[~known])
+        self.entry = np.insert(self.entry, spot[~known], first + at[~known])
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after another."""
+    done = np.cumsum(sizes)
+    total = int(done[-1]) if len(done) else 0
+    return np.repeat(starts - (done - sizes), sizes) + np.arange(total)
+
+
+_POWERS = np.cumprod(np.full(CACHED_BYTES, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _hashes(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each piece, by its first CACHED_BYTES bytes and its length."""
+    sizes = np.diff(bounds)
+    used = np.minimum(sizes, CACHED_BYTES)
+    place = _runs(np.zeros(len(used), np.int64), used)
+    terms = (raw[_runs(bounds[:-1], used)].astype(np.uint64) + np.uint64(1)) * _POWERS[place]
+    sums = np.append(np.uint64(0), np.cumsum(terms))
+    ends = np.cumsum(used)
+    mixed = sums[ends] - sums[ends - used] + sizes.astype(np.uint64)
+    return (mixed ^ (mixed >> np.uint64(29))) * _POWERS[1]
+
+
 class Encoder:
     """Ids of texts by a tokenizer, each distinct piece encoded once while it is remembered."""
 
@@ -184,49 +249,82 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(spec)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._places: dict[bytes, int] = {}
-        self._flat, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self._tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        added = self._tokenizer.get_added_tokens_decoder()
+        # Bytes of every id: a byte-level token has a character per byte, an added one is its text.
+        self._width = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._width[i] = len(token)
+        for i, token in added.items():
+            self._width[i] = len(token.content.encode())
+        self._memory = _Memory()
+
+    def _encoded(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some pieces, how many each has). Pieces are joined where a text may be cut, and
+        the ids dealt out again by the bytes that they stand for."""
+        n = len(bounds) - 1
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[piece_starts(raw, np.array([0, len(raw)]))] = True
+        alone = ~cut[bounds[:-1]]
+        heads = np.union1d(np.flatnonzero(alone), np.arange(0, n, JOINED))
+        tails = np.append(heads[1:], n)
+        data = raw.tobytes()
+        texts = [data[bounds[a] : bounds[b]].decode() for a, b in zip(heads.tolist(), tails.tolist())]
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         lists = [x.ids for x in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        return flat, sizes
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        reach = np.append(0, np.cumsum(self._width[ids]))
+        if reach[-1] != len(raw):
+            raise ValueError("the tokenizer is not a byte-level one without normalisation")
+        return ids, np.diff(np.searchsorted(reach, bounds))
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); null is empty."""
         raw, offsets = text_bytes(column)
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        starts = piece_starts(raw, offsets)
-        bounds = np.append(starts, len(raw)).astype(np.int64)
+        bounds = np.append(piece_starts(raw, offsets), len(raw)).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]
+            pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(raw)]
         ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if len(self._places) > CACHED_PIECES:
-            self._forget()
-        new = [p for p in distinct if p not in self._places]
-        flat, sizes = self._encoded(new)
-        places = {p: i for i, p in enumerate(new, len(self._sizes))}
-        flat, sizes = np.concatenate([self._flat, flat]), np.concatenate([self._sizes, sizes])
-        known = self._places
-        spot = np.fromiter(
-            (known[p] if p in known else places[p] for p in distinct), np.int64, len(distinct)
-        )[pieces.indices.to_numpy()]
-        first = np.append(0, np.cumsum(sizes))[spot]
-        size = sizes[spot]
-        done = np.cumsum(size)
-        ids = flat[np.repeat(first - np.append(0, done[:-1]), size) + np.arange(done[-1])]
-        if all(len(p) <= CACHED_BYTES for p in new):
-            self._places.update(places)
-            self._flat, self._sizes = flat, sizes
-        per_text = np.append(0, done)[np.searchsorted(bounds, offsets)]
-        return ids, np.diff(per_text)
+        own, ends = _flat(pieces.dictionary)
+        sizes, hashes = np.diff(ends), _hashes(own, ends)
+        if len(self._memory.ends) > CACHED_PIECES:
+            self._memory = _Memory()
+        memory = self._memory
+        entry = memory.find(hashes, own, ends)
+        new = np.flatnonzero(entry < 0)
+        fresh = own[_runs(ends[new], sizes[new])]
+        new_ids, new_counts = self._encoded(fresh, np.append(0, np.cumsum(sizes[new])))
+        # Ids of the distinct pieces: what memory holds, then the new ones.
+        first = np.empty(len(sizes), np.int64)
+        count = np.empty(len(sizes), np.int64)
+        old = entry >= 0
+        first[old] = memory.id_ends[entry[old]]
+        count[old] = np.diff(memory.id_ends)[entry[old]]
+        first[new] = len(memory.ids) + np.cumsum(new_counts) - new_counts
+        count[new] = new_counts
+        flat = np.concatenate([memory.ids, new_ids])
+        spot = pieces.indices.to_numpy()
+        ids = flat[_runs(first[spot], count[spot])]
+        short = sizes[new] <= CACHED_BYTES
+        memory.add(
+            hashes[new[short]],
+            fresh[np.repeat(short, sizes[new])],
+            sizes[new[short]],
+            new_ids[np.repeat(short, new_counts)],
+            new_counts[short],
+        )
+        done = np.append(0, np.cumsum(count[spot]))
+        return ids, np.diff(done[np.searchsorted(bounds, offsets)])
+
+
+def _flat(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bounds) of binary values."""
+    _, offsets, data = pieces.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -240,63 +338,38 @@ def _encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def _narrow(bits: int) -> str:
-    return "<u2" if bits <= 16 else "<u4"
-
-
-def encode(
-    docs: DataFrame, tokenizer: str, end_id: int, bits: int, id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(`id`, n, tokens): the ids of every text, `end_id` after each, as little-endian numbers of
-    the narrowest type for `bits`. `tokenizer` is the JSON of a byte-level BPE, a few MB."""
-    spec = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    kind = _narrow(bits)
-    schema = StructType(
-        [StructField(id, docs.schema[id].dataType), *StructType.fromDDL("n long, tokens binary").fields]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                ids, sizes = encoder.texts(part.column("text"))
-                flat = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
-                bounds = np.append(0, np.cumsum(sizes + 1)) * flat.itemsize
-                tokens = pa.BinaryArray.from_buffers(
-                    pa.binary(),
-                    part.num_rows,
-                    [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes + 1), tokens], names=[id, "n", "tokens"]
-                )
-
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
-
-
 # --- Writing and reading ---
 
 _FILES = "part int, seq int, uri string, docs long, ids long"
 
 
 def write_packed(
-    tokens: DataFrame, folder: str, bits: int, id: str = "doc_id", file_ids: int = FILE_IDS
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    folder: str,
+    id: str = "doc_id",
+    text: str = "text",
+    file_ids: int = FILE_IDS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Write the output of `encode` as packed files in ascending order of `id` (nulls first) under
-    `folder`, and return the manifest: uri, docs, ids and `start`, the ids in all files before.
+    """Encode every text, `end_id` after each, and write packed files in ascending order of `id`
+    (nulls first) under `folder`; returns the manifest: uri, docs, ids and `start`, the ids in all
+    files before. `tokenizer` is the JSON of a byte-level BPE, a few MB.
 
-    Rows with equal ids stand by a hash of their tokens; so many of them as there may be are dealt
-    over several ranges, since a row number ends the order. Memory is that of a file.
+    Texts cross the network once and are encoded where they are written. Rows with equal ids stand
+    by a hash of their texts; so many of them as there may be are dealt over several ranges, since a
+    row number ends the order. Memory is that of a file.
     """
-    wide = tokens.select(F.col(id).alias("id"), "n", F.col("tokens").alias("t"))
-    rows = materialise(
-        wide.select("*", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("r"))
-    )
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = int(total // file_ids) + 1
-    kind, root, schema = _narrow(bits), folder.rstrip("/"), _arrow(_FILES)
+    spec = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    bits = bits_for(_vocabulary(tokenizer, end_id))
+    kind = "<u2" if bits <= 16 else "<u4"
+    root, schema = folder.rstrip("/"), _arrow(_FILES)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(spec.value)
         part, seq = TaskContext.get().partitionId(), 0
         ids, sizes, data = [], [], []
         amount = 0
@@ -309,11 +382,11 @@ def write_packed(
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
-            for piece in slices(batch, "t", SLICE):
+            for piece in slices(batch, "text", SLICE):
+                flat, counts = encoder.texts(piece.column("text"))
                 ids.append(piece.column("id"))
-                sizes.append(piece.column("n").to_numpy())
-                tokens = b"".join(piece.column("t").to_pylist())
-                data.append(np.frombuffer(tokens, kind))
+                sizes.append(counts + 1)
+                data.append(np.insert(flat, np.cumsum(counts), end_id).astype(kind))
                 amount += len(data[-1])
                 if amount >= file_ids:
                     yield close()
@@ -322,9 +395,10 @@ def write_packed(
             yield close()
 
     _make_folder(root)
-    sorted_rows = rows.repartitionByRange(parts, "id", "h", "r").sortWithinPartitions("id", "h", "r")
-    files = materialise(sorted_rows.select("id", "n", "t").mapInArrow(run, _FILES))
-    return _with_starts(files)
+    order = ["id", "h", "r"]
+    keyed = rows.withColumns({"h": F.xxhash64("text"), "r": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(int(total // part_bytes) + 1, *order).sortWithinPartitions(*order)
+    return _with_starts(materialise(dealt.select("id", "text").mapInArrow(run, _FILES)))
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -401,21 +475,20 @@ def token_files(
     text: str = "text",
     folder: str | None = None,
     file_ids: int = FILE_IDS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Encode every whole text, append `end_id`, write packed files to `folder` (a new one in the
     shared folder by default), and read each document's place and checksum back from them.
 
     A null or empty text is `end_id` alone. Null ids come first; rows with equal ids follow each
-    other, by a hash of their tokens. An empty table writes no file. Other columns are left out. A
+    other, by a hash of their texts. An empty table writes no file. Other columns are left out. A
     text without white space is one piece, and memory follows the longest text. The folder must be
     one that pyarrow opens on executors (a shared path, s3, gs, hdfs). Strings of special tokens
     become their ids, as in the library by default.
     """
     spec = Path(tokenizer_path).read_text()
-    bits = bits_for(_vocabulary(spec, end_id))
     folder = folder or f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
-    tokens = encode(docs, spec, end_id, bits, id, text)
-    manifest = write_packed(tokens, folder, bits, id, file_ids)
+    manifest = write_packed(docs, spec, end_id, folder, id, text, file_ids, part_bytes)
     return read_packed(manifest, StructField(id, docs.schema[id].dataType))
 
 
