@@ -15,6 +15,7 @@ states of all its blocks, and the sums of all tasks are the counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ SCALE = 2_000_000
 COVERED = 80  # percent of a phrase's places at which a longer one stands for it
 TOP = 2000
 NO_LANG = "und"
-BLOCK_BYTES = 16 << 20
-TRIE_PHRASES = 1 << 18  # phrases per trie: some 30 MB to broadcast
+BLOCK_BYTES = 8 << 20
+BLOCKS_PER_FILE = 2  # few, as a task's batch holds what a split does
+WINDOW = 1 << 19
+TRIE_PHRASES = 1 << 20  # phrases per trie: 60 MB to broadcast at most
+CHUNK = 1 << 12  # counts in a row
 FAN_IN = 64
 
 _ENDS = np.zeros(256, bool)
@@ -212,21 +216,24 @@ class Trie:
         self.check[place] = parent
         return place[np.cumsum(new) - 1]
 
-    def matches(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, phrase rows) of all phrases in a text of symbols, -1 where there is none. All
-        positions move one word at a time."""
+    def rows_at(self, symbols: np.ndarray) -> np.ndarray:
+        """For each position of a text of symbols (-1: none) the row of the phrase that starts there,
+        or -1. The positions move one word at a time, WINDOW of them at once."""
         length = self.phrases.shape[1]
         padded = np.append(symbols, np.full(length, -1, np.int32))
-        at = np.flatnonzero(symbols >= 0)
-        state = 1 + symbols[at]
-        live = self.check[state] == 0
-        at, state = at[live], state[live]
-        for step in range(1, length):
-            ahead = padded[at + step]
-            target = self.base[state] + ahead
-            live = (ahead >= 0) & (self.check[target] == state)
-            at, state = at[live], target[live]
-        return at, self.accept[state]
+        found = np.full(len(symbols), -1, np.int32)
+        for start in range(0, len(symbols), WINDOW):
+            at = np.flatnonzero(symbols[start : start + WINDOW] >= 0) + start
+            state = 1 + symbols[at]
+            live = self.check[state] == 0
+            at, state = at[live], state[live]
+            for step in range(1, length):
+                ahead = padded[at + step]
+                target = self.base[state] + ahead
+                live = (ahead >= 0) & (self.check[target] == state)
+                at, state = at[live], target[live]
+            found[at] = self.accept[state]
+        return found
 
     def symbols_of(self, ids: np.ndarray) -> np.ndarray:
         """Symbols of word ids, -1 for words in no phrase."""
@@ -242,21 +249,31 @@ def _names(length: int) -> list[str]:
 
 
 def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, support: int) -> DataFrame:
-    """One pass over the texts. (w1 .. w[length + 1], n): the count of each phrase of the trie in a
-    task, with a null last word; and for phrases with one word more how often a block holds them, up
-    to `support`, where the phrase without its last word is in the trie, and, if the trie is the
-    only one, the phrase without its first word too. Without a trie: pairs of frequent words."""
+    """One pass over the texts, with two kinds of rows: how often a block holds a phrase of the trie
+    with one word more (w1 .. w[length + 1], n up to `support`), where the phrase without its last
+    word is in the trie, and, if the trie is the only one, the phrase without its first word too; and
+    at the end of a task the counts of the trie's phrases, CHUNK of them a row (chunk, counts).
+    Without a trie: pairs of frequent words."""
     names = [*_names(length + 1), "n"]
-    chunk = 1 << 17
-
-    def rows(words: list[np.ndarray], last: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(n), chunk):
-            cut = slice(start, start + chunk)
-            some = n[cut]
-            end = pa.nulls(len(some), pa.int64()) if last is None else pa.array(last[cut])
-            yield pa.RecordBatch.from_arrays(
-                [*[pa.array(w[cut]) for w in words], end, pa.array(some.astype(np.int64))], names=names
-            )
+    schema = ", ".join(f"{name} long" for name in names) + ", chunk int, counts binary"
+    all_names = [*names, "chunk", "counts"]
+    most = 1 << 17
+
+    def extensions(words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(n), most):
+            cut = slice(start, start + most)
+            size = len(n[cut])
+            columns = [*[pa.array(w[cut]) for w in words], pa.array(n[cut].astype(np.int64))]
+            none = [pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *none], names=all_names)
+
+    def shards(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for chunk, start in enumerate(range(0, len(totals), CHUNK)):
+            part = totals[start : start + CHUNK]
+            if part.any():
+                none = [pa.nulls(1, pa.int64()) for _ in names]
+                own = [pa.array([chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *own], names=all_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Trie | None = trie.value if trie is not None else None
@@ -275,29 +292,51 @@ def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, suppor
                 else:
                     symbols = own.symbols_of(ids)
                     symbols[ids < 0] = -1
-                    at, number = own.matches(symbols[codes])
-                    totals += np.bincount(number, minlength=len(totals))
-                    if not extend:
+                    found = own.rows_at(symbols[codes])
+                    totals += np.bincount(found + 1, minlength=len(totals) + 1)[1:]
+                    if not extend or len(codes) <= length:
                         continue
-                    padded = np.append(codes, -1)
-                    live = ids[padded[at + length]] >= 0
+                    live = (found[:-length] >= 0) & (ids[codes[length:]] >= 0)
                     if whole:
-                        ends = np.zeros(len(padded), bool)
-                        ends[at] = True
-                        live &= ends[at + 1]
-                    number, follow = number[live].astype(np.int64), padded[at[live] + length]
+                        live &= found[1 : len(found) - length + 1] >= 0
+                    at = np.flatnonzero(live)
+                    number, follow = found[at].astype(np.int64), codes[at + length]
                 key, n = np.unique(number * size + follow, return_counts=True)
                 number, follow = key // size, key % size
                 words = [ids[number]] if own is None else list(own.phrases[number].T)
-                yield from rows(words, ids[follow], np.minimum(n, support))
-        if own is not None:
-            seen = np.flatnonzero(totals)
-            yield from rows(list(own.phrases[seen].T), None, totals[seen])
+                yield from extensions([*words, ids[follow]], np.minimum(n, support))
+        yield from shards(totals)
 
-    schema = ", ".join(f"{name} long" for name in names)
     return coded.mapInArrow(run, schema)
 
 
+def _totals(found: DataFrame, length: int, trie) -> DataFrame:
+    """(w1 .. w[length], n): the sums of all tasks' counts. A task adds up one chunk after another,
+    row by row as they come."""
+    names = [*_names(length), "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+            seen = np.flatnonzero(total)
+            words = trie.value.phrases[chunk * CHUNK + seen].T
+            return pa.RecordBatch.from_arrays([*map(pa.array, words), pa.array(total[seen])], names=names)
+
+        chunk, total = -1, None
+        for batch in batches:
+            for at, part in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                if total is not None and at != chunk:
+                    yield close(chunk, total)
+                    total = None
+                part = np.frombuffer(part, np.int64)
+                chunk, total = at, part.copy() if total is None else total + part
+        if total is not None:
+            yield close(chunk, total)
+
+    rows = found.where("chunk is not null").select("chunk", "counts")
+    dealt = rows.repartition("chunk").sortWithinPartitions("chunk")
+    return materialise(dealt.mapInArrow(run, ", ".join(f"{name} long" for name in names)))
+
+
 def _summed(found: DataFrame, length: int, support: int) -> DataFrame:
     keys = _names(length)
     # Dealt out first: tasks send distinct phrases already, and one shuffle serves the sums.
@@ -314,29 +353,28 @@ def frequent_phrases(
     trie takes a pass of its own.
     """
     context = coded.sparkSession.sparkContext
-    last = lambda length: F.col(f"w{length}")
-    ahead = _summed(_pass(coded, 1, None, True, True, support), 2, support)
+    union = lambda frames: reduce(DataFrame.union, frames)
+    candidates = _summed(_pass(coded, 1, None, True, True, support), 2, support)
     counts = []
     for length in range(2, longest + 1):
-        candidates = ahead.where(last(length).isNotNull()).select(*_names(length))
         parts = -(-candidates.count() // trie_phrases)
         if not parts:
             break
         part = F.pmod(F.xxhash64(*_names(length)), F.lit(parts))
-        passes = []
+        sums, longer = [], []
         for p in range(parts):
-            table = candidates.where(part == p).toArrow()
+            table = candidates.where(part == p).select(*_names(length)).toArrow()
             matrix = np.stack([c.to_numpy() for c in table.columns], axis=1)
             if not len(matrix):
                 continue
             trie = context.broadcast(Trie(matrix))
-            found = _pass(coded, length, trie, parts == 1, length < longest, support)
-            passes.append(_summed(found, length + 1, support))
+            found = materialise(_pass(coded, length, trie, parts == 1, length < longest, support))
+            sums.append(_totals(found, length, trie))
+            longer.append(found.where("chunk is null"))
             trie.unpersist()
-        ahead = passes[0]
-        for other in passes[1:]:
-            ahead = ahead.union(other)
-        counts.append(ahead.where(last(length + 1).isNull()).select(*_names(length), "n"))
+        counts.append(union(sums))
+        if length < longest:
+            candidates = _summed(union(longer), length + 1, support)
     return counts
 
 
@@ -403,7 +441,7 @@ def collocations(
     frequent = materialise(
         vocabulary.where(F.col("n") >= support).withColumn("id", F.monotonically_increasing_id())
     )
-    coded = materialise(_with_ids(blocked, frequent))
+    coded = materialise(_with_ids(blocked, frequent), rows_per_file=BLOCKS_PER_FILE)
     found = frequent_phrases(coded, support, longest, trie_phrases)
 
     counts = frequent.select(F.array("id").alias("p"), "n")

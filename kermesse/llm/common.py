@@ -34,11 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, *partition_by: str, rows_per_file: int = 0) -> DataFrame:
     """Write to the shared folder and read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
