@@ -1,4 +1,10 @@
-"""Secret scans: all rules in one deterministic automaton, one pass over the bytes of a text."""
+"""Secret scans: all rules in one deterministic automaton, one pass over the bytes of a text.
+
+The pass tells which rules match somewhere. Only for those, a rule's own two automata give the spans:
+one reads backward and marks every byte where a match can start, the other reads forward from the
+first mark not yet passed to the last byte where it accepts. So every text takes time in proportion
+to its length, however many starts lead nowhere.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +16,7 @@ from dataclasses import dataclass
 from re import _constants as op
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -19,8 +26,10 @@ from kermesse.llm.common import slices
 
 @dataclass(frozen=True)
 class Rule:
-    """`scan` is what the automaton looks for in bytes, part of every match of `exact`, which gives
-    the spans in a text that has it. A match counts if `group` has at least `least` characters."""
+    """`exact` is the whole rule; its matches are the leftmost longest ones, not overlapping, and one
+    counts if `group` has at least `least` characters. `scan` is what the joint automaton looks for,
+    part of every match that counts: the rule with its last repeat cut short. Few of them count their
+    repeats, since a joint state would have to track each count beside the others'."""
 
     kind: str
     scan: str
@@ -32,18 +41,23 @@ class Rule:
 _NAMES = "(?i:password|passwd|secret|token|api_?key)"
 _ASSIGNED = r"""["']?\x20*[:=]\x20*["']?"""
 _VALUE = "[A-Za-z0-9+/_.=-]"
+_KEY_LINE = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     Rule("assign", f"{_NAMES}{_ASSIGNED}{_VALUE}{{12}}", f"({_NAMES}){_ASSIGNED}({_VALUE}+)", 12, 2),
-    Rule("access", "AKIA[A-Z0-9]{14}", "AKIA[A-Z0-9]+", 18),
+    Rule("access", "AKIA[A-Z0-9]", "AKIA[A-Z0-9]+", 18),
     Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 16),
-    Rule("private_key", "-----BEGIN ", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("code_host", "gh[pousr]_", "gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("cloud_api", "AIza", "AIza[0-9A-Za-z_-]{35}"),
-    Rule("payment", "[sr]k_live_", "[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("web_token", "eyJ", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("private_key", _KEY_LINE, f"{_KEY_LINE}(?:(?:[^-]|-[^-]|--[^-])*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("code_host", "gh[pousr]_[A-Za-z0-9]", "gh[pousr]_[A-Za-z0-9]+", 40),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("cloud_api", "AIza[0-9A-Za-z_-]", "AIza[0-9A-Za-z_-]+", 39),
+    Rule("payment", "[sr]k_live_[0-9A-Za-z]", "[sr]k_live_[0-9A-Za-z]+", 24),
+    Rule(
+        "web_token",
+        r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]",
+        r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    ),
 )
 
 COLUMNS = (
@@ -54,7 +68,8 @@ COLUMNS = (
 class Nfa:
     """States with byte edges and empty edges; grown from the parsed form of a rule's pattern."""
 
-    def __init__(self):
+    def __init__(self, backward: bool = False):
+        self.backward = backward  # whether it reads matches from their end
         self.empty: list[list[int]] = []
         self.edges: list[list[tuple[frozenset[int], int]]] = []
 
@@ -65,7 +80,7 @@ class Nfa:
 
     def add(self, start: int, nodes, folded: bool) -> int:
         """Hang a sequence of parsed nodes on `start`; returns where it ends."""
-        for kind, value in nodes:
+        for kind, value in reversed(nodes) if self.backward else nodes:
             if kind is op.SUBPATTERN:
                 _, on, off, inner = value
                 start = self.add(start, inner, (folded or bool(on & re.I)) and not off & re.I)
@@ -136,14 +151,15 @@ def _byte_set(kind, value, folded: bool) -> frozenset[int]:
 
 @dataclass(frozen=True)
 class Automaton:
-    """Transition array of the minimal automaton. A state's number is the place of its row, of
-    `width` entries; states from `accepting` on accept the rules in `rules`."""
+    """Transition array of a minimal automaton. A state's number is the place of its row, of `width`
+    entries; states from `accepting` on accept the rules in `rules`. `dead` leads nowhere."""
 
     classes: bytes
     width: int
     moves: tuple[int, ...]
     accepting: int
     rules: dict[int, frozenset[int]]
+    dead: int
 
     def scan(self, data: bytes) -> set[int]:
         """The rules with a match that ends somewhere in `data`."""
@@ -154,10 +170,35 @@ class Automaton:
                 seen.add(state)
         return set().union(*(self.rules[s] for s in seen)) if seen else seen
 
+    def marks(self, data: bytes) -> list[int]:
+        """Places where a backward automaton accepts, from the last one to the first."""
+        moves, accepting, state, found = self.moves, self.accepting, 0, []
+        place = len(data)
+        for symbol in data.translate(self.classes)[::-1]:
+            place -= 1
+            state = moves[state + symbol]
+            if state >= accepting:
+                found.append(place)
+        return found
 
-def compile_rules(patterns: tuple[str, ...]) -> Automaton:
-    """Subset construction over the rules' joint automaton, then minimisation."""
-    nfa = Nfa()
+    def reach(self, symbols: memoryview) -> int:
+        """The last place where a forward automaton accepts, reading from the start; 0 for none."""
+        moves, accepting, dead, state, end = self.moves, self.accepting, self.dead, 0, 0
+        for place, symbol in enumerate(symbols, 1):
+            state = moves[state + symbol]
+            if state >= accepting:
+                end = place
+            elif state == dead:
+                break
+        return end
+
+
+def compile_rules(
+    patterns: tuple[str, ...], *, anywhere: bool = True, backward: bool = False
+) -> Automaton:
+    """Subset construction over the rules' joint automaton, then minimisation. With `anywhere` a
+    match may begin at any byte, else only at the first one; with `backward` bytes come last first."""
+    nfa = Nfa(backward)
     root = nfa.state()
     ends = {}
     for number, pattern in enumerate(patterns):
@@ -173,6 +214,7 @@ def compile_rules(patterns: tuple[str, ...]) -> Automaton:
     samples = [classes.index(i) for i in range(len(number_of))]
 
     begin = nfa.closure([root])
+    again = begin if anywhere else frozenset()
     by_class = [
         [[to for chars, to in edges if b in chars] for b in samples] for edges in nfa.edges
     ]
@@ -182,13 +224,14 @@ def compile_rules(patterns: tuple[str, ...]) -> Automaton:
         row = []
         for i in range(len(samples)):
             reached = {to for s in current for to in by_class[s][i]}
-            target = nfa.closure(reached) | begin  # a match may begin anywhere
+            target = nfa.closure(reached) | again
             if target not in subsets:
                 subsets[target] = len(subsets)
                 todo.append(target)
             row.append(subsets[target])
         moves.append(row)
     accepts = [frozenset(ends[s] for s in subset if s in ends) for subset in subsets]
+    nowhere = subsets.get(frozenset())
     block, moves = _minimal(moves, accepts)
     accepts = {b: accepts[s] for s, b in enumerate(block)}
 
@@ -198,7 +241,46 @@ def compile_rules(patterns: tuple[str, ...]) -> Automaton:
     place = {b: i * width for i, b in enumerate(order)}
     flat = tuple(place[to] for b in order for to in moves[b])
     rules = {place[b]: accepts[b] for b in order if accepts[b]}
-    return Automaton(classes, width, flat, min(rules, default=len(flat)), rules)
+    dead = -1 if nowhere is None else place[block[nowhere]]
+    return Automaton(classes, width, flat, min(rules, default=len(flat)), rules, dead)
+
+
+class Scanner:
+    """The joint automaton of some rules, and each rule's own pair for its spans."""
+
+    def __init__(self, rules: tuple[Rule, ...] = RULES):
+        self.rules = rules
+        self.joint = compile_rules(tuple(rule.scan for rule in rules))
+        self.backward = [compile_rules((rule.exact,), backward=True) for rule in rules]
+        self.forward = [compile_rules((rule.exact,), anywhere=False) for rule in rules]
+        self.exact = [re.compile(rule.exact.encode()) for rule in rules]
+
+    def matches(self, number: int, data: bytes) -> Iterator[tuple[int, int]]:
+        """(start, end) in bytes of all matches of a rule, counted or not."""
+        forward, passed = self.forward[number], 0
+        symbols = memoryview(data.translate(forward.classes))
+        for start in reversed(self.backward[number].marks(data)):
+            if start >= passed:
+                passed = start + forward.reach(symbols[start:])
+                yield start, passed
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, rule number, end) in code points of the matches that count, in order."""
+        data = text.encode()
+        spans = []
+        for number in self.joint.scan(data):
+            rule, exact = self.rules[number], self.exact[number]
+            for start, end in self.matches(number, data):
+                if rule.least > 1:
+                    found = exact.fullmatch(data, start, end)  # for its group
+                    if len(found[rule.group]) < rule.least:
+                        continue
+                spans.append((start, number, end))
+        if spans and len(text) != len(data):
+            points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            at = lambda byte: int(points[byte - 1]) if byte else 0
+            spans = [(at(start), number, at(end)) for start, number, end in spans]
+        return sorted(spans)
 
 
 def _minimal(moves: list[list[int]], accepts: list) -> tuple[list[int], list[list[int]]]:
@@ -215,38 +297,25 @@ def _minimal(moves: list[list[int]], accepts: list) -> tuple[list[int], list[lis
     return block, [rows[b] for b in range(len(rows))]
 
 
-def find_spans(text: str, found: set[int], rules: tuple[Rule, ...], exact: list) -> list:
-    """(start, rule number, end) of the spans of the rules in `found`, in code points."""
-    spans = []
-    for number in found:
-        rule = rules[number]
-        for match in exact[number].finditer(text):
-            if len(match[rule.group]) >= rule.least:
-                spans.append((match.start(), number, match.end()))
-    return sorted(spans)
-
-
 def scan_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` without its text, with COLUMNS; columns of these names are replaced.
 
-    The automaton is compiled once, on the driver, and passes over each text once for all rules;
-    where it accepts, that rule's pattern gives the exact spans, leftmost first, not overlapping.
+    The automata are compiled once, on the driver. The joint one passes over each text once for all
+    rules; where it accepts, that rule's own ones give the spans, leftmost longest, not overlapping.
     `spans` lists kind:start:end by start, then by rule; `base_sha256` is of the base kinds' list.
     A null or empty text has no spans. Rows never meet.
     """
     columns = StructType.fromDDL(COLUMNS)
     rest = docs.drop(text, *columns.names)
     names = rest.columns
-    automaton = compile_rules(tuple(rule.scan for rule in rules))
+    scanner = Scanner(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact = [re.compile(rule.exact, re.ASCII) for rule in rules]
         for batch in batches:
             for part in slices(batch, text):
                 rows = []
                 for value in part.column(text).to_pylist():
-                    found = automaton.scan(value.encode()) if value else set()
-                    spans = find_spans(value, found, rules, exact) if found else []
+                    spans = scanner.spans(value) if value else []
                     kinds = [rules[number].kind for _, number, _ in spans]
                     listed = [f"{k}:{start}:{end}" for k, (start, _, end) in zip(kinds, spans)]
                     base = ",".join(s for k, s in zip(kinds, listed) if k in BASE_KINDS)

@@ -1,32 +1,79 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from edges import documents
 
-from kermesse.llm.secrets import BASE_KINDS, RULES, compile_rules, find_spans, scan_secrets
+from kermesse.llm.secrets import BASE_KINDS, RULES, Scanner, compile_rules, scan_secrets
 
 PARTS = [
     "password", "PASSWD", "secret", "Token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "AKIA", "abcdef0123456789",
     "AB12", "x", "é", "\n", "ghp_", "A" * 36, "xoxb-", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "K", "ſecret", "abc123",
+    "-----END ", "-", "AIza", "b" * 40, "sk_live_", "=abcdefghijkl", "Z9" * 9, "eyJa.b.c",
 ]
 
 
 @pytest.fixture(scope="module")
-def automaton():
-    return compile_rules(tuple(rule.scan for rule in RULES))
+def scanner():
+    return Scanner()
 
 
-def test_the_automaton_agrees_with_the_patterns(automaton):
+def by_patterns(text):
+    """All spans by the patterns of the standard library, rule after rule."""
+    out = []
+    for number, rule in enumerate(RULES):
+        for match in re.finditer(rule.exact, text, re.ASCII):
+            if len(match[rule.group]) >= rule.least:
+                out.append((match.start(), number, match.end()))
+    return sorted(out)
+
+
+def test_the_automata_agree_with_the_patterns(scanner):
     draw = random.Random(5)
     scans = [re.compile(rule.scan.encode()) for rule in RULES]
-    exact = [re.compile(rule.exact, re.ASCII) for rule in RULES]
-    for _ in range(5000):
-        text = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 12)))
-        found = automaton.scan(text.encode())
-        assert found == {i for i, scan in enumerate(scans) if scan.search(text.encode())}
-        assert find_spans(text, found, RULES, exact) == find_spans(text, set(range(len(RULES))), RULES, exact)
+    seen = set()
+    for _ in range(6000):
+        text = "".join(draw.choice(PARTS) for _ in range(draw.randint(0, 14)))
+        data = text.encode()
+        assert scanner.joint.scan(data) == {i for i, scan in enumerate(scans) if scan.search(data)}
+        assert scanner.spans(text) == by_patterns(text)
+        seen |= {number for _, number, _ in scanner.spans(text)}
+    assert seen == set(range(len(RULES)))
+
+
+def test_matches_that_do_not_count_are_passed_over(scanner):
+    text = "token = token = 'abcdefghijkl'"
+    assert scanner.spans(text) == by_patterns(text)
+    assert [m for m in scanner.matches(0, text.encode())] == [
+        (m.start(), m.end()) for m in re.finditer(RULES[0].exact, text)
+    ]
+
+
+def test_a_private_key_goes_to_its_end(scanner):
+    body = "Proc-Type: 4,ENCRYPTED\n\n" + "MIIE+/=" * 30 + "\n"
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    number = [rule.kind for rule in RULES].index("private_key")
+    for text, spans in (
+        (f"é {key} x", [(2, 2 + len(key))]),
+        (f"{key[:60]} cut", [(0, 31)]),
+        (key[:31] + key, [(0, 31), (31, 31 + len(key))]),
+    ):
+        assert [(a, b) for a, n, b in scanner.spans(text) if n == number] == spans
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "eyJ" * 1_700_000, "eyJ" * 1_700_000 + ".a.b", "eyJa." * 1_000_000, "-----BEGIN PRIVATE KEY-----" * 190_000,
+        "token=" * 850_000, "AIza" * 1_250_000, "xoxb-" * 1_000_000, "AKIA" * 1_250_000 + " ", "-----BEGIN " + "A " * 2_500_000,
+    ],
+)
+def test_five_megabytes_of_starts_take_linear_time(scanner, text):
+    began = time.process_time()
+    scanner.spans(text)
+    assert time.process_time() - began < 12  # quadratic time would be hours
 
 
 def test_minimisation_joins_equal_states():
