@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from kermesse.llm.common import slices
 
 # The elements of HTML by what they do to text.
-SKIPPED = frozenset("head title script style noscript template svg math iframe object select textarea".split())
+SKIPPED = frozenset("title script style noscript template svg math iframe object select textarea".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -38,6 +38,13 @@ FURNITURE_NAMES = frozenset(
     "toolbar topbar widget".split()
 )
 CONTENT_NAMES = frozenset("article content entry main post story body".split())
+# A name with one of these tells of a page that has furniture, not of furniture: "has-sidebar",
+# "content-sidebar-wrap".
+LAYOUT_NAMES = frozenset("container has layout no with without wrap wrapper".split())
+# Furniture that may hold a page's longest article all the same.
+READERS_NAMES = frozenset("comment comments disqus feedback related replies reply respond".split())
+# Elements that end those of SKIPPED left open before them.
+PAGE_STARTS = frozenset("article body main".split())
 
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z]+")
@@ -48,36 +55,65 @@ PER_WORD, MOST_WORDS, FULL_STOP, LINKED, HEADING, PAGE_HEADER = 0.04, 60, 0.6, -
 ADJACENT, NEAR = 0.5, 0.8
 
 
-@dataclass
 class Element:
-    tag: str
-    depth: int
-    number: int
-    furniture: int = 0  # of this element and those around it
-    named_furniture: int = 0
-    content: int = 0
-    named_content: int = 0
-    header: int = 0
-    link: bool = False
+    """An element with what it is itself; `settle` adds what holds for all that lies in it. Elements
+    know those around them by one link each, so deep pages take no more memory than flat ones."""
+
+    __slots__ = (
+        "tag", "around", "box", "depth", "link", "furniture", "named", "readers", "content",
+        "named_content", "header", "words", "article",
+    )
+
+    def __init__(self, tag: str, around: Element | None = None, names: frozenset[str] | set[str] = frozenset()):
+        self.tag, self.around = tag, around
+        # The next element around it that is a box, which inline ones are not.
+        self.box = around and (around if around.tag not in INLINE else around.box)
+        self.depth = 0 if around is None else self.box.depth + 1
+        self.link = tag == "a" or bool(around and around.link)
+        self.furniture = tag in FURNITURE
+        self.named = bool(names & FURNITURE_NAMES) and tag not in ("body", "html")
+        self.readers = self.named and bool(names & READERS_NAMES)
+        self.content = tag in CONTENT
+        self.named_content = bool(names & CONTENT_NAMES)
+        self.header = tag == "header"
+        self.words = 0  # in all that lies in it
+        self.article = 0  # in the longest article in it
 
 
 @dataclass
 class Block:
-    """A run of text between two block borders, and the elements around it."""
+    """A run of text between two block borders, and the element it lies in."""
+
+    home: Element
+    text: str
+    linked: int
+    total: int
+
 
-    path: tuple[Element, ...]
-    words: list[str] = field(default_factory=list)
-    linked: int = 0
-    total: int = 0
+def names_of(attrs) -> set[str]:
+    """Words of class, id and role; of a name that tells of the layout, only those of content."""
+    found = set()
+    for key, value in attrs:
+        if key in ("class", "id", "role") and value:
+            for name in value.split():
+                words = {word.lower() for word in NAME.findall(name)}
+                found |= words - FURNITURE_NAMES if words & LAYOUT_NAMES else words
+    return found
 
 
 class Blocks(HTMLParser):
-    """Cuts a page into blocks. Unclosed elements end with the element around them."""
+    """Cuts a page into blocks. Unclosed elements end with the element around them.
+
+    Each step looks at the open elements that it ends and no others, so a page is read in time in
+    proportion to its length, however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [Element("#", 0, 0)]
-        self.made = 0
+        self.stack = [Element("#")]
+        self.made = list(self.stack)
+        self.open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+        self.boxes = [0]  # places of elements that are not inline
         self.skipped = 0
         self.blocks: list[Block] = []
         self.pieces: list[tuple[str, bool]] = []
@@ -87,16 +123,15 @@ class Blocks(HTMLParser):
         text = "".join(piece for piece, _ in self.pieces)
         if words := SPACE.sub(" ", text).strip():
             linked = sum(len(piece) for piece, link in self.pieces if link)
-            path = tuple(e for e in self.stack if e.tag not in INLINE)
-            self.blocks.append(Block(path, [words], linked, max(1, len(text))))
+            home = self.stack[self.boxes[-1]]
+            home.words += words.count(" ") + 1
+            self.blocks.append(Block(home, words, linked, max(1, len(text))))
         self.pieces = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.border() if tag not in INLINE else None
-            self.skipped += 1
-            self._open(tag, attrs)
-            return
+        if tag in PAGE_STARTS and self.skipped:
+            first = min(self.open_at[t][0] for t in SKIPPED if self.open_at.get(t))
+            self._cut(first)
         if tag not in INLINE:
             self.border()
         if tag in VOID:
@@ -105,103 +140,117 @@ class Blocks(HTMLParser):
             self._close_open("p")
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             self._close_open(tag)
-        self._open(tag, attrs)
+        if tag in SKIPPED:
+            self.skipped += 1
+        place = len(self.stack)
+        self.stack.append(Element(tag, self.stack[-1], names_of(attrs)))
+        self.made.append(self.stack[-1])
+        self.open_at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.boxes.append(place)
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
             self.border()
 
-    def _open(self, tag, attrs):
-        names = {
-            word.lower()
-            for key, value in attrs
-            if key in ("class", "id", "role") and value
-            for word in NAME.findall(value)
-        }
-        above = self.stack[-1]
-        self.made += 1
-        furniture = above.furniture + (tag in FURNITURE)
-        self.stack.append(
-            Element(
-                tag,
-                above.depth + 1,
-                self.made,
-                furniture,
-                above.named_furniture + (bool(names & FURNITURE_NAMES) and tag not in ("body", "html")),
-                above.content + (tag in CONTENT),
-                above.named_content + bool(names & CONTENT_NAMES),
-                above.header + (tag == "header" and not above.content),
-                above.link or tag == "a",
-            )
-        )
+    def _cut(self, place: int) -> None:
+        """Ends the elements from a place of the stack on."""
+        for element in reversed(self.stack[place:]):
+            self.open_at[element.tag].pop()
+            self.skipped -= element.tag in SKIPPED
+        del self.stack[place:]
+        while self.boxes[-1] >= place:
+            self.boxes.pop()
 
     def _close_open(self, tag):
         """An element that the next one ends without an end tag, if it is open in the same box."""
-        for at in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[at].tag
-            if name == tag:
-                del self.stack[at:]
-                return
-            if name not in INLINE:
-                return
+        places = self.open_at.get(tag)
+        if places and places[-1] == self.boxes[-1]:
+            self._cut(places[-1])
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.border()
-        if tag in VOID:
-            return
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at].tag == tag:
-                self.skipped -= sum(e.tag in SKIPPED for e in self.stack[at:])
-                del self.stack[at:]
-                return
-            if tag in INLINE and self.stack[at].tag not in INLINE:
-                return  # a stray end tag closes nothing beyond its box
+        places = self.open_at.get(tag)
+        # A stray end tag of an inline element closes nothing beyond its box.
+        if places and (tag not in INLINE or places[-1] > self.boxes[-1]):
+            self._cut(places[-1])
 
     def handle_data(self, data):
         if not self.skipped:
             self.pieces.append((data, self.stack[-1].link))
 
 
+def settle(made: list[Element]) -> None:
+    """Hand on what elements are to all that lies in them.
+
+    What holds half of a page's words in one article or main element is no furniture, whatever it
+    is called - unless it is the readers' part.
+    """
+    for element in reversed(made[1:]):
+        around = element.around
+        around.words += element.words
+        own = element.words if element.content else 0
+        element.article = max(element.article, own)
+        around.article = max(around.article, element.article)
+    half = made[0].words / 2
+    for element in made[1:]:
+        around = element.around
+        if 0 < half <= element.article and not element.content and not element.readers:
+            element.furniture = element.named = False
+        element.header = around.header or (element.header and not around.content)
+        element.furniture |= around.furniture
+        element.named |= around.named
+        element.content |= around.content
+        element.named_content |= around.named_content
+
+
 def blocks_of(html: str | None) -> list[Block]:
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.border()
+    settle(parser.made)
     return parser.blocks
 
 
 def content_odds(block: Block) -> float:
     """The classifier: log odds that a block is content."""
-    last = block.path[-1]
-    text = block.words[0]
+    home, text = block.home, block.text
     score = BIAS + PER_WORD * min(MOST_WORDS, text.count(" ") + 1)
-    score += IN_FURNITURE * bool(last.furniture) + NAMED_FURNITURE * bool(last.named_furniture)
-    score += IN_CONTENT * bool(last.content) + NAMED_CONTENT * bool(last.named_content)
-    score += PAGE_HEADER * bool(last.header) + HEADING * (last.tag in HEADINGS)
+    score += IN_FURNITURE * home.furniture + NAMED_FURNITURE * home.named
+    score += IN_CONTENT * home.content + NAMED_CONTENT * home.named_content
+    score += PAGE_HEADER * home.header + HEADING * (home.tag in HEADINGS)
     score += FULL_STOP * (text[-1] in ".!?…") + LINKED * min(1.0, block.linked / block.total)
     return score
 
 
+def steps_between(a: Element, b: Element) -> int:
+    """Boxes to leave and to enter on the way from one to the other. Of neighbours on a page these
+    are the ones that end and begin between them, so all steps of a page are as many as its boxes."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.box
+        else:
+            b = b.box
+        steps += 1
+    return steps
+
+
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours on the page, the weaker the more elements lie between them, and
     blocks that follow one another within one element."""
     edges = []
-    last_in: dict[int, int] = {}
+    last_in: dict[Element, int] = {}
     for i, block in enumerate(blocks):
         if i:
-            before = blocks[i - 1].path
-            shared = 0
-            for a, b in zip(before, block.path):
-                if a is not b:
-                    break
-                shared += 1
-            steps = len(before) + len(block.path) - 2 * shared
+            steps = steps_between(blocks[i - 1].home, block.home)
             edges.append((i - 1, i, ADJACENT / (1 + steps)))
-        home = block.path[-2].number if len(block.path) > 1 else 0
-        if home in last_in:
-            edges.append((last_in[home], i, NEAR))
-        last_in[home] = i
+        around = block.home.box or block.home
+        if around in last_in:
+            edges.append((last_in[around], i, NEAR))
+        last_in[around] = i
     return edges
 
 
@@ -282,14 +331,15 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     kept = minimum_cut([content_odds(b) for b in blocks], edges_of(blocks))
-    return " ".join(b.words[0] for b, keep in zip(blocks, kept) if keep)
+    return " ".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """`pages` without its html, with `text`, the main text, and `n_chars`, its code points.
 
     Columns called text or n_chars are replaced. Null and empty pages have an empty text. Rows
-    never meet; a page is cut within its task, in memory that follows the page.
+    never meet; a page is cut within its task, in time and memory that follow the page, however deep
+    its elements lie.
     """
     out = StructType.fromDDL("text string, n_chars long")
     rest = pages.drop(html, *out.names)

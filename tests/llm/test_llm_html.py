@@ -1,5 +1,7 @@
 import itertools
 import random
+import resource
+import time
 
 import pytest
 from edges import CLASHES
@@ -40,6 +42,15 @@ SAID = "This is a paragraph about something, with words enough to be one, and it
         (f"<article><p>{SAID}</p></article><section id=comments><p>{SAID}</p></section>", SAID),
         (f"<div><p>{SAID} {SAID}</p><p>Short.</p></div><div><a href=x>Imprint</a></div>", f"{SAID} {SAID} Short."),
         ("<article><ul><li>one<li>two</ul>loose</article>", "one two loose"),
+        # A head that is not ended, a list that is not ended, a wrapper named after what it holds.
+        (f"<html><head><title>x</title><body><article><p>{SAID}</article>", SAID),
+        (f"<head><title>x</title><meta charset=x><article><p>{SAID}</article>", SAID),
+        (f"<select><option>one<main><p>{SAID}</main>", SAID),
+        (f"<div class='content-sidebar-wrap'><article><p>{SAID}</article><div class=sidebar>Ads</div></div>", SAID),
+        (f"<div class='page has-sidebar'><p>{SAID} {SAID}</p></div><div class=sidebar><p>{SAID}</p></div>", f"{SAID} {SAID}"),
+        (f"<form id=all><div class=sidebar><nav>Menu</nav></div><main><p>{SAID}</main></form>", SAID),
+        (f"<div class='widget social'><article><p>{SAID} {SAID}</article></div><nav>Menu</nav>", f"{SAID} {SAID}"),
+        (f"<div id=comments><article><p>{SAID} {SAID}</article></div><main><p>{SAID}</main>", SAID),
     ],
 )
 def test_pages(html, text):
@@ -53,6 +64,22 @@ def test_long_and_broken_pages():
     assert main_text("</p></b><article><b><p>x</b></article>") == "x"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x " * 800_000, "<div class='a b'>" * 60_000, "<b>" * 200_000 + "</i>" * 60_000,
+        "<i><div>" + "<b>x</i>" * 100_000, "<p><b>x" * 100_000, "<ul>" + "<li><i>x" * 100_000,
+        "<div>" * 80_000 + "</section>" * 60_000, "<select><option>x" * 50_000,
+    ],
+)
+def test_pages_of_open_elements(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 60  # quadratic time would be hours
+    used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert used < 6 << 20  # KB; whole paths would be tens of GB
+
+
 def test_edges(spark):
     from pyspark.sql import functions as F
 
