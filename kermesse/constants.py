@@ -150,6 +150,7 @@ MAX_K = 10
 OVERFETCH = 3
 SPARSE_SHARE = 0.95
 RECENT_MONTHS = 12
+LANGUAGE = "fr"
 
 # --- End of fixed values. ---
 

@@ -23,6 +23,10 @@ from kermesse.functions.text import valid_text, wall_micros
 
 OLDEST = -(2**63) + 1
 LONG_KEY = 64
+# Parts in which the items of the group without a key are put in order, if asked.
+SPREAD = 64
+NO_KEY = "null"
+NULL_KEYS = ("group", "spread", "apart")
 
 
 def _age_rank(c: Column, dtype: T.DataType) -> Column:
@@ -64,10 +68,15 @@ def _group_key(c: Column) -> Column:
     """
     long_key = F.concat(F.lit("#"), F.sha2(c, 256))
     return F.coalesce(
-        F.when(F.length(c) > LONG_KEY, long_key).otherwise(F.concat(F.lit("="), c)), F.lit("null")
+        F.when(F.length(c) > LONG_KEY, long_key).otherwise(F.concat(F.lit("="), c)), F.lit(NO_KEY)
     )
 
 
+def keyless_rows(df: DataFrame, key: str) -> DataFrame:
+    """The rows that `merge_by_key` leaves out with `null_keys="apart"`."""
+    return df.where(F.col(f"`{key}`").isNull())
+
+
 def merge_by_key(
     df: DataFrame,
     key: str,
@@ -78,6 +87,7 @@ def merge_by_key(
     gather: Mapping[str, str] | None = None,
     gather_text: Mapping[str, str] | None = None,
     normalised: bool = False,
+    null_keys: str = "group",
 ) -> DataFrame:
     """One row per key; null keys form one group.
 
@@ -86,8 +96,15 @@ def merge_by_key(
     never depends on partitioning. `base_only`: columns taken from the newest row even
     when missing there. `gather` / `gather_text`: new list column -> source column whose distinct
     values (distinct stripped texts) are listed newest first. `normalised`: missing values of
-    whole columns are null already.
+    whole columns are null already. `null_keys`: with "group" the rows without a key become one row
+    as any other; with "spread" too, but its items, which may be a large part of all, are put in
+    order in SPREAD parts before they meet; with "apart" they are left out, and `keyless_rows` has
+    them for a table of their own.
     """
+    if null_keys not in NULL_KEYS:
+        raise ValueError(f"null_keys must be one of {NULL_KEYS}")
+    if null_keys == "apart":
+        df = df.where(F.col(f"`{key}`").isNotNull())
     if key not in df.columns:
         raise ValueError(f"key column {key!r} is missing")
     gather, gather_text = dict(gather or {}), dict(gather_text or {})
@@ -99,11 +116,16 @@ def merge_by_key(
     ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
     # Rows still tied go by a hash of their content.
     ties.append(F.xxhash64(*[_hashable(F.col(f"`{n}`"), types[n]) for n in df.columns]))
-    # Absolute value bounds keep the negated rank inside a long.
-    forward = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
-    backward = [-newest, *[F.greatest(t, F.lit(OLDEST)) for t in ties]]
-
-    work = df.select("*", _group_key(F.col(key).cast("string")).alias("_key"))
+    # Absolute value bounds keep the negated rank inside a long. Ranks are columns of their own, so
+    # that no value needed for them is carried, or hashed again, beyond this projection.
+    ranks = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
+    work = df.select(
+        "*",
+        _group_key(F.col(key).cast("string")).alias("_key"),
+        *[r.alias(f"_o{i}") for i, r in enumerate(ranks)],
+    )
+    forward = [F.col(f"_o{i}") for i in range(len(ranks))]
+    backward = [-r for r in forward]
 
     lists = [n for n in values if isinstance(types[n], T.ArrayType) and n not in base_only]
     maps = [n for n in values if isinstance(types[n], T.MapType) and n not in base_only]
@@ -128,7 +150,8 @@ def merge_by_key(
             aggs.append(F.max_by(c, F.when(~absent, F.col("_rank"))).alias(n))
     plain = work.withColumn("_rank", rank).groupBy("_key").agg(*aggs)
 
-    items = _distinct_items(work, types, lists, maps, gather, gather_text, forward, backward)
+    spread = null_keys == "spread"
+    items = _distinct_items(work, types, lists, maps, gather, gather_text, forward, backward, spread)
     if items is None:
         joined = plain
     else:
@@ -147,6 +170,7 @@ def _distinct_items(
     gather_text: Mapping[str, str],
     forward: list[Column],
     backward: list[Column],
+    spread: bool,
 ) -> DataFrame | None:
     """Per key, each list and map column rebuilt from its distinct items."""
     # target column -> (element type, array of (item key, sort rank, value))
@@ -208,7 +232,8 @@ def _distinct_items(
         (F.when(F.col("x.c").isin(*backwards), b).otherwise(f) if backwards else f).alias(f"o{m}")
         for m, (f, b) in enumerate(zip(forward, backward))
     ]
-    exploded = work.select("*", F.explode(every).alias("x")).select(
+    rows = work.select("_key", *forward, every.alias("_all"))
+    exploded = rows.select("_key", *forward, F.explode("_all").alias("x")).select(
         "_key", "x.c", "x.k", "x.v", F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r")
     )
     distinct = exploded.groupBy("_key", "c", "k").agg(
@@ -216,22 +241,29 @@ def _distinct_items(
         F.max("r").alias("r"),
         F.min_by("v", "r").alias("v"),
     )
-    gathered = distinct.groupBy("_key").agg(
-        *[
-            F.collect_list(
-                F.when(
-                    F.col("c") == j, F.struct("r", F.col("k"), F.col(f"v.v{j}").alias("v"))
-                )
-            ).alias(t)
-            for j, t in enumerate(targets)
-        ]
+    cells = [
+        F.collect_list(
+            F.when(F.col("c") == j, F.struct("r", F.col("k"), F.col(f"v.v{j}").alias("v")))
+        ).alias(t)
+        for j, t in enumerate(targets)
+    ]
+    newest_first = lambda c: F.array_sort(
+        c, lambda a, b: F.when(a["r"] > b["r"], -1).when(a["r"] < b["r"], 1).otherwise(0)
     )
+    keyless = F.col("_key") == NO_KEY
+    gathered = distinct.where(~keyless if spread else F.lit(True)).groupBy("_key").agg(*cells)
+    if spread:
+        # Sorted runs, which the last sort only merges: it takes SPREAD rows, not one per item.
+        part = F.pmod(F.xxhash64("c", "k"), F.lit(SPREAD)).alias("_part")
+        parts = distinct.where(keyless).groupBy("_key", part).agg(*cells)
+        runs = parts.select("_key", *[newest_first(F.col(f"`{t}`")).alias(t) for t in targets])
+        whole = runs.groupBy("_key").agg(
+            *[F.flatten(F.collect_list(F.col(f"`{t}`"))).alias(t) for t in targets]
+        )
+        gathered = gathered.unionByName(whole)
 
     def rebuilt(t: str) -> Column:
-        newest_first = F.array_sort(
-            F.col(t), lambda a, b: F.when(a["r"] > b["r"], -1).when(a["r"] < b["r"], 1).otherwise(0)
-        )
-        out = F.transform(newest_first, lambda x: x["v"])
+        out = F.transform(newest_first(F.col(t)), lambda x: x["v"])
         if t in maps:
             out = F.map_from_entries(out)
         return F.when(F.size(F.col(t)) > 0, out).alias(t)

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +40,15 @@ def _comparable(c: Column, dtype: T.DataType) -> Column:
     return empty_to_null(comparison_key(c, dtype))
 
 
-def _fixed_width(c: Column, dtype: T.DataType) -> list[Column]:
-    """Text as the four numbers of its SHA-256, so that rows of long texts shuffle as a few numbers
-    and aggregate in hash tables."""
-    if not isinstance(dtype, T.StringType):
-        return [c]
-    digest = F.sha2(c, 256)
-    part = lambda i: F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long")
-    return [part(i) for i in range(4)]
+def _same_hash_other_text(cells: DataFrame, suspects: DataFrame, keys: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """(keys, _bits): the text columns, by place in `texts`, in which a suspected key holds several
+    texts after all. Only rows of suspected keys are looked at."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(n).alias("t")) for i, n in enumerate(texts)])
+    rows = cells.join(suspects, list(keys), "left_semi").select(*_key(keys), F.explode(pairs).alias("p"))
+    distinct = rows.where("p.t is not null").select(*_key(keys), "p.i", "p.t").distinct()
+    several = distinct.groupBy(*_key(keys), "i").agg(F.count("*").alias("n")).where("n > 1")
+    bit = F.expr("shiftleft(cast(1 as bigint), i)")
+    return several.groupBy(*_key(keys)).agg(F.bit_or(bit).alias("_bits"))
 
 
 def conflict_profile(
@@ -58,8 +56,10 @@ def conflict_profile(
 ) -> DataFrame:
     """Per column, how many duplicated keys hold more than one distinct value, most first.
 
-    A key conflicts when the smallest and largest stand-ins of its values differ, so no distinct
-    set is built. Null and blank text are no values here; an empty list is one. Null keys do not count.
+    A key conflicts when the smallest and largest of its values differ, so no distinct set is built.
+    Text enters as a hash of 64 bits: two hashes prove a conflict, and keys whose several texts have
+    one hash are compared by the texts themselves. Null and blank text are no values here; an empty
+    list is one. Null keys do not count.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -67,18 +67,28 @@ def conflict_profile(
     # A projection each: nested, every use of a value would compute it again.
     values = {f"_v{i}": _comparable(F.col(f"`{n}`"), types[n]) for i, n in enumerate(columns)}
     cells = df.dropna(subset=keys).select(*_key(keys), *[v.alias(n) for n, v in values.items()])
-    stand_ins = {n: _fixed_width(F.col(n), cells.schema[n].dataType) for n in values}
-    narrow = {f"{n}_{j}": x for n, xs in stand_ins.items() for j, x in enumerate(xs)}
-    differ = [
-        reduce(or_, [F.min(f"{n}_{j}") < F.max(f"{n}_{j}") for j in range(len(xs))])
-        for n, xs in stand_ins.items()
-    ]
+    texts = [n for n in values if isinstance(cells.schema[n].dataType, T.StringType)]
+    hashed = {n: F.when(F.col(n).isNotNull(), F.xxhash64(n)) if n in texts else F.col(n) for n in values}
+    narrow = cells.select(*_key(keys), *[x.alias(n) for n, x in hashed.items()])
+    differ = [(F.min(n) < F.max(n)).alias(f"_c{i}") for i, n in enumerate(values)]
+    alike = F.lit(False)
+    for n in texts:
+        alike = alike | ((F.count(n) > 1) & (F.min(n) == F.max(n)))
     per_key = (
-        cells.select(*_key(keys), *[x.alias(n) for n, x in narrow.items()])
-        .groupBy(*_key(keys))
-        .agg(F.count("*").alias("_n"), *[d.alias(f"_c{i}") for i, d in enumerate(differ)])
+        narrow.groupBy(*_key(keys))
+        .agg(F.count("*").alias("_n"), *differ, alike.alias("_alike"))
         .filter(F.col("_n") > 1)
     )
+    # 63 text columns to a round, as many as there are bits.
+    for start in range(0, len(texts), 63):
+        some = texts[start : start + 63]
+        suspects = per_key.where("_alike").select(*_key(keys))
+        found = _same_hash_other_text(cells, suspects, keys, some)
+        proven = {
+            f"_c{n[2:]}": F.col(f"_c{n[2:]}") | (F.coalesce(F.getbit("_bits", F.lit(i)), F.lit(0)) == 1)
+            for i, n in enumerate(some)
+        }
+        per_key = per_key.join(found, keys, "left").withColumns(proven).drop("_bits")
     counts = per_key.agg(
         F.count("*").alias("_keys"),
         *[F.count_if(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(columns))],

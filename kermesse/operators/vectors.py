@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,8 +25,16 @@ MAX_LOCAL_QUERIES = 4096
 MAX_LOCAL_CELLS = 1 << 22
 # Result rows up to this many may be broadcast to look up their documents.
 MAX_BROADCAST_ROWS = 200_000
-# Queries of one pass over the vectors where they are more.
+# Queries of a block where they are more.
 QUERY_BLOCK = 4096
+# Vector cells a task gathers before it streams many blocks of queries past them: 128 MB.
+BUFFER_CELLS = 1 << 24
+# Beyond so many tasks one vector in SAMPLE_OF bounds the scores first.
+MANY_SPLITS = 64
+SAMPLE_OF = 16
+SAMPLE_SEED = 7
+# Results up to this many look their documents up by pushed ids.
+LOOKUP_ROWS = 512
 # Partial winners of a query are cut in this many groups before the last cut.
 FAN_IN = 64
 
@@ -127,12 +134,17 @@ def query_set(queries: DataFrame, *, max_local: int = MAX_LOCAL_QUERIES) -> Quer
     return QuerySet(queries, local if small else None)
 
 
-def _block_search(n: int, vector: str, carry: Sequence[str], id_column: str):
-    """Task-side functions: Arrow vectors against a query matrix, best n per query kept.
+def _search_task(n: int, id_column: str, carry: Sequence[str], names: Sequence[str], asked):
+    """The function a task runs over its batches of vectors: rows of the best n per query.
 
+    `asked` is an Arrow table of queries, or the files of a written one. With a table, the best n are
+    kept over the whole task. With files, a task gathers BUFFER_CELLS of vectors and streams the
+    queries past them block by block, so the vectors are read once however many queries there are,
+    and a task holds one block of them. A query's `bound` is a score its n-th best cannot be below.
     Kept free of references to this package, so workers need only numpy and pyarrow.
     """
-    carry = list(carry)
+    carry, names = list(carry), list(names)
+    buffer_cells, block_rows, tile, width = BUFFER_CELLS, QUERY_BLOCK, 256, 8192
 
     def matrix(column, np):
         if hasattr(column, "combine_chunks"):
@@ -160,43 +172,96 @@ def _block_search(n: int, vector: str, carry: Sequence[str], id_column: str):
         first = np.searchsorted(q, q, side="left")
         return order.filter(pa.array(np.arange(len(q)) - first < n))
 
-    def search(batches, queries, step=256):
-        """Candidates of all batches, cut to the best n per query along the way."""
-        import numpy as np
-        import pyarrow as pa
-
-        kept, rows = [], 0
+    def search(values, extra, queries, cut, kept, np, pa):
+        """`kept` with the candidates among some vectors, and `cut` raised to what they prove: the
+        n-th best score so far of each query, which later candidates must reach."""
+        if values.shape[1] != queries.shape[1]:
+            raise ValueError("queries and vectors differ in dimension")
         limit = max(4 * n * len(queries), 1 << 16)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = matrix(batch.column(vector), np)
-            if vectors.shape[1] != queries.shape[1]:
-                raise ValueError("queries and vectors differ in dimension")
-            extra = pa.table({c: batch.column(c) for c in carry})
-            for start in range(0, len(queries), step):
+        rows = sum(k.num_rows for k in kept)
+        for q0 in range(0, len(queries), tile):
+            for v0 in range(0, len(values), width):
                 # Scores are single precision, as the stored vectors are.
-                scores = (queries[start : start + step] @ vectors.T).astype(np.float32)
+                scores = (queries[q0 : q0 + tile] @ values[v0 : v0 + width].T).astype(np.float32)
                 if not np.isfinite(scores).all():
                     raise ValueError("a vector or a query is not finite")
-                if scores.shape[1] > n:
-                    cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
-                    q, v = np.nonzero(scores >= cut[:, None])
-                else:
-                    q, v = np.nonzero(np.ones(scores.shape, dtype=bool))
-                found = extra.take(pa.array(v))
-                found = found.append_column("_q", pa.array(q + start, pa.int64()))
+                low = cut[q0 : q0 + tile]
+                reach = scores >= low[:, None]
+                if scores.shape[1] > n and reach.sum() > 2 * n * len(low):
+                    nth = np.partition(scores, scores.shape[1] - n, axis=1)[:, -n]
+                    np.maximum(low, nth, out=low)
+                    reach = scores >= low[:, None]
+                q, v = np.nonzero(reach)
+                found = extra.take(pa.array(v + v0))
+                found = found.append_column("_q", pa.array(q + q0, pa.int64()))
                 found = found.append_column("score", pa.array(scores[q, v], pa.float32()))
                 kept.append(found)
                 rows += len(q)
                 if rows > limit:
-                    kept = [best(pa.concat_tables(kept), np, pa)]
+                    kept[:] = [best(pa.concat_tables(kept), np, pa)]
                     rows = kept[0].num_rows
-        if kept:
-            return best(pa.concat_tables(kept), np, pa)
-        return None
 
-    return search, matrix
+    def blocks(np):
+        """(ids, matrix, bounds) of each block of queries."""
+        if hasattr(asked, "num_rows"):
+            tables = [asked]
+        else:
+            import re
+
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            opened = (fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", f)) for f in asked)
+            tables = (pq.read_table(path, filesystem=system) for system, path in opened)
+        for table in tables:
+            for start in range(0, table.num_rows, block_rows):
+                part = table.slice(start, block_rows)
+                bounds = np.full(part.num_rows, -np.inf, np.float32)
+                if "bound" in part.column_names:
+                    given = part.column("bound").to_numpy(zero_copy_only=False).astype(np.float32)
+                    bounds = np.where(np.isnan(given), bounds, given)
+                yield part.column("query_id"), matrix(part.column("embedding"), np), bounds
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(kept, ids):
+            if kept:
+                out = best(pa.concat_tables(kept), np, pa)
+                out = out.append_column("query_id", ids.take(out.column("_q"))).select(names)
+                yield from out.combine_chunks().to_batches()
+
+        whole = list(blocks(np)) if hasattr(asked, "num_rows") else None
+        held = [[] for _ in whole or ()]
+        parts, cells = [], 0
+
+        def flush():
+            values = np.concatenate([matrix(b.column("embedding"), np) for b in parts])
+            extra = pa.concat_tables([pa.table({c: b.column(c) for c in carry}) for b in parts])
+            if whole is not None:
+                for kept, (_, queries, cut) in zip(held, whole):
+                    search(values, extra, queries, cut, kept, np, pa)
+                return
+            for ids, queries, cut in blocks(np):
+                kept = []
+                search(values, extra, queries, cut, kept, np, pa)
+                yield from rows(kept, ids)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            parts.append(batch)
+            cells += len(batch.column("embedding").flatten())
+            if cells >= (buffer_cells if whole is None else 0):
+                yield from flush()
+                parts, cells = [], 0
+        if parts:
+            yield from flush()
+        for kept, (ids, _, _) in zip(held, whole or ()):
+            yield from rows(kept, ids)
+
+    return task
 
 
 def _result_type(vectors: DataFrame, queries: DataFrame, carry: Sequence[str]) -> T.StructType:
@@ -205,42 +270,64 @@ def _result_type(vectors: DataFrame, queries: DataFrame, carry: Sequence[str]) -
     return T.StructType([*fields, T.StructField("score", T.FloatType())])
 
 
-def _search_local(vectors, local, n, id_column, carry, schema):
-    """Queries fit in every task: one pass over the vectors, no shuffle before the final cut."""
-    if local.num_rows == 0:
+def _candidates(vectors: DataFrame, asked: QuerySet, n: int, carry: Sequence[str]) -> DataFrame:
+    """At most n rows per query and task (and, for queries that are not local, per buffer), at or
+    above the query's bound: one pass over the vectors, which are not shuffled."""
+    schema = _result_type(vectors, asked.df, carry)
+    if asked.local is not None and asked.local.num_rows == 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    search, matrix = _block_search(n, "embedding", carry, id_column)
-    names = schema.names
-
-    def task(batches):
-        import numpy as np
-
-        queries = matrix(local.column("embedding"), np)
-        ids = local.column("query_id")
-        found = search(batches, queries)
-        if found is not None:
-            out = found.append_column("query_id", ids.take(found.column("_q"))).select(names)
-            yield from out.combine_chunks().to_batches()
-
+    source = asked.local if asked.local is not None else sorted(asked.df.inputFiles())
+    task = _search_task(n, carry[0], carry, schema.names, source)
     return vectors.select(*carry, "embedding").mapInArrow(task, schema)
 
 
-def _search_blocked(vectors, queries, n, id_column, carry, schema):
-    """Queries do not fit at once: one pass over the vectors per block of queries, each block's
-    results written before the next. The vectors are never shuffled, and the driver and the tasks
-    hold one block of queries at a time."""
-    asked = materialise(queries)
-    width = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
-    block_rows = max(1, min(QUERY_BLOCK, MAX_LOCAL_CELLS // width))
-    blocks = math.ceil(asked.count() / block_rows) or 1
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [
-        materialise(
-            _search_local(vectors, asked.where(block == b).toArrow(), n, id_column, carry, schema)
-        )
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.union, found)
+def _written(asked: QuerySet) -> QuerySet:
+    """Queries that are too many for a task, as a written table with a file per block."""
+    if asked.local is not None:
+        return asked
+    table = materialise(asked.df.select("query_id", "embedding"))
+    width = table.agg(F.max(F.size("embedding"))).first()[0] or 1
+    files = math.ceil(table.count() / max(1, min(QUERY_BLOCK, MAX_LOCAL_CELLS // width))) or 1
+    return QuerySet(materialise(table.repartition(files)), None)
+
+
+def _with_bounds(
+    vectors: DataFrame, asked: QuerySet, n: int, id_column: str, sample_of: int
+) -> QuerySet:
+    """The queries with the n-th best score each has among one in `sample_of` vectors: no row below
+    it can be among the best n of all. Some n * sample_of rows per query reach it, however many
+    tasks there are."""
+    sample = vectors.where(F.pmod(F.xxhash64(F.lit(SAMPLE_SEED), id_column), F.lit(sample_of)) == 0)
+    top = _best(_candidates(sample, asked, n, [id_column]), n, id_column)
+    full = top.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s"))
+    # Sums may round otherwise in another block, so the bound is put a little lower.
+    lower = (F.col("s") - F.abs("s") * F.lit(1e-5) - F.lit(1e-30)).cast("float")
+    bounds = full.where(F.col("c") == n).select("query_id", lower.alias("bound"))
+    if asked.local is None:
+        joined = asked.df.join(bounds, "query_id", "left")
+        return QuerySet(materialise(joined.repartition(len(asked.df.inputFiles()))), None)
+    known = dict(bounds.collect())  # a number per local query
+    column = pa.array([known.get(i) for i in asked.local.column("query_id").to_pylist()], pa.float32())
+    return QuerySet(asked.df, asked.local.append_column("bound", column))
+
+
+def _splits(df: DataFrame) -> int:
+    """About how many tasks read `df`, by the planner's estimate of its size."""
+    query, state = df._jdf.queryExecution(), df.sparkSession._jsparkSession.sessionState()
+    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
+    return size // int(state.conf().filesMaxPartitionBytes())
+
+
+def _best(found: DataFrame, n: int, id_column: str) -> DataFrame:
+    """The best n rows of each query with their rank. A query's rows are cut in FAN_IN groups
+    first, so that no task sees all of them."""
+    best = [F.desc("score"), F.asc(id_column)]
+    group = F.pmod(F.xxhash64(id_column), F.lit(FAN_IN))
+    cut = found.withColumn("_g", group)
+    cut = cut.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_g").orderBy(*best)))
+    cut = cut.filter(F.col("_r") <= n).drop("_g", "_r")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
+    return cut.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def top_chunks(
@@ -250,31 +337,23 @@ def top_chunks(
     *,
     id_column: str = "chunk_id",
     carry: Sequence[str] = (),
+    two_phase: bool | None = None,
 ) -> DataFrame:
     """Best `n` vectors of each query by inner product: query_id, id, carried columns, score, rank.
 
     `vectors` (id_column, embedding) and `queries` (query_id, embedding) hold unit vectors.
     Scores are single precision; equal scores go by id. Fewer than n vectors give fewer rows.
+
+    In two phases, one in SAMPLE_OF vectors first bounds each query's n-th score from below, and
+    the pass over all vectors only gives rows that reach the bound. By default that is done where
+    more than MANY_SPLITS tasks would give n rows per query each. The result is the same.
     """
     require_columns(vectors, (id_column, "embedding", *carry))
-    asked = queries if isinstance(queries, QuerySet) else query_set(queries)
+    asked = _written(queries if isinstance(queries, QuerySet) else query_set(queries))
+    if two_phase if two_phase is not None else _splits(vectors) > MANY_SPLITS:
+        asked = _with_bounds(vectors, asked, n, id_column, SAMPLE_OF)
     carry = [id_column, *[c for c in carry if c != id_column]]
-    schema = _result_type(vectors, asked.df, carry)
-    if asked.local is not None:
-        found = _search_local(vectors, asked.local, n, id_column, carry, schema)
-    else:
-        blocks = asked.df.select("query_id", "embedding")
-        found = _search_blocked(vectors, blocks, n, id_column, carry, schema)
-
-    # Each task left n rows per query, so a query's rows grow with the number of tasks. Cut them
-    # in FAN_IN groups first; no task then sees all of them.
-    best = [F.desc("score"), F.asc(id_column)]
-    group = F.pmod(F.xxhash64(id_column), F.lit(FAN_IN))
-    cut = found.withColumn("_g", group)
-    cut = cut.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_g").orderBy(*best)))
-    cut = cut.filter(F.col("_r") <= n).drop("_g", "_r")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
-    return cut.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return _best(_candidates(vectors, asked, n, carry), n, id_column)
 
 
 def first_per_key(
@@ -317,15 +396,35 @@ def top_events(
     return events.drop("_k", "chunk_rank")
 
 
+def _any_of(column: Column, values: list) -> Column:
+    """Equal to one of some values, as a balanced tree of comparisons: other than a long `isin`, it
+    reaches the Parquet reader value by value."""
+    if len(values) == 1:
+        return column == F.lit(values[0])
+    middle = len(values) // 2
+    return _any_of(column, values[:middle]) | _any_of(column, values[middle:])
+
+
 def with_documents(
     results: DataFrame, documents: DataFrame, *, id_column: str = "chunk_id", max_rows: int | None = None
 ) -> DataFrame:
     """Results with their document columns, joined by id only now that few rows are left.
 
-    `max_rows` is a proven bound of the result rows; up to MAX_BROADCAST_ROWS they are broadcast
-    so the documents are not shuffled. Without a bound the planner decides by measured size.
+    `max_rows` is a proven bound of the result rows. Up to LOOKUP_ROWS they are fetched now, and
+    their ids go to the scan of the documents as a filter: of a table sorted by id, as
+    `save_documents` writes it, only the row groups that may hold one are read. Up to
+    MAX_BROADCAST_ROWS they are broadcast so the documents are not shuffled. Without a bound the
+    planner decides by measured size.
     """
     extra = [n for n in documents.columns if n == id_column or n not in results.columns]
+    wanted = documents.select(*extra)
+    if max_rows is not None and max_rows <= LOOKUP_ROWS:
+        rows = results.limit(LOOKUP_ROWS + 1).toArrow()
+        if rows.num_rows > LOOKUP_ROWS:
+            raise ValueError("more results than their bound")
+        ids = sorted(set(rows.column(id_column).to_pylist()) - {None})
+        results = results.sparkSession.createDataFrame(rows, results.schema)
+        wanted = wanted.where(_any_of(F.col(id_column), ids) if ids else F.lit(False))
     if max_rows is not None and max_rows <= MAX_BROADCAST_ROWS:
         results = F.broadcast(results)
-    return documents.select(*extra).join(results, id_column)
+    return wanted.join(results, id_column)

@@ -37,8 +37,8 @@ def _links(links: Column) -> Column:
     return formats.format_links(parsed)
 
 
-def merge_events(raw: DataFrame) -> DataFrame:
-    """Conformed, missing values nulled, one row per `uid`."""
+def merge_events(raw: DataFrame, *, null_keys: str = "group") -> DataFrame:
+    """Conformed, missing values nulled, one row per `uid`; `null_keys` as in `merge_by_key`."""
     work = conform_raw(raw)
     types = {f.name: f.dataType for f in work.schema.fields}
     if isinstance(types.get("updatedAt"), T.StringType):
@@ -56,16 +56,19 @@ def merge_events(raw: DataFrame) -> DataFrame:
         gather={"agenda_uids": "agenda_uid"} if "agenda_uid" in has_agenda else None,
         gather_text={"agenda_titles": "agenda_title"} if "agenda_title" in has_agenda else None,
         normalised=True,
+        null_keys=null_keys,
     )
 
 
-def clean_events(raw: DataFrame, *, drop_constants: bool = False) -> DataFrame:
-    """Clean rows, known columns in fixed order.
+def clean_events(
+    raw: DataFrame, *, drop_constants: bool = False, null_keys: str = "group"
+) -> DataFrame:
+    """Clean rows, known columns in fixed order. `null_keys` as in `merge_by_key`.
 
     `drop_constants` also removes columns with a single value. Finding them takes a job, so the
     clean rows are written to the checkpoint folder first rather than computed twice.
     """
-    merged = merge_events(raw)
+    merged = merge_events(raw, null_keys=null_keys)
     have = set(merged.columns)
     c = F.col
     out: dict[str, Column] = {n: c(n) for n in merged.columns if n in CLEAN_COLUMNS}

@@ -12,15 +12,16 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kermesse.constants import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH
+from kermesse.constants import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH, LANGUAGE
 from kermesse.operators.chunks import explode_chunks, with_document_text
 from kermesse.operators.columns import drop_constant
+from kermesse.operators.merge import keyless_rows
 from kermesse.operators.models import Embedder, embed_table
 from kermesse.operators.vectors import check_alignment, check_index, normalise_vectors
 from kermesse.plans.clean import clean_events
 from kermesse.sources import pages
 from kermesse.sources.store import (
-    latest_version,
+    claim_version,
     publish,
     save_documents,
     version_path,
@@ -38,15 +39,22 @@ def import_and_clean(
     city: str | None = None,
     as_of: dt.date | None = None,
     page_per_file: bool = False,
+    language: str = LANGUAGE,
+    null_keys: str = "group",
 ) -> DataFrame:
     """Landed pages to the clean events table; `out` gives the path of each table by name.
 
-    Writes `pages` (parsed once), `rejects`, `merged` and `events`. `city` and `as_of` apply the
-    filters the source would have applied to a request.
+    Writes `pages` (parsed once), `rejects`, `merged` and `events`. `city`, `as_of` and `language`
+    apply what the source would have applied to a request. A listing that lacks a page is an error;
+    an agenda that does goes to `rejects`. With `null_keys="apart"` events without a `uid` are not
+    merged into one but written to `keyless`.
     """
-    listed = pages.agendas(pages.read_pages(spark, agenda_path, page_per_file=page_per_file))
-    listed = write_table(pages.first_agendas(listed, max_agendas), out("agendas"))
-    parsed = pages.explode_events(pages.read_pages(spark, event_path, page_per_file=page_per_file))
+    listing = pages.read_pages(spark, agenda_path, page_per_file=page_per_file)
+    listed = write_table(pages.first_agendas(pages.agendas(listing), max_agendas), out("agendas"))
+    if gap := pages.listing_gaps(listing).first():
+        raise ValueError(f"the listing lacks page {gap.missing_page}")
+    landed = pages.read_pages(spark, event_path, page_per_file=page_per_file)
+    parsed = pages.explode_landed(landed, language=language)
     tagged = write_table(pages.tag_pages(parsed, listed), out("pages"))
     events, rejects = pages.accept_events(tagged)
     write_table(rejects, out("rejects"))
@@ -54,7 +62,9 @@ def import_and_clean(
         events = pages.in_city(events, city)
     if as_of is not None:
         events = pages.recent_only(events, as_of)
-    merged = write_table(clean_events(events), out("merged"))
+    if null_keys == "apart":
+        write_table(keyless_rows(events, "uid"), out("keyless"))
+    merged = write_table(clean_events(events, null_keys=null_keys), out("merged"))
     return write_table(drop_constant(merged), out("events"))
 
 
@@ -100,14 +110,15 @@ def rebuild(
     as_of: dt.date | None = None,
     batch_size: int = EMBED_BATCH,
     page_per_file: bool = False,
+    language: str = LANGUAGE,
 ) -> dict[str, int]:
     """All steps into a new version folder, then publish it. Returns the counts published.
 
-    Until the manifest row is written readers keep the previous version; a failed rebuild leaves
-    an unpublished folder that the next one overwrites.
+    The version is claimed first, so rebuilds that run at once write apart, and each is published
+    whole; the newest is the one claimed last. Until the manifest row is written readers keep the
+    previous version; a failed rebuild leaves an unpublished folder, whose number is not used again.
     """
-    if version is None:
-        version = (latest_version(spark, root) or 0) + 1
+    version = claim_version(spark, root, version)
     out = lambda table: version_path(root, version, table)
     events = import_and_clean(
         spark,
@@ -118,6 +129,7 @@ def rebuild(
         city=city,
         as_of=as_of,
         page_per_file=page_per_file,
+        language=language,
     )
     documents, vectors = embed_events(events, embedder, out, batch_size=batch_size)
     index = build_index(vectors, documents, out)

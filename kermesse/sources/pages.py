@@ -13,10 +13,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kermesse.constants import DEFAULT_AGENDA_TITLE, RECENT_MONTHS
-from kermesse.sources.schemas import AGENDA_PAGE, EVENT_PAGE, text_cells
+from kermesse.constants import DEFAULT_AGENDA_TITLE, LANGUAGE, RECENT_MONTHS
+from kermesse.sources.schemas import AGENDA_PAGE, EVENT_PAGE, text_cells, truthy
 
 INGEST_ORDER = ("ingest_agenda", "ingest_page", "ingest_pos")
+# What a row of `explode_landed` knows of its page, beside the event.
+CHAIN = ("is_event", "next_page", "open_end")
+
+
+UNREADABLE = "a page cannot be read"
+INCOMPLETE = "a page that a cursor points to is missing"
 
 
 class EventImport(NamedTuple):
@@ -45,12 +51,18 @@ def parse_pages(raw: DataFrame, schema: str, items: str) -> DataFrame:
     page = F.from_json("value", f"{schema}, _bad string", options)
     # Stands in for a page number where a page has none: any order will do, if always the same.
     stand_in = F.pmod(F.xxhash64("value"), F.lit(1 << 40))
+    # A page cut short still tells its number, if that came first.
+    lost = F.regexp_extract(F.col("p._bad"), r'"page"\s*:\s*(\d{1,18})\b', 1).try_cast("long")
+    known = F.coalesce("p.page", lost)
+    cursor = truthy(F.col("p.after"))
     others = [c for c in raw.columns if c != "value"]
     return raw.select(*others, stand_in.alias("stand_in"), page.alias("p")).select(
         *others,
         "p",
-        F.coalesce("p.page", "stand_in").alias("number"),
+        F.coalesce(known, "stand_in").alias("number"),
         (F.col("p._bad").isNotNull() & F.col(f"p.{items}").isNull()).alias("unreadable"),
+        F.when(cursor, known + 1).alias("next_page"),
+        F.when(known.isNull(), cursor).alias("open_end"),
     )
 
 
@@ -76,8 +88,22 @@ def first_agendas(listed: DataFrame, max_agendas: int | None) -> DataFrame:
     return listed.orderBy("ingest_agenda").limit(max_agendas)
 
 
-def explode_events(raw: DataFrame) -> DataFrame:
-    """One row per event, and one row with `unreadable` set per page that cannot be read."""
+def listing_gaps(raw: DataFrame) -> DataFrame:
+    """Numbers of the listing pages that a landed page's cursor points to and that did not land;
+    null where no page of an unnumbered listing ends it."""
+    pages = parse_pages(raw, AGENDA_PAGE, "agendas").select("number", "next_page", "open_end")
+    chain = pages.select(
+        F.lit("").alias("agenda_uid"), F.col("number").alias("ingest_page"), "next_page", "open_end"
+    )
+    return _missing_pages(chain).select("missing_page")
+
+
+def explode_landed(raw: DataFrame, *, language: str = LANGUAGE) -> DataFrame:
+    """One row per event, and one per page that has none or cannot be read (`is_event` false).
+
+    Text columns that hold a language map become their text in `language`. `next_page` is the page
+    that a cursor points to; `open_end` tells, for a page without a number, whether it has a cursor.
+    """
     pages = parse_pages(raw, EVENT_PAGE, "events")
     owner = F.col("p.agenda_uid")
     if "folder_agenda" in raw.columns:
@@ -87,12 +113,19 @@ def explode_events(raw: DataFrame) -> DataFrame:
         F.coalesce(owner, F.nullif(lost, F.lit(""))).alias("agenda_uid"),
         F.col("number").alias("ingest_page"),
         "unreadable",
+        "next_page",
+        "open_end",
         F.posexplode_outer("p.events").alias("ingest_pos", "e"),
     )
-    rows = flat.filter(F.col("unreadable") | F.col("e").isNotNull())
-    return text_cells(
-        rows.select("agenda_uid", "ingest_page", "ingest_pos", "unreadable", "e.*")
-    )
+    known = ("agenda_uid", "ingest_page", "ingest_pos", "unreadable", "next_page", "open_end")
+    rows = flat.select(*known, F.col("e").isNotNull().alias("is_event"), "e.*")
+    return text_cells(rows, language)
+
+
+def explode_events(raw: DataFrame, *, language: str = LANGUAGE) -> DataFrame:
+    """One row per event, and one row with `unreadable` set per page that cannot be read."""
+    rows = explode_landed(raw, language=language)
+    return rows.filter(F.col("unreadable") | F.col("is_event")).drop(*CHAIN)
 
 
 def tag_events(
@@ -120,16 +153,46 @@ def tag_pages(
     )
 
 
+def _missing_pages(chain: DataFrame) -> DataFrame:
+    """(agenda_uid, missing_page) of each cursor without its page.
+
+    Pages meet by (agenda, number), so an agenda of very many pages is spread over all tasks. Pages
+    without a number have no order: of an agenda that has such pages, one must end without a cursor.
+    """
+    landed = chain.select("agenda_uid", F.col("ingest_page").alias("missing_page")).distinct()
+    wanted = chain.where(F.col("next_page").isNotNull()).select(
+        "agenda_uid", F.col("next_page").alias("missing_page")
+    )
+    gaps = wanted.distinct().join(landed, ["agenda_uid", "missing_page"], "left_anti")
+    ends = chain.where(F.col("open_end").isNotNull()).groupBy("agenda_uid")
+    endless = ends.agg(F.min("open_end").alias("endless")).where("endless")
+    return gaps.union(endless.select("agenda_uid", F.lit(None).cast("long")))
+
+
 def accept_events(tagged: DataFrame) -> EventImport:
-    """Events of the agendas whose every page could be read, and the other agendas.
+    """Events of the agendas that landed whole, and the other agendas.
 
-    An agenda with an unreadable page is left out as a whole and reported in `rejects`. Both
+    An agenda with an unreadable page is left out as a whole and reported in `rejects`, and so is,
+    where `tagged` comes from `explode_landed`, one that lacks a page which a cursor points to. Both
     results read `tagged`: hand in a written table and the pages are parsed only once.
     """
-    rejects = (
-        tagged.filter("unreadable").groupBy("agenda_uid").agg(F.count("*").alias("bad_pages"))
+    none = F.lit(None).cast("long")
+    faults = tagged.filter("unreadable").select("agenda_uid", F.lit(1).alias("bad"), none.alias("gap"))
+    events = tagged.filter(~F.col("unreadable"))
+    if "next_page" in tagged.columns:
+        chain = tagged.select("agenda_uid", "ingest_page", "next_page", "open_end")
+        missing = _missing_pages(chain.where(F.col("agenda_uid").isNotNull()))
+        faults = faults.union(missing.select("agenda_uid", F.lit(0), "missing_page"))
+        events = events.filter("is_event").drop(*CHAIN)
+    bad = F.sum("bad")
+    missing_pages = F.count_if(F.col("bad") == 0)
+    rejects = faults.groupBy("agenda_uid").agg(
+        bad.alias("bad_pages"),
+        missing_pages.alias("missing_pages"),
+        F.min("gap").alias("first_missing_page"),
+        F.when(bad > 0, F.lit(UNREADABLE)).otherwise(F.lit(INCOMPLETE)).alias("reason"),
     )
-    events = tagged.filter(~F.col("unreadable")).join(rejects, "agenda_uid", "left_anti")
+    events = events.join(rejects.select("agenda_uid"), "agenda_uid", "left_anti")
     return EventImport(events.drop("unreadable"), rejects)
 
 

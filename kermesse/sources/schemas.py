@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kermesse.constants import RAW_COLUMNS
+from kermesse.constants import LANGUAGE, RAW_COLUMNS
 from kermesse.functions.missing import json_key
-from kermesse.functions.text import empty_to_null
+from kermesse.functions.text import empty_to_null, valid_text
 
 TIMING = "struct<begin:string,end:string>"
 LINK_DATA = (
@@ -62,8 +62,10 @@ TEXT_COLUMNS = (
 )
 LANDED_TYPES = {**RAW_TYPES, **dict.fromkeys((*TEXT_COLUMNS, "keywords", "image"), "variant")}
 RAW_EVENT = "struct<" + ",".join(f"{n}:{t}" for n, t in LANDED_TYPES.items()) + ">"
-AGENDA_PAGE = "page long, agendas array<struct<uid:string,title:string>>, after string"
-EVENT_PAGE = f"agenda_uid string, page long, events array<{RAW_EVENT}>, after string"
+AGENDA_PAGE = "page long, agendas array<struct<uid:string,title:string>>, after variant"
+EVENT_PAGE = f"agenda_uid string, page long, events array<{RAW_EVENT}>, after variant"
+
+LANGUAGE_CODE = "^[a-z]{2,3}([-_][A-Za-z]{2,4})?$"
 
 # JSON values that count as "not set" among flags.
 FALSE_TEXTS = ("false", "0", "0.0", "", "null", "[]", "{}")
@@ -74,21 +76,66 @@ def _kind(c: Column) -> Column:
     return F.substring_index(F.schema_of_variant(c), "<", 1)
 
 
+def truthy(c: Column) -> Column:
+    """Whether a VARIANT holds something: no null, false, zero, empty text, list or object."""
+    shown = F.try_variant_get(c, "$", "string")
+    blank = (
+        F.when(_kind(c) == "STRING", shown == "")
+        .when(_kind(c) == "BOOLEAN", shown == "false")
+        .when(_kind(c).isin("OBJECT", "ARRAY"), shown.isin("{}", "[]"))
+        .when(_kind(c) == "VOID", F.lit(True))
+        .otherwise(F.coalesce(shown.try_cast("double") == 0, F.lit(False)))
+    )
+    return c.isNotNull() & ~blank
+
+
+def _by_language(c: Column, content: str, language: str) -> tuple[Column, Column]:
+    """(content, whether there is a map): the content of a VARIANT language map: that of `language`, else of the first key that has
+    some, in order of keys; null for what is no language map. Keys are two or three letters,
+    perhaps with a region."""
+    texts = F.when(_kind(c) == "OBJECT", F.try_variant_get(c, "$", f"map<string,{content}>"))
+    codes = F.forall(F.map_keys(texts), lambda k: F.regexp_like(k, F.lit(LANGUAGE_CODE)))
+    is_map = (F.size(F.map_keys(texts)) > 0) & codes
+    filled = lambda x: F.size(x) > 0 if content.startswith("array") else valid_text(x).isNotNull()
+    chosen = F.filter(F.array(F.try_element_at(texts, F.lit(language))), filled)
+    others = F.filter(
+        F.transform(F.array_sort(F.map_keys(texts)), lambda k: F.try_element_at(texts, k)), filled
+    )
+    return F.when(is_map, F.get(F.concat(chosen, others), F.lit(0))), F.coalesce(is_map, F.lit(False))
+
+
 def _plain(c: Column) -> Column:
     """Text of a VARIANT cell; null for an empty list or object, JSON for another one."""
     shown = F.try_variant_get(c, "$", "string")
     return F.when(~(_kind(c).isin("OBJECT", "ARRAY") & shown.isin("{}", "[]")), shown)
 
 
-def text_cells(events: DataFrame) -> DataFrame:
-    """Landed events with their text columns as text; other VARIANT cells stay for `conform_raw`."""
+def text_cells(events: DataFrame, language: str = LANGUAGE) -> DataFrame:
+    """Landed events with their text columns as text, language maps as their text in `language`;
+    other VARIANT cells stay for `conform_raw`, keywords by language as their list."""
     variants = {f.name for f in events.schema.fields if isinstance(f.dataType, T.VariantType)}
-    return events.select(
-        *[
-            _plain(F.col(n)).alias(n) if n in variants and n in TEXT_COLUMNS else F.col(f"`{n}`")
-            for n in events.columns
-        ]
-    )
+
+    def cell(n: str) -> Column:
+        c = F.col(f"`{n}`")
+        if n not in variants or n not in (*TEXT_COLUMNS, "keywords"):
+            return c
+        if n == "keywords":
+            words, is_map = _by_language(c, "array<string>", language)
+            text, is_text = _by_language(c, "string", language)
+            listed = F.when(words.isNotNull(), words.cast("variant")).when(
+                is_text, text.cast("variant")
+            )
+            return F.when(is_map | is_text, listed).otherwise(c).alias(n)
+        text, is_map = _by_language(c, "string", language)
+        return F.when(is_map, text).otherwise(_plain(c)).alias(n)
+
+    return events.select(*[cell(n) for n in events.columns])
+
+
+def _parsed(c: Column) -> Column:
+    """Text as VARIANT where it may be a JSON list or object. Other text is not handed to the
+    parser, which is slow to fail."""
+    return F.when(F.regexp_like(c, F.lit(r"^\s*[\[{]")), F.try_parse_json(c))
 
 
 def _keywords(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
@@ -97,7 +144,7 @@ def _keywords(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
     if isinstance(dtype, T.VariantType):
         is_list = _kind(c) == "ARRAY"
         return F.when(is_list, F.try_variant_get(c, "$", "array<string>")), F.when(~is_list, _plain(c))
-    found = F.try_variant_get(F.try_parse_json(c), "$", "array<string>")
+    found = F.try_variant_get(_parsed(c), "$", "array<string>")
     return found, F.when(found.isNull(), c)
 
 
@@ -106,7 +153,7 @@ def _image(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StructType):
         fields, text, is_object = c, F.lit(None).cast("string"), c.isNotNull()
     else:
-        cell = c if isinstance(dtype, T.VariantType) else F.try_parse_json(c)
+        cell = c if isinstance(dtype, T.VariantType) else _parsed(c)
         is_object = F.coalesce(_kind(cell) == "OBJECT", F.lit(False))
         fields = F.try_variant_get(F.when(is_object, cell), "$", IMAGE_OBJECT)
         is_list = F.coalesce(_kind(cell) == "ARRAY", F.lit(False))

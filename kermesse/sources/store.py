@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +41,68 @@ def materialise(df: DataFrame) -> DataFrame:
     return write_table(df, f"{folder.rstrip('/')}/kermesse-{uuid.uuid4().hex}")
 
 
-def save_documents(chunks: DataFrame, path: str) -> DataFrame:
-    """Write the metadata columns that exist."""
-    return write_table(existing(chunks, CHUNK_COLUMNS), path)
+def save_documents(chunks: DataFrame, path: str, key: str = "chunk_id") -> DataFrame:
+    """Write the metadata columns that exist, sorted by key over all files and with a Bloom filter of
+    the keys, so that a look-up of some keys reads the row groups that hold them."""
+    kept = existing(chunks, CHUNK_COLUMNS)
+    writer = kept.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite")
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+    return chunks.sparkSession.read.schema(kept.schema).parquet(path)
+
+
+def put_if_absent(spark: SparkSession, uri: str, content: str) -> bool:
+    """Create a small file with its whole content, unless it exists; whether it was created.
+
+    Readers see it whole or not at all, and of many writers at once one succeeds: a local file is
+    linked to its name, another is renamed without overwriting, which the store does atomically.
+    """
+    hadoop = spark._jvm.org.apache.hadoop
+    path = hadoop.fs.Path(uri)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = files.makeQualified(path)
+    files.mkdirs(target.getParent())
+    draft = hadoop.fs.Path(target.getParent(), f".draft-{uuid.uuid4().hex}")
+    if files.getScheme() == "file":
+        place, draft = target.toUri().getPath(), draft.toUri().getPath()
+        with open(draft, "x", encoding="utf-8") as out:
+            out.write(content)
+        try:
+            os.link(draft, place)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+    out = files.create(draft, False)
+    out.write(content.encode())
+    out.close()
+    context = hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    options[0] = hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(draft, target, options)
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" not in error.java_exception.toString():
+            raise
+        return False
+    return True
+
+
+def claim_version(spark: SparkSession, root: str, version: int | None = None) -> int:
+    """A version number that no other rebuild has or will get: its folder is the caller's alone.
+
+    Without a number, the next free one. Raises FileExistsError where the number asked for is taken.
+    """
+    mark = lambda number: f"{root.rstrip('/')}/claims/version-{number}"
+    if version is not None:
+        if not put_if_absent(spark, mark(version), ""):
+            raise FileExistsError(f"version {version} is taken")
+        return version
+    version = (latest_version(spark, root) or 0) + 1
+    while not put_if_absent(spark, mark(version), ""):
+        version += 1
+    return version
 
 
 def version_path(root: str, version: int, table: str) -> str:
@@ -63,11 +125,12 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 
 
 def publish(spark: SparkSession, root: str, row: dict) -> None:
-    """Append one manifest row. Readers see a version only once this is committed."""
+    """Add one manifest row, in one step. Readers see a version only once this is done; a version is
+    published once. Nothing is shared with other writers, so any number may publish at a time."""
     names = [f.split()[0] for f in MANIFEST.split(", ")]
-    spark.createDataFrame([tuple(row[n] for n in names)], MANIFEST).coalesce(1).write.mode(
-        "append"
-    ).json(f"{root.rstrip('/')}/manifest")
+    line = json.dumps({n: row[n] for n in names})
+    if not put_if_absent(spark, f"{root.rstrip('/')}/manifest/version-{row['version']}.json", line + "\n"):
+        raise FileExistsError(f"version {row['version']} is published already")
 
 
 def load_tables(spark: SparkSession, out: Callable[[str], str], *names: str) -> list[DataFrame]:

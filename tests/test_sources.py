@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,7 +37,93 @@ def test_agenda_with_a_bad_page_is_left_out(landed):
     assert got == {
         ("10", "1", "Un"), ("10", "b c", "Sans titre"), ("11", "b c", "Sans titre"), ("14", "4", "Quatre"),
     }
-    assert [tuple(r) for r in rejects.collect()] == [("3", 1)]
+    assert [tuple(r)[:2] for r in rejects.collect()] == [("3", 1)]
+
+
+def page(number, after=None, uid=None, agenda="1"):
+    one = {"agenda_uid": agenda, "events": [] if uid is None else [{"uid": uid, "title": "t"}]}
+    if number is not None:
+        one["page"] = number
+    if after is not None:
+        one["after"] = after
+    return json.dumps(one)
+
+
+def imported(spark, lines):
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    listed = spark.createDataFrame(
+        [(str(i), "T", i) for i in range(20)], "agenda_uid string, agenda_title string, ingest_agenda long"
+    )
+    events, rejects = pages.accept_events(pages.tag_pages(pages.explode_landed(raw), listed))
+    return {r.uid for r in events.collect()}, {tuple(r) for r in rejects.collect()}
+
+
+def test_chains_of_cursors(spark):
+    lines = [
+        # whole, the second page without an event
+        page(0, "c", 1), page(1, ["d", 2]), page(2, "", 2),
+        # a gap in the middle, and one at the end; the same page twice counts once
+        page(0, "c", 3, "2"), page(2, None, 4, "2"), page(2, None, 4, "2"),
+        page(0, {"x": 1}, 5, "3"), page(0, {"x": 1}, 5, "3"), page(4, 7, 6, "3"),
+        # cursors that hold nothing end a chain
+        *[page(0, nothing, f"n{i}", "4") for i, nothing in enumerate(["", [], {}, False, 0, 0.0])],
+        # a page that cannot be read has landed, if its number can be
+        page(0, "c", 8, "5"), page(1, None, 9, "5")[:-1],
+        # without numbers one page must end the chain
+        page(None, "c", 10, "6"), page(None, None, 11, "6"),
+        page(None, "c", 12, "7"), page(None, "d", 13, "7"),
+    ]
+    lines[-5] = '{"agenda_uid": "5", "page": 1, "events": [{"uid"'
+    events, rejects = imported(spark, lines)
+    assert events == {"1", "2", "10", "11", *(f"n{i}" for i in range(6))}
+    assert rejects == {
+        ("2", 0, 1, 1, pages.INCOMPLETE),
+        ("3", 0, 2, 1, pages.INCOMPLETE),
+        ("5", 1, 0, None, pages.UNREADABLE),
+        ("7", 0, 1, None, pages.INCOMPLETE),
+    }
+
+
+def test_listing_without_a_page(spark):
+    lines = [json.dumps({"page": n, "agendas": [], "after": a}) for n, a in ((0, "x"), (1, "y"), (3, None))]
+    raw = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r.missing_page for r in pages.listing_gaps(raw).collect()] == [2]
+    assert pages.listing_gaps(raw.where("value not like '%y%'")).first().missing_page == 1
+    assert pages.listing_gaps(raw.where("value like '%null%'")).first() is None
+
+
+def test_no_window_over_an_agenda(spark):
+    raw = spark.createDataFrame([(page(0),)], "value string")
+    listed = spark.createDataFrame([("1", "T", 1)], "agenda_uid string, agenda_title string, ingest_agenda long")
+    rejects = pages.accept_events(pages.tag_pages(pages.explode_landed(raw), listed)).rejects
+    plan = rejects._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(agenda_uid" in plan and "missing_page" in plan
+
+
+@pytest.mark.parametrize(
+    "cell, shown",
+    [
+        ({"fr": "Salle", "en": "Hall"}, "Salle"),
+        ({"en": "Hall", "de": "Halle"}, "Halle"),
+        ({"fr": " ", "en": "Hall"}, "Hall"),
+        ({"fr": None}, None),
+        ({"fr-CA": "x"}, "x"),
+        ({"fr": "a", "other thing": "b"}, '{"fr":"a","other thing":"b"}'),
+        ("Salle", "Salle"),
+        ('{"fr":"a"}', '{"fr":"a"}'),
+        ({}, None),
+    ],
+)
+def test_language_of_texts(spark, cell, shown):
+    raw = json.dumps({"agenda_uid": 1, "events": [{"uid": 1, "title": cell, "conditions": cell}]})
+    row = pages.explode_events(spark.createDataFrame([(raw,)], "value string")).first()
+    assert (row.title, row.conditions) == (shown, shown)
+
+
+def test_another_language(spark):
+    raw = json.dumps({"events": [{"uid": 1, "title": {"fr": "Salle", "en": "Hall"}, "keywords": {"en": ["x"], "fr": ["y"]}}]})
+    row = pages.explode_events(spark.createDataFrame([(raw,)], "value string"), language="en").first()
+    assert row.title == "Hall" and row.keywords.toPython() == ["x"]
 
 
 def test_page_per_file(spark, tmp_path):
@@ -56,7 +143,7 @@ def test_bad_page_without_an_owner_is_reported(spark, landed):
     raw = spark.createDataFrame([("[1,",), ('{"agenda_uid": "1", "events": [{"uid": 7}]}',)], "value string")
     events, rejects = pages.accept_events(pages.tag_pages(pages.explode_events(raw), landed[0]))
     assert [r.uid for r in events.collect()] == ["7"]
-    assert [tuple(r) for r in rejects.collect()] == [(None, 1)]
+    assert [tuple(r)[:2] for r in rejects.collect()] == [(None, 1)]
 
 
 def test_filters(landed):

@@ -41,6 +41,11 @@ IMPORTED = """
             c_custkey * 1048576 AS ingest_agenda, turn AS ingest_page, pos AS ingest_pos
         FROM imported JOIN customer ON c_custkey = conv_id)"""
 
+CHAINS = """
+    chains AS (
+        SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND max(turn) >= 1 THEN 1 WHEN conv_id % 3 = 1 AND max(turn) > 0 THEN max(turn) END AS lost
+        FROM conversations GROUP BY conv_id)"""
+
 HOLEY = """
     holey AS (
         SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderstatus END AS o_orderstatus,
@@ -48,6 +53,14 @@ HOLEY = """
             CAST(NULL AS VARCHAR) AS o_comment, o_orderpriority
         FROM orders)"""
 
+KEYLESS = """
+    lines AS (
+        SELECT l_orderkey, l_linenumber, max(l_shipdate) AS l_shipdate, l_orderkey || '-' || l_linenumber AS line,
+            CASE WHEN l_orderkey % 3 <> 0 THEN l_orderkey END AS uid
+        FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY uid ORDER BY CAST(l_shipdate AS DATE) DESC, l_orderkey * 100 + l_linenumber) AS r FROM lines)"""
+
 LOCATIONS = """
     loc AS (
         SELECT *, CASE WHEN c_acctbal > 3000 THEN 'chez ' || c_name ELSE n_name END AS french,
@@ -91,6 +104,24 @@ TOP_EVENTS = """
             CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank
         FROM once QUALIFY rank <= 5)"""
 
+EMBEDDED = """
+    texts AS (
+            SELECT 'c' AS side, uid || '_' || chunk_index AS id, chunk_text AS t FROM chunk
+            UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), text FROM benchmark),
+        tokens AS (
+            SELECT side, id, unnest(regexp_split_to_array(lower(t), '[ \\t-\\r]+')) AS token FROM texts),
+        slots AS (
+            SELECT side, id, CAST('0x' || substring(md5(token), 1, 7) AS BIGINT) % 64 AS slot, count(*) AS n
+            FROM tokens WHERE token <> '' GROUP BY 1, 2, 3),
+        lengths AS (SELECT side, id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS len FROM slots GROUP BY 1, 2),
+        weights AS (
+            SELECT side, id, slot, CAST(CAST(n / len AS FLOAT) AS DOUBLE) AS x FROM slots JOIN lengths USING (side, id)),
+        products AS (
+            SELECT CAST(q.id AS BIGINT) AS query_id, c.id AS chunk_id, sum(q.x * c.x) AS s
+            FROM weights q JOIN weights c ON q.side = 'q' AND c.side = 'c' AND q.slot = c.slot GROUP BY 1, 2),
+        scored AS (
+            SELECT query_id, chunk_id, CAST(split_part(chunk_id, '_', 1) AS BIGINT) AS uid, CAST(s AS FLOAT) AS score FROM products)"""
+
 RESULTS = f"""WITH {UNIT}, {TOP_EVENTS},
     shown AS (
         SELECT query_id, rank, 'Titre : n ' || doc_id
@@ -113,6 +144,20 @@ ORACLES = {
     "explode_pages": f"WITH {IMPORTED} SELECT * FROM tagged",
     "rejected_agendas": """
         SELECT CAST(conv_id AS VARCHAR) AS agenda_uid, count(*) AS bad_pages FROM conversations WHERE turn = 7 GROUP BY 1""",
+    "incomplete_agendas": f"""WITH {CHAINS}
+        SELECT CAST(conv_id AS VARCHAR) AS agenda_uid, CAST(0 AS BIGINT) AS bad_pages, CAST(1 AS BIGINT) AS missing_pages,
+            CAST(lost AS BIGINT) AS first_missing_page, 'a page that a cursor points to is missing' AS reason
+        FROM chains JOIN customer ON c_custkey = conv_id WHERE lost IS NOT NULL""",
+    "complete_agendas": f"""WITH {CHAINS}
+        SELECT DISTINCT conv_id || '-' || turn AS uid, CAST(conv_id AS VARCHAR) AS agenda_uid, CAST(turn AS BIGINT) AS ingest_page
+        FROM conversations JOIN chains USING (conv_id) JOIN customer ON c_custkey = conv_id WHERE lost IS NULL""",
+    "chosen_language": """
+        WITH t AS (
+            SELECT *, c_custkey % 6 AS n, CASE c_custkey % 6 WHEN 2 THEN c_name WHEN 4 THEN '{"label":"x"}' WHEN 5 THEN NULL ELSE c_name END AS shown
+            FROM customer)
+        SELECT CAST(c_custkey AS VARCHAR) AS uid, shown AS title, shown AS description, shown AS conditions,
+            CASE n WHEN 0 THEN 'a, b' WHEN 1 THEN 'halle' WHEN 2 THEN 'solo' ELSE 'x' END AS keywords
+        FROM t""",
     "tag_agenda": """
         SELECT o_orderkey AS uid, o_custkey AS agenda_uid,
             CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Sans titre' ELSE c_name END AS agenda_title
@@ -166,6 +211,14 @@ ORACLES = {
         SELECT text, (SELECT max(doc_id) FROM documents d WHERE d.text = a.text) AS doc_id, sources, langs
         FROM (SELECT text, string_agg(source, ',' ORDER BY seen DESC) AS sources FROM s GROUP BY text) a
         JOIN (SELECT text, string_agg(lang, ', ' ORDER BY seen DESC) AS langs FROM l GROUP BY text) b USING (text)""",
+    "merge_hot_key": f"""WITH {KEYLESS},
+        listed AS (SELECT uid, count(*) * 2 AS n_items, md5(string_agg(line || '|' || line || 'b', '|' ORDER BY r)) AS items_md5 FROM ranked GROUP BY uid),
+        seen AS (SELECT uid, l_linenumber, max(r) AS oldest FROM ranked GROUP BY 1, 2),
+        keys AS (SELECT uid, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY oldest DESC) AS entry_order FROM seen GROUP BY uid)
+        SELECT l.uid, CAST(n_items AS INTEGER) AS n_items, items_md5, entry_order FROM listed l JOIN keys k ON l.uid IS NOT DISTINCT FROM k.uid""",
+    "keyless_apart": f"""WITH {KEYLESS}
+        SELECT 'merged' AS kind, uid, string_agg(line || '|' || line || 'b', '|' ORDER BY r) AS items FROM ranked WHERE uid IS NOT NULL GROUP BY uid
+        UNION ALL SELECT 'keyless', NULL, line || '|' || line || 'b' FROM ranked WHERE uid IS NULL""",
     "clean_text": f"""
         SELECT page_id, nullif({strip("regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[-_]{3,}', ' ', 'g'), '[ \\t-\\r]+', ' ', 'g')")}, '') AS body
         FROM pages""",
@@ -328,24 +381,7 @@ ORACLES = {
         FROM scored QUALIFY rank <= 5""",
     "topk_events": f"""WITH {UNIT}, {TOP_EVENTS}
         SELECT query_id, chunk_id, uid, round(CAST(score AS DOUBLE), 4) AS score, rank FROM top""",
-    "embed_topk": f"""WITH {CHUNKS},
-        texts AS (
-            SELECT 'c' AS side, uid || '_' || chunk_index AS id, chunk_text AS t FROM chunk
-            UNION ALL SELECT 'q', CAST(item_id AS VARCHAR), text FROM benchmark),
-        tokens AS (
-            SELECT side, id, unnest(regexp_split_to_array(lower(t), '[ \\t-\\r]+')) AS token FROM texts),
-        slots AS (
-            SELECT side, id, CAST('0x' || substring(md5(token), 1, 7) AS BIGINT) % 64 AS slot, count(*) AS n
-            FROM tokens WHERE token <> '' GROUP BY 1, 2, 3),
-        lengths AS (SELECT side, id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS len FROM slots GROUP BY 1, 2),
-        weights AS (
-            SELECT side, id, slot, CAST(CAST(n / len AS FLOAT) AS DOUBLE) AS x FROM slots JOIN lengths USING (side, id)),
-        products AS (
-            SELECT CAST(q.id AS BIGINT) AS query_id, c.id AS chunk_id, sum(q.x * c.x) AS s
-            FROM weights q JOIN weights c ON q.side = 'q' AND c.side = 'c' AND q.slot = c.slot GROUP BY 1, 2),
-        scored AS (
-            SELECT query_id, chunk_id, CAST(split_part(chunk_id, '_', 1) AS BIGINT) AS uid, CAST(s AS FLOAT) AS score FROM products),
-        {TOP_EVENTS}
+    "embed_topk": f"""WITH {CHUNKS}, {EMBEDDED}, {TOP_EVENTS}
         SELECT query_id, chunk_id, uid, round(CAST(score AS DOUBLE), 4) AS score, rank FROM top""",
     "alignment_check": """
         SELECT (SELECT count(*) FROM labels) AS vectors, (SELECT count(*) FROM documents) AS documents,
@@ -397,4 +433,21 @@ ORACLES = {
     "answered_questions": f"""
         SELECT item_id AS query_id, {strip("text")} AS question, true AS answered
         FROM benchmark WHERE item_id % 5 IN (1, 2, 3) AND item_id <> 3""",
+    "answer_events": f"""WITH {CHUNKS}, {EMBEDDED},
+        asked AS (
+            SELECT item_id AS query_id, CAST(item_id % 12 AS INTEGER) AS k, {strip("text")} AS question FROM benchmark
+            WHERE item_id % 12 BETWEEN 1 AND 10 AND item_id <> 3),
+        fetched AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored JOIN asked USING (query_id) QUALIFY r <= 3 * k),
+        once AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id, uid ORDER BY r) AS n FROM fetched QUALIFY n = 1),
+        top AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) - 1 AS place FROM once QUALIFY place < k),
+        shown AS (
+            SELECT t.query_id, t.place, t.uid, t.chunk_id, t.question, c.chunk_text FROM top t JOIN chunk c ON t.chunk_id = c.uid || '_' || c.chunk_index),
+        contexts AS (
+            SELECT query_id, md5('Demande : ' || any_value(question) || chr(10) || chr(10) || 'Événements :' || chr(10) || chr(10)
+                || string_agg('Titre : ' || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS answer_md5
+            FROM shown GROUP BY query_id)
+        SELECT query_id, CAST(place AS INTEGER) AS place, uid, chunk_id, md5(chunk_text) AS title_md5, answer_md5 FROM shown JOIN contexts USING (query_id)""",
 }

@@ -110,6 +110,74 @@ def rejected_agendas(spark, sf_dir):
     return _import(spark, sf_dir).rejects
 
 
+def _cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event pages that point to the next turn of their conversation. Of every third conversation
+    the second page did not land, of every other third the last one."""
+    turns = table(spark, sf_dir, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = turns.join(last, "conv_id").select("*", F.concat_ws("-", "conv_id", "turn").alias("u"))
+    event = F.struct(c("u").alias("uid"), c("role").alias("title"), c("text").alias("description"))
+    cursor = when(c("turn") < c("last"), F.array("turn", lit(None))).otherwise(F.array().cast("array<int>"))
+    page = F.struct(
+        c("conv_id").alias("agenda_uid"),
+        c("turn").alias("page"),
+        F.array(event).alias("events"),
+        cursor.alias("after"),
+    )
+    kind = c("conv_id") % 3
+    lost = ((kind == 0) & (c("turn") == 1)) | ((kind == 1) & (c("turn") == c("last")) & (c("turn") > 0))
+    return rows.where(~lost).select(F.to_json(page).alias("value"))
+
+
+def _cursor_import(spark: SparkSession, sf_dir: str) -> pages.EventImport:
+    tagged = pages.tag_pages(
+        pages.explode_landed(_cursor_pages(spark, sf_dir)), pages.agendas(_agenda_pages(spark, sf_dir))
+    )
+    return pages.accept_events(tagged)
+
+
+@query
+def incomplete_agendas(spark, sf_dir):
+    """Agendas that lack a page to which a cursor points, in the middle or at the end."""
+    return _cursor_import(spark, sf_dir).rejects
+
+
+@query
+def complete_agendas(spark, sf_dir):
+    """Events of the agendas whose chain of pages is whole."""
+    return _cursor_import(spark, sf_dir).events.select("uid", "agenda_uid", "ingest_page")
+
+
+@query
+def chosen_language(spark, sf_dir):
+    """Landed texts that are language maps, texts or neither, in the language of the request."""
+    quoted = lambda x: F.to_json(F.array(x))
+    text = F.regexp_extract(quoted(c("c_name")), r"^\[(.*)\]$", 1)
+    n = c("c_custkey") % 6
+    title = (
+        when(n == 0, F.concat(lit('{"en":"Hall","fr":'), text, lit("}")))
+        .when(n == 1, F.concat(lit('{"fr":" ","de":'), text, lit(',"en":"Hall"}')))
+        .when(n == 2, F.concat(lit('{"fr-FR":"x","de":null,"es":'), text, lit("}")))
+        .when(n == 3, text)
+        .when(n == 4, lit('{"label":"x"}'))
+        .otherwise(lit("{}"))
+    )
+    words = (
+        when(n == 0, lit('{"en":["hall"],"fr":["a","b"]}'))
+        .when(n == 1, lit('{"fr":[],"de":["halle"]}'))
+        .when(n == 2, lit('{"fr":"solo"}'))
+        .otherwise(lit('["x"]'))
+    )
+    value = F.concat(
+        lit('{"agenda_uid":1,"page":'), c("c_custkey"), lit(',"events":[{"uid":'), c("c_custkey"),
+        lit(',"title":'), title, lit(',"description":'), title, lit(',"conditions":'), title,
+        lit(',"keywords":'), words, lit("}]}"),
+    )
+    raw = pages.explode_events(table(spark, sf_dir, "customer").select(value.alias("value")))
+    clean = clean_events(raw.select("uid", "title", "description", "conditions", "keywords"))
+    return clean.select("uid", "title", "description", "conditions", "keywords")
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         c("c_custkey").alias("agenda_uid"),
@@ -270,6 +338,49 @@ def merge_sources(spark, sf_dir):
     )
 
 
+def _keyless_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all lines without a key, each with items of its own."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_linenumber")
+        .agg(F.max("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
+        .select(
+            when(c("l_orderkey") % 3 != 0, c("l_orderkey")).alias("uid"),
+            F.unix_date(c("l_shipdate").cast("date")).alias("day"),
+            (c("l_orderkey") * 100 + c("l_linenumber")).alias("place"),
+            F.array(line, F.concat(line, lit("b"))).alias("items"),
+            F.create_map(c("l_linenumber").cast("string"), c("l_quantity")).alias("entries"),
+        )
+    )
+
+
+@query
+def merge_hot_key(spark, sf_dir):
+    """Rows without a key are one group with a third of all items, put in order in parts."""
+    merged = merge.merge_by_key(
+        _keyless_lines(spark, sf_dir), "uid", order_by="day", tie_break=["place"], null_keys="spread"
+    )
+    return merged.select(
+        "uid",
+        F.size("items").alias("n_items"),
+        F.md5(F.array_join("items", "|")).alias("items_md5"),
+        F.array_join(F.map_keys("entries"), ",").alias("entry_order"),
+    )
+
+
+@query
+def keyless_apart(spark, sf_dir):
+    """The same with the rows without a key left out of the merge, and their own table."""
+    lines = _keyless_lines(spark, sf_dir)
+    merged = merge.merge_by_key(lines, "uid", order_by="day", tie_break=["place"], null_keys="apart")
+    apart = merge.keyless_rows(lines, "uid")
+    shape = lambda df, kind: df.select(
+        lit(kind).alias("kind"), "uid", F.array_join("items", "|").alias("items")
+    )
+    return shape(merged, "merged").unionByName(shape(apart, "keyless"))
+
+
 # --- Text and formats ---
 
 
@@ -867,3 +978,19 @@ def answered_questions(spark, sf_dir):
         answers.echo_generator(),
     )
     return out.select("query_id", "question", (F.size("events") > 0).alias("answered"))
+
+
+@query
+def answer_events(spark, sf_dir):
+    """The events that each answer rests on, in their order, and the text it was made from."""
+    index = models.embed_table(_document_chunks(spark, sf_dir), models.hashed_token_embedder())
+    docs = _document_chunks(spark, sf_dir).select("chunk_id", c("chunk_text").alias("title"))
+    out = answers.answer_questions(
+        _questions(spark, sf_dir).withColumn("k", (c("query_id") % 12).cast("int")),
+        vectors.normalise_vectors(index),
+        docs,
+        models.hashed_token_embedder(),
+        answers.echo_generator(),
+    )
+    events = out.select("query_id", F.posexplode("events").alias("place", "e"), F.md5("answer").alias("answer_md5"))
+    return events.select("query_id", "place", "e.uid", "e.chunk_id", F.md5("e.title").alias("title_md5"), "answer_md5")
