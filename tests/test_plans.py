@@ -31,8 +31,8 @@ def test_no_query_pairs_all_rows(plans):
 
 def test_only_bounded_results_are_broadcast(plans):
     forced = {name for name, text in plans.items() if "BroadcastHashJoin" in text}
-    # One look-up of documents for queries times k results, in three queries.
-    assert forced == {"result_context", "generated_answers", "answered_questions"}
+    # One look-up of documents for queries times k results, in four queries.
+    assert forced == {"result_context", "generated_answers", "answered_questions", "answer_events"}
 
 
 def test_no_query_squeezes_rows_into_one_task(plans):
