@@ -382,17 +382,19 @@ def frequent_phrases(
 
 
 def _best_cuts(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """(p, a, l, r, score) of each phrase by its lowest-scoring cut."""
+    """(p, a, l, r, score, lang) of each phrase by its lowest-scoring cut. The language is that of the
+    first word, which is the left part of the first cut."""
     cuts = phrases.select(
         "p", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k")
     ).select("*", F.slice("p", F.lit(1), F.col("k")).alias("left"), F.expr("slice(p, k + 1, size(p) - k)").alias("right"))
-    of = lambda side, name: counts.select(F.col("p").alias(side), F.col("n").alias(name))
-    both = cuts.join(of("left", "l"), "left").join(of("right", "r"), "right")
-    scored = both.withColumn(
+    left = counts.select(F.col("p").alias("left"), F.col("n").alias("l"), "lang")
+    right = counts.select(F.col("p").alias("right"), F.col("n").alias("r"))
+    scored = cuts.join(left, "left").join(right, "right").withColumn(
         "score", F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + r)")
     )
     lowest = F.min(F.struct("score", "k", "l", "r", "a")).alias("x")
-    return scored.groupBy("p").agg(lowest).select("p", "x.a", "x.l", "x.r", "x.score")
+    best = scored.groupBy("p").agg(lowest, F.max("lang").alias("lang"))
+    return best.select("p", "x.a", "x.l", "x.r", "x.score", "lang")
 
 
 def _covered(phrases: DataFrame) -> DataFrame:
@@ -406,13 +408,11 @@ def _covered(phrases: DataFrame) -> DataFrame:
 
 
 def _spelled(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    """Phrases with their language and text in place of word ids."""
+    """Phrases with their text in place of word ids."""
     spots = phrases.select("p", F.posexplode("p").alias("i", "id")).join(words, "id")
-    texts = spots.groupBy("p").agg(
-        F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("i", "word"))).alias("x")
-    )
+    texts = spots.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("x"))
     text = F.array_join(F.transform("x", lambda x: x["word"]), " ")
-    return phrases.join(texts.select("p", "lang", text.alias("phrase")), "p")
+    return phrases.join(texts.select("p", text.alias("phrase")), "p")
 
 
 def collocations(
@@ -444,19 +444,23 @@ def collocations(
     coded = materialise(_with_ids(blocked, frequent), rows_per_file=BLOCKS_PER_FILE)
     found = frequent_phrases(coded, support, longest, trie_phrases)
 
-    counts = frequent.select(F.array("id").alias("p"), "n")
+    counts = frequent.select(F.array("id").alias("p"), "n", "lang")
     for length, part in enumerate(found, 2):
-        counts = counts.union(part.select(F.array(*_names(length)).alias("p"), "n"))
+        words = F.array(*_names(length)).alias("p")
+        counts = counts.union(part.select(words, "n", F.lit(None).cast("string").alias("lang")))
     counts = materialise(counts)
-    phrases = counts.where(F.size("p") > 1)
+    phrases = counts.where(F.size("p") > 1).select("p", "n")
     best = _best_cuts(phrases, counts)
     share = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * COVERED
     kept = best.join(_covered(phrases), "p", "left").where(~F.coalesce(share, F.lit(False)))
-    spelled = _spelled(kept.drop("longer"), frequent.select("id", "lang", "word"))
 
-    order: list[Column] = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    group = F.pmod(F.xxhash64("phrase"), F.lit(FAN_IN))
-    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    cut = spelled.withColumn("g", group).withColumn("at", place("lang", "g")).where(F.col("at") <= top)
-    ranked = cut.withColumn("rank", place("lang").cast("long")).where(F.col("rank") <= top)
+    # Cut by score and count before phrases are spelled: those tied with the last one stay. Groups
+    # first, so that no task sees all phrases of a language.
+    order: list[Column] = [F.desc("score"), F.desc("a")]
+    group = F.pmod(F.xxhash64("p"), F.lit(FAN_IN))
+    first = lambda df, *keys: df.withColumn("at", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= top)
+    near = first(first(kept.drop("longer").withColumn("g", group), "lang", "g"), "lang").drop("g", "at")
+    spelled = _spelled(materialise(near), frequent.select("id", "word"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))
+    ranked = spelled.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -105,9 +105,9 @@ def test_against_a_plain_version(spark):
 
 def test_scores_do_not_overflow(spark):
     big = 10**13
-    counts = spark.createDataFrame([([1], big), ([2], big), ([1, 2], big)], "p array<long>, n long")
+    counts = spark.createDataFrame([([1], big, "a"), ([2], big, "a"), ([1, 2], big, None)], "p array<long>, n long, lang string")
     row = collocations._best_cuts(counts.where("size(p) > 1"), counts).first()
-    assert (row.a, row.l, row.r, row.score) == (big, big, big, 1_000_000)
+    assert (row.a, row.l, row.r, row.score, row.lang) == (big, big, big, 1_000_000, "a")
 
 
 def test_nulls_clashes_nothing_frequent_and_an_empty_table(spark):
