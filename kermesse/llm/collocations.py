@@ -248,13 +248,19 @@ def _names(length: int) -> list[str]:
     return [f"w{i}" for i in range(1, length + 1)]
 
 
+def packed(trie, whole: bool) -> bool:
+    return trie is not None and whole
+
+
 def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, support: int) -> DataFrame:
     """One pass over the texts, with two kinds of rows: how often a block holds a phrase of the trie
-    with one word more (w1 .. w[length + 1], n up to `support`), where the phrase without its last
-    word is in the trie, and, if the trie is the only one, the phrase without its first word too; and
+    with one word more (n up to `support`), where the phrase without its last word is in the trie; and
     at the end of a task the counts of the trie's phrases, CHUNK of them a row (chunk, counts).
-    Without a trie: pairs of frequent words."""
-    names = [*_names(length + 1), "n"]
+
+    An extension is given by its words (w1 .. w[length + 1]). If the trie is the only one, the phrase
+    without its first word must be in it too, and `key` stands for all words: the trie's row and the
+    symbol of the last word. Without a trie: pairs of frequent words."""
+    names = [*([] if packed(trie, whole) else _names(length + 1)), "key", "n"]
     schema = ", ".join(f"{name} long" for name in names) + ", chunk int, counts binary"
     all_names = [*names, "chunk", "counts"]
     most = 1 << 17
@@ -301,10 +307,16 @@ def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, suppor
                         live &= found[1 : len(found) - length + 1] >= 0
                     at = np.flatnonzero(live)
                     number, follow = found[at].astype(np.int64), codes[at + length]
+                if own is not None and whole:
+                    key = number * len(own.words) + symbols[follow]
+                    key, n = np.unique(key, return_counts=True)
+                    yield from extensions([key], np.minimum(n, support))
+                    continue
                 key, n = np.unique(number * size + follow, return_counts=True)
                 number, follow = key // size, key % size
                 words = [ids[number]] if own is None else list(own.phrases[number].T)
-                yield from extensions([*words, ids[follow]], np.minimum(n, support))
+                none = np.full(len(n), -1)
+                yield from extensions([*words, ids[follow], none], np.minimum(n, support))
         yield from shards(totals)
 
     return coded.mapInArrow(run, schema)
@@ -337,11 +349,25 @@ def _totals(found: DataFrame, length: int, trie) -> DataFrame:
     return materialise(dealt.mapInArrow(run, ", ".join(f"{name} long" for name in names)))
 
 
-def _summed(found: DataFrame, length: int, support: int) -> DataFrame:
-    keys = _names(length)
-    # Dealt out first: tasks send distinct phrases already, and one shuffle serves the sums.
-    sums = found.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return materialise(sums.where(F.col("n") >= support))
+def _summed(found: DataFrame, keys: list[str], support: int) -> DataFrame:
+    # Dealt out first: blocks send distinct phrases already, and one shuffle serves the sums.
+    sums = found.select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return materialise(sums.where(F.col("n") >= support).select(*keys))
+
+
+def _unpacked(keys: DataFrame, length: int, trie) -> DataFrame:
+    """(w1 .. w[length + 1]) of the keys that stand for a row of the trie and a symbol."""
+    names = _names(length + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Trie = trie.value
+        by_symbol = own.words[np.argsort(own.symbols)]
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            words = [*own.phrases[key // len(by_symbol)].T, by_symbol[key % len(by_symbol)]]
+            yield pa.RecordBatch.from_arrays([pa.array(w) for w in words], names=names)
+
+    return materialise(keys.mapInArrow(run, ", ".join(f"{name} long" for name in names)))
 
 
 def frequent_phrases(
@@ -354,7 +380,7 @@ def frequent_phrases(
     """
     context = coded.sparkSession.sparkContext
     union = lambda frames: reduce(DataFrame.union, frames)
-    candidates = _summed(_pass(coded, 1, None, True, True, support), 2, support)
+    candidates = _summed(_pass(coded, 1, None, True, True, support), _names(2), support)
     counts = []
     for length in range(2, longest + 1):
         parts = -(-candidates.count() // trie_phrases)
@@ -370,11 +396,15 @@ def frequent_phrases(
             trie = context.broadcast(Trie(matrix))
             found = materialise(_pass(coded, length, trie, parts == 1, length < longest, support))
             sums.append(_totals(found, length, trie))
-            longer.append(found.where("chunk is null"))
+            if length < longest:
+                longer.append(found.where("chunk is null"))
+                if packed(trie, parts == 1):
+                    keys = _summed(longer.pop(), ["key"], support)
+                    candidates = _unpacked(keys, length, trie)
             trie.unpersist()
         counts.append(union(sums))
-        if length < longest:
-            candidates = _summed(union(longer), length + 1, support)
+        if longer:
+            candidates = _summed(union(longer), _names(length + 1), support)
     return counts
 
 
@@ -389,14 +419,24 @@ def _best_cuts(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     ).select("*", F.slice("p", F.lit(1), F.col("k")).alias("left"), F.expr("slice(p, k + 1, size(p) - k)").alias("right"))
     left = counts.select(F.col("p").alias("left"), F.col("n").alias("l"), "lang")
     right = counts.select(F.col("p").alias("right"), F.col("n").alias("r"))
-    scored = cuts.join(left, "left").join(right, "right").withColumn(
-        "score", F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + r)")
-    )
+    scored = cuts.join(left, "left").join(right, "right").withColumn("score", _score())
     lowest = F.min(F.struct("score", "k", "l", "r", "a")).alias("x")
     best = scored.groupBy("p").agg(lowest, F.max("lang").alias("lang"))
     return best.select("p", "x.a", "x.l", "x.r", "x.score", "lang")
 
 
+def _score() -> Column:
+    return F.expr(f"(cast(a as decimal(20,0)) * {SCALE}) div (cast(l as decimal(20,0)) + r)")
+
+
+def _pair_scores(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """`_best_cuts` of pairs, which have one cut: their words are met by id, in narrow rows."""
+    first = words.select(F.col("id").alias("w1"), F.col("n").alias("l"), "lang")
+    second = words.select(F.col("id").alias("w2"), F.col("n").alias("r"))
+    rows = pairs.withColumnRenamed("n", "a").join(second, "w2").join(first, "w1")
+    return rows.withColumn("score", _score()).select(F.array("w1", "w2").alias("p"), "a", "l", "r", "score", "lang")
+
+
 def _covered(phrases: DataFrame) -> DataFrame:
     """(p, longer): the count of the most frequent longer phrase that holds p."""
     inner = F.expr(
@@ -450,7 +490,9 @@ def collocations(
         counts = counts.union(part.select(words, "n", F.lit(None).cast("string").alias("lang")))
     counts = materialise(counts)
     phrases = counts.where(F.size("p") > 1).select("p", "n")
-    best = _best_cuts(phrases, counts)
+    best = _best_cuts(phrases.where(F.size("p") > 2), counts)
+    if found:
+        best = best.unionByName(_pair_scores(found[0], frequent))
     share = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * COVERED
     kept = best.join(_covered(phrases), "p", "left").where(~F.coalesce(share, F.lit(False)))
 
