@@ -77,6 +77,75 @@ def keyless_rows(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(f"`{key}`").isNull())
 
 
+def keyless_items(
+    df: DataFrame,
+    key: str,
+    *,
+    order_by: str | None = None,
+    tie_break: Sequence[str] = (),
+    base_only: Sequence[str] = (),
+    gather: Mapping[str, str] | None = None,
+    gather_text: Mapping[str, str] | None = None,
+) -> DataFrame | None:
+    """What lists and maps of the group without a key hold when merged, a row per item.
+
+    For a group whose lists pass the 2 GB that a row may have. Rows are (`column`, `place`, a column
+    per target with the item's value); a target's items stand in the order of `merge_by_key`, by
+    `place`, in partitions sorted by it, so no task holds more than a range of them. A map's items are
+    structs of key and value. None where there is no such column; arguments as in `merge_by_key`.
+    """
+    gather, gather_text = dict(gather or {}), dict(gather_text or {})
+    types = {f.name: f.dataType for f in df.schema.fields}
+    work, forward, backward = _ranked(keyless_rows(df, key), key, types, order_by, tie_break)
+    lists, maps, _ = _kinds(types, key, tie_break, base_only)
+    exploded, targets, _ = _exploded_items(work, types, lists, maps, gather, gather_text, forward, backward)
+    if exploded is None:
+        return None
+    fields = [f"o{i}" for i in range(len(forward))] + ["i"]
+    order = [F.col("c"), *[F.col(f"r.{f}").desc() for f in fields]]
+    rows = _first_sights(exploded).repartitionByRange(*order).sortWithinPartitions(*order)
+    names = F.array(*[F.lit(t) for t in targets])
+    return rows.select(
+        F.get(names, "c").alias("column"),
+        F.monotonically_increasing_id().alias("place"),
+        *[F.col(f"v.v{j}").alias(t) for j, t in enumerate(targets)],
+    )
+
+
+def _kinds(
+    types: Mapping[str, T.DataType], key: str, tie_break: Sequence[str], base_only: Sequence[str]
+) -> tuple[list[str], list[str], list[str]]:
+    """Names of the list columns, the map columns and all columns that hold values."""
+    values = [n for n in types if n != key and n not in set(tie_break)]
+    lists = [n for n in values if isinstance(types[n], T.ArrayType) and n not in base_only]
+    maps = [n for n in values if isinstance(types[n], T.MapType) and n not in base_only]
+    return lists, maps, values
+
+
+def _ranked(
+    df: DataFrame,
+    key: str,
+    types: Mapping[str, T.DataType],
+    order_by: str | None,
+    tie_break: Sequence[str],
+) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Rows with their group key and ranks; the ranks, newest largest and oldest largest."""
+    newest = _age_rank(F.col(order_by), types[order_by]) if order_by else F.lit(0).cast("long")
+    ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
+    # Rows still tied go by a hash of their content.
+    ties.append(F.xxhash64(*[_hashable(F.col(f"`{n}`"), types[n]) for n in df.columns]))
+    # Absolute value bounds keep the negated rank inside a long. Ranks are columns of their own, so
+    # that no value needed for them is carried, or hashed again, beyond this projection.
+    ranks = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
+    work = df.select(
+        "*",
+        _group_key(F.col(key).cast("string")).alias("_key"),
+        *[r.alias(f"_o{i}") for i, r in enumerate(ranks)],
+    )
+    forward = [F.col(f"_o{i}") for i in range(len(ranks))]
+    return work, forward, [-r for r in forward]
+
+
 def merge_by_key(
     df: DataFrame,
     key: str,
@@ -109,26 +178,8 @@ def merge_by_key(
         raise ValueError(f"key column {key!r} is missing")
     gather, gather_text = dict(gather or {}), dict(gather_text or {})
     types = {f.name: f.dataType for f in df.schema.fields}
-    helpers = {n for n in tie_break}
-    values = [n for n in df.columns if n != key and n not in helpers]
-
-    newest = _age_rank(F.col(order_by), types[order_by]) if order_by else F.lit(0).cast("long")
-    ties = [F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in tie_break]
-    # Rows still tied go by a hash of their content.
-    ties.append(F.xxhash64(*[_hashable(F.col(f"`{n}`"), types[n]) for n in df.columns]))
-    # Absolute value bounds keep the negated rank inside a long. Ranks are columns of their own, so
-    # that no value needed for them is carried, or hashed again, beyond this projection.
-    ranks = [newest, *[-F.greatest(t, F.lit(OLDEST)) for t in ties]]
-    work = df.select(
-        "*",
-        _group_key(F.col(key).cast("string")).alias("_key"),
-        *[r.alias(f"_o{i}") for i, r in enumerate(ranks)],
-    )
-    forward = [F.col(f"_o{i}") for i in range(len(ranks))]
-    backward = [-r for r in forward]
-
-    lists = [n for n in values if isinstance(types[n], T.ArrayType) and n not in base_only]
-    maps = [n for n in values if isinstance(types[n], T.MapType) and n not in base_only]
+    work, forward, backward = _ranked(df, key, types, order_by, tie_break)
+    lists, maps, values = _kinds(types, key, tie_break, base_only)
     scalars = [n for n in values if n not in lists and n not in maps]
 
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(forward)])
@@ -151,17 +202,20 @@ def merge_by_key(
     plain = work.withColumn("_rank", rank).groupBy("_key").agg(*aggs)
 
     spread = null_keys == "spread"
-    items = _distinct_items(work, types, lists, maps, gather, gather_text, forward, backward, spread)
-    if items is None:
+    exploded, targets, of_maps = _exploded_items(
+        work, types, lists, maps, gather, gather_text, forward, backward
+    )
+    if exploded is None:
         joined = plain
     else:
+        items = _distinct_items(exploded, targets, of_maps, spread)
         # Every key of `items` is a key of `plain`, so a left join keeps exactly one row per key.
         joined = plain.join(items, "_key", "left")
     order = [key, *values, *gather, *gather_text]
     return joined.select(*[shape.get(n, F.col(f"`{n}`")).alias(n) for n in order])
 
 
-def _distinct_items(
+def _exploded_items(
     work: DataFrame,
     types: Mapping[str, T.DataType],
     lists: Sequence[str],
@@ -170,9 +224,8 @@ def _distinct_items(
     gather_text: Mapping[str, str],
     forward: list[Column],
     backward: list[Column],
-    spread: bool,
-) -> DataFrame | None:
-    """Per key, each list and map column rebuilt from its distinct items."""
+) -> tuple[DataFrame | None, list[str], list[str]]:
+    """A row per item of the list and map columns, the columns, and which of them are maps."""
     # target column -> (element type, array of (item key, sort rank, value))
     sources: dict[str, tuple[T.DataType, Column, list[Column]]] = {}
 
@@ -208,7 +261,7 @@ def _distinct_items(
         single = F.when(c.isNotNull(), F.array(entry(c, c, F.lit(0))))
         sources[target] = (T.StringType(), single, forward)
     if not sources:
-        return None
+        return None, [], []
 
     targets = list(sources)
     # The type all items share: one field per target, only the item's own one set.
@@ -236,11 +289,20 @@ def _distinct_items(
     exploded = rows.select("_key", *forward, F.explode("_all").alias("x")).select(
         "_key", "x.c", "x.k", "x.v", F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r")
     )
-    distinct = exploded.groupBy("_key", "c", "k").agg(
+    return exploded, targets, list(maps)
+
+
+def _first_sights(exploded: DataFrame) -> DataFrame:
+    return exploded.groupBy("_key", "c", "k").agg(
         # Place of the first sight, value of the last one.
         F.max("r").alias("r"),
         F.min_by("v", "r").alias("v"),
     )
+
+
+def _distinct_items(exploded: DataFrame, targets: Sequence[str], maps: Sequence[str], spread: bool) -> DataFrame:
+    """Per key, each list and map column rebuilt from its distinct items."""
+    distinct = _first_sights(exploded)
     cells = [
         F.collect_list(
             F.when(F.col("c") == j, F.struct("r", F.col("k"), F.col(f"v.v{j}").alias("v")))

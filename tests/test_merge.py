@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kermesse.operators.merge import merge_by_key
+from kermesse.operators.merge import keyless_items, merge_by_key
 
 DAY = lambda n: dt.datetime(2024, 1, n)
 SCHEMA = (
@@ -74,6 +74,23 @@ def test_null_keys_form_one_group_and_look_alikes_do_not(spark):
     assert merge_by_key(df, "uid").count() == 6
 
 
+def test_items_without_a_key_come_in_order_and_no_task_holds_them_all(spark):
+    rows = [(None, i // 3, i, [f"i{i}", f"i{i - 1}"], {f"k{i % 4}": i}) for i in range(3000)]
+    df = spark.createDataFrame([*rows, ("a", 1, 1, ["x"], {"y": 1})], "uid string, day int, n int, tags array<string>, m map<string,int>")
+    order = {"order_by": "day", "tie_break": ["n"]}
+    merged = merge_by_key(df, "uid", **order).where("uid IS NULL")
+    whole = merged.select("tags", F.map_entries("m").alias("m")).first()
+    items = keyless_items(df.repartition(7), "uid", **order)
+    tags = items.where("column = 'tags'")
+    found = [(r.place, r.tags) for r in tags.collect()]
+    assert [x for _, x in sorted(found)] == whole.tags and found == sorted(found)
+    entries = [tuple(r.m) for r in items.where("column = 'm'").orderBy("place").collect()]
+    assert entries == [tuple(e) for e in whole.m]
+    # The largest array that any step builds is a row's own.
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "RepartitionByExpression" in plan
+
+
 def test_ties_go_to_the_first_ingested_and_else_to_content(spark):
     rows = [("a", None, 2, "second"), ("a", None, 1, "first")]
     df = spark.createDataFrame(rows, "uid string, at timestamp, n int, v string")
