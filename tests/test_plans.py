@@ -2,6 +2,7 @@
 
 import pytest
 
+from kermesse.sources import pages
 from kermesse.operators import vectors
 from workloads.queries import QUERIES, table
 
@@ -82,3 +83,14 @@ def test_index_carries_no_document_columns(spark):
     queries = index.selectExpr("chunk_id query_id", "embedding").limit(3)
     found = vectors.top_events(index, queries, 2)
     assert found.columns == ["query_id", "chunk_id", "uid", "score", "rank"]
+
+
+def test_a_language_map_is_read_once_per_cell(spark):
+    page = spark.createDataFrame([('{"events":[{"uid":1,"title":{"fr":"a"}}]}',)], "value string")
+    titles = pages.explode_events(page).select("title")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = titles._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("MapType(") == 1 and titles.first().title == "a"
