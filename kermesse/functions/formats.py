@@ -109,7 +109,9 @@ def localised_text(texts: Column, language: str = "fr") -> Column:
 
 def localised_json(c: Column, language: str = "fr") -> Column:
     """`localised_text` of a cell that is either plain text or a language map as JSON text."""
-    texts = F.when(F.startswith(c, F.lit("{")), F.from_json(c, "map<string,string>"))
+    # The parser is slow to fail: it gets no text that does not close what it opens.
+    is_object = F.startswith(c, F.lit("{")) & F.contains(c, F.lit("}"))
+    texts = F.when(is_object, F.from_json(c, "map<string,string>"))
     return F.when(texts.isNull(), valid_text(c)).otherwise(localised_text(texts, language))
 
 

@@ -10,6 +10,9 @@ from kermesse.constants import MISSING_WORDS
 from kermesse.functions.text import strip
 
 
+JSON_START = r'^\s*([\[{"\d-]|true|false|null)'
+
+
 def is_missing(c: Column, dtype: T.DataType) -> Column:
     """Null, NaN, blank text, the words "missing value", or an empty container.
 
@@ -74,5 +77,9 @@ def comparison_key(c: Column, dtype: T.DataType) -> Column:
 
 
 def json_key(c: Column) -> Column:
-    """`comparison_key` of an object held as JSON text; text that is not JSON is only stripped."""
-    return F.coalesce(F.to_json(F.try_parse_json(c)), strip(c))
+    """`comparison_key` of an object held as JSON text; text that is not JSON is only stripped.
+
+    Text that begins as no JSON does is not handed to the parser, which is slow to fail.
+    """
+    parsed = F.when(F.regexp_like(c, F.lit(JSON_START)), F.try_parse_json(c))
+    return F.coalesce(F.to_json(parsed), strip(c))

@@ -264,15 +264,12 @@ def _exploded_items(
         return None, [], []
 
     targets = list(sources)
-    # The type all items share: one field per target, only the item's own one set.
-    value_type = T.StructType(
-        [T.StructField(f"v{j}", sources[t][0]) for j, t in enumerate(targets)]
-    ).simpleString()
-
     def tagged(j: int) -> Column:
+        """Items of a target: one value field per target, only the item's own one set."""
+
         def item(x: Column) -> Column:
-            cells = [x["v"] if m == j else F.lit(None) for m in range(len(targets))]
-            value = F.struct(*[v.alias(f"v{m}") for m, v in enumerate(cells)]).cast(value_type)
+            cells = [x["v"] if m == j else F.lit(None).cast(sources[t][0]) for m, t in enumerate(targets)]
+            value = F.struct(*[v.alias(f"v{m}") for m, v in enumerate(cells)])
             return F.struct(
                 F.lit(j).alias("c"), x["k"].alias("k"), x["i"].alias("i"), value.alias("v")
             )
@@ -286,7 +283,10 @@ def _exploded_items(
         for m, (f, b) in enumerate(zip(forward, backward))
     ]
     rows = work.select("_key", *forward, every.alias("_all"))
-    exploded = rows.select("_key", *forward, F.explode("_all").alias("x")).select(
+    # Outer, and the rows without items left out after it: before an inner one the optimizer puts a
+    # filter that builds every list of items twice more.
+    exploded = rows.select("_key", *forward, F.explode_outer("_all").alias("x"))
+    exploded = exploded.where(F.col("x").isNotNull()).select(
         "_key", "x.c", "x.k", "x.v", F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r")
     )
     return exploded, targets, list(maps)

@@ -30,9 +30,12 @@ def _image(image: Column) -> Column:
 
 
 def _links(links: Column) -> Column:
+    def data(x: Column) -> Column:
+        # Other text has no fields, and the parser is slow to find that out.
+        return F.when(F.regexp_like(x, F.lit(r"^\s*[\[{]")), F.from_json(x, LINK_DATA))
+
     parsed = F.transform(
-        links,
-        lambda x: F.struct(x["link"].alias("link"), F.from_json(x["data"], LINK_DATA).alias("data")),
+        links, lambda x: F.struct(x["link"].alias("link"), data(x["data"]).alias("data"))
     )
     return formats.format_links(parsed)
 

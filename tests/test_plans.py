@@ -2,6 +2,7 @@
 
 import pytest
 
+from kermesse.operators.merge import merge_by_key
 from kermesse.sources import pages
 from kermesse.operators import vectors
 from workloads.queries import QUERIES, table
@@ -85,6 +86,14 @@ def test_index_carries_no_document_columns(spark):
     assert found.columns == ["query_id", "chunk_id", "uid", "score", "rank"]
 
 
+def test_items_are_built_once_before_they_are_exploded(spark):
+    rows = spark.createDataFrame([("a", ["x"]), ("a", ["y"])], "uid string, tags array<string>")
+    merged = merge_by_key(rows.repartition(2), "uid")
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    # Two for the items, one for the merged list.
+    assert plan.count("transform(") == 3
+
+
 def test_a_language_map_is_read_once_per_cell(spark):
     page = spark.createDataFrame([('{"events":[{"uid":1,"title":{"fr":"a"}}]}',)], "value string")
     titles = pages.explode_events(page).select("title")
