@@ -39,6 +39,7 @@ def import_and_clean(
     city: str | None = None,
     as_of: dt.date | None = None,
     page_per_file: bool = False,
+    packed_events: bool = False,
     language: str = LANGUAGE,
     null_keys: str = "group",
 ) -> DataFrame:
@@ -47,13 +48,16 @@ def import_and_clean(
     Writes `pages` (parsed once), `rejects`, `merged` and `events`. `city`, `as_of` and `language`
     apply what the source would have applied to a request. A listing that lacks a page is an error;
     an agenda that does goes to `rejects`. With `null_keys="apart"` events without a `uid` are not
-    merged into one but written to `keyless`.
+    merged into one but written to `keyless`. `packed_events`: event pages are as `land_pages` writes
+    them.
     """
     listing = pages.read_pages(spark, agenda_path, page_per_file=page_per_file)
     listed = write_table(pages.first_agendas(pages.agendas(listing), max_agendas), out("agendas"))
     if gap := pages.listing_gaps(listing).first():
         raise ValueError(f"the listing lacks page {gap.missing_page}")
-    landed = pages.read_pages(spark, event_path, page_per_file=page_per_file)
+    landed = pages.read_pages(
+        spark, event_path, page_per_file=page_per_file, packed=packed_events
+    )
     parsed = pages.explode_landed(landed, language=language)
     tagged = write_table(pages.tag_pages(parsed, listed), out("pages"))
     events, rejects = pages.accept_events(tagged)
@@ -110,6 +114,7 @@ def rebuild(
     as_of: dt.date | None = None,
     batch_size: int = EMBED_BATCH,
     page_per_file: bool = False,
+    packed_events: bool = False,
     language: str = LANGUAGE,
 ) -> dict[str, int]:
     """All steps into a new version folder, then publish it. Returns the counts published.
@@ -129,6 +134,7 @@ def rebuild(
         city=city,
         as_of=as_of,
         page_per_file=page_per_file,
+        packed_events=packed_events,
         language=language,
     )
     documents, vectors = embed_events(events, embedder, out, batch_size=batch_size)

@@ -178,3 +178,15 @@ def test_materialise_writes_to_the_folder_the_session_names(spark):
     out = store.materialise(spark.range(5).withColumn("x", F.lit("y")))
     folder = spark.conf.get("spark.checkpoint.dir")
     assert out.count() == 5 and all(folder in f for f in out.inputFiles())
+
+
+def test_packed_pages_keep_their_owner_and_need_no_file_per_agenda(spark, tmp_path):
+    cut = '{"page":1,"events":[{"uid":"x"'
+    rows = [(f'{{"page":{i},"events":[{{"uid":{i}}}]}}', f"a/{i}") for i in range(50)] + [(cut, "é b")]
+    landed = spark.createDataFrame([*rows, ('{"agenda_uid":7,"events":[]}', None)], "value string, folder_agenda string")
+    pages.land_pages(landed.coalesce(2), str(tmp_path / "events"))
+    assert len(list((tmp_path / "events").glob("part-*"))) == 2
+    read = pages.read_pages(spark, str(tmp_path / "events"), packed=True)
+    assert sorted(map(tuple, read.collect()), key=str) == sorted(map(tuple, landed.collect()), key=str)
+    bad = pages.explode_events(read).where("unreadable").first()
+    assert bad.agenda_uid == "é b"
