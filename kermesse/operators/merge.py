@@ -12,7 +12,7 @@ merged row itself - never the group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ SPREAD = 64
 NO_KEY = "null"
 NULL_KEYS = ("group", "spread", "apart")
 
+Target = tuple[int, str, T.DataType]  # number of a gathered column, where its values are, their type
+
 
 def _age_rank(c: Column, dtype: T.DataType) -> Column:
     """Orderable long that grows with recency; null comes last."""
@@ -108,7 +110,7 @@ def keyless_items(
     return rows.select(
         F.get(names, "c").alias("column"),
         F.monotonically_increasing_id().alias("place"),
-        *[F.col(f"v.v{j}").alias(t) for j, t in enumerate(targets)],
+        *[F.when(F.col("c") == j, F.col(v)).alias(t) for t, (j, v, _) in targets.items()],
     )
 
 
@@ -224,60 +226,61 @@ def _exploded_items(
     gather_text: Mapping[str, str],
     forward: list[Column],
     backward: list[Column],
-) -> tuple[DataFrame | None, list[str], list[str]]:
+) -> tuple[DataFrame | None, dict[str, Target], list[str]]:
     """A row per item of the list and map columns, the columns, and which of them are maps."""
-    # target column -> (element type, array of (item key, sort rank, value))
-    sources: dict[str, tuple[T.DataType, Column, list[Column]]] = {}
-
-    def entry(item_key: Column, value: Column, index: Column) -> Column:
-        return F.struct(item_key.alias("k"), value.alias("v"), index.cast("long").alias("i"))
-
-    def list_entries(c: Column, element: T.DataType) -> Column:
-        return F.transform(c, lambda x, i: entry(comparison_key(x, element), x, i))
-
-    def map_entries(c: Column, content: T.DataType) -> Column:
-        kept = F.filter(F.map_entries(c), lambda x: ~is_missing(x["value"], content))
-        return F.transform(kept, lambda x, i: entry(x["key"].cast("string"), x, i))
-
+    # target column -> (value type, its items: array and whether to number it, key of a value, ranks)
+    sources: dict[str, tuple[T.DataType, Column, bool, Callable[[Column], Column], list[Column]]] = {}
+    same = lambda v: v
     for n in lists:
         element = types[n].elementType
-        sources[n] = (element, list_entries(F.col(f"`{n}`"), element), forward)
+        item_key = lambda v, element=element: comparison_key(v, element)
+        sources[n] = (element, F.col(f"`{n}`"), True, item_key, forward)
     for n in maps:
         # Objects fill up from the oldest row on: old keys keep their place, new values win.
         # That is the list rule with time reversed.
         pair = T.StructType(
             [T.StructField("key", types[n].keyType), T.StructField("value", types[n].valueType)]
         )
-        array = map_entries(F.col(f"`{n}`"), types[n].valueType)
-        sources[n] = (pair, array, backward)
+        entry_key = lambda v: v["key"].cast("string")
+        sources[n] = (pair, F.map_entries(F.col(f"`{n}`")), True, entry_key, backward)
     for target, n in gather.items():
-        c = F.col(f"`{n}`")
         # Here text differs by its white space too.
-        exact = c if isinstance(types[n], T.StringType) else comparison_key(c, types[n])
-        single = F.when(c.isNotNull(), F.array(entry(exact, c, F.lit(0))))
-        sources[target] = (types[n], single, forward)
+        dtype = types[n]
+        exact = same if isinstance(dtype, T.StringType) else lambda v, t=dtype: comparison_key(v, t)
+        sources[target] = (dtype, F.col(f"`{n}`"), False, exact, forward)
     for target, n in gather_text.items():
-        c = valid_text(F.col(f"`{n}`"))
-        single = F.when(c.isNotNull(), F.array(entry(c, c, F.lit(0))))
-        sources[target] = (T.StringType(), single, forward)
+        sources[target] = (T.StringType(), valid_text(F.col(f"`{n}`")), False, same, forward)
     if not sources:
-        return None, [], []
+        return None, {}, []
 
     targets = list(sources)
+    # One value field per type, not per target: rows are sorted and shuffled with all fields.
+    slots: list[T.DataType] = []
+    for dtype, *_ in sources.values():
+        if dtype not in slots:
+            slots.append(dtype)
+    slot = {t: slots.index(sources[t][0]) for t in targets}
+
     def tagged(j: int) -> Column:
-        """Items of a target: one value field per target, only the item's own one set."""
+        """Items of a target as flat structs. Keys are computed after the explode, where they are
+        compiled, as bodies of array functions are not."""
+        _, source, many, _, _ = sources[targets[j]]
+        own = slot[targets[j]]
 
-        def item(x: Column) -> Column:
-            cells = [x["v"] if m == j else F.lit(None).cast(sources[t][0]) for m, t in enumerate(targets)]
-            value = F.struct(*[v.alias(f"v{m}") for m, v in enumerate(cells)])
+        def item(x: Column, i: Column) -> Column:
+            cells = [x if m == own else F.lit(None).cast(t) for m, t in enumerate(slots)]
             return F.struct(
-                F.lit(j).alias("c"), x["k"].alias("k"), x["i"].alias("i"), value.alias("v")
+                F.lit(j).alias("c"),
+                i.cast("long").alias("i"),
+                *[v.alias(f"v{m}") for m, v in enumerate(cells)],
             )
 
-        return F.transform(sources[targets[j]][1], item)
+        if many:
+            return F.transform(source, item)
+        return F.when(source.isNotNull(), F.array(item(source, F.lit(0))))
 
     every = F.concat(*[F.coalesce(tagged(j), F.array()) for j in range(len(targets))])
-    backwards = [j for j, t in enumerate(targets) if sources[t][2] is backward]
+    backwards = [j for j, t in enumerate(targets) if sources[t][4] is backward]
     ranks = [
         (F.when(F.col("x.c").isin(*backwards), b).otherwise(f) if backwards else f).alias(f"o{m}")
         for m, (f, b) in enumerate(zip(forward, backward))
@@ -286,10 +289,21 @@ def _exploded_items(
     # Outer, and the rows without items left out after it: before an inner one the optimizer puts a
     # filter that builds every list of items twice more.
     exploded = rows.select("_key", *forward, F.explode_outer("_all").alias("x"))
-    exploded = exploded.where(F.col("x").isNotNull()).select(
-        "_key", "x.c", "x.k", "x.v", F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r")
+    kept = F.col("x").isNotNull()
+    item_key = F.lit(None).cast("string")
+    for j, t in enumerate(targets):
+        own, value = F.col("x.c") == j, F.col(f"x.v{slot[t]}")
+        item_key = F.when(own, sources[t][3](value)).otherwise(item_key)
+        if t in maps:
+            kept &= ~(own & is_missing(value["value"], types[t].valueType))
+    exploded = exploded.where(kept).select(
+        "_key",
+        "x.c",
+        item_key.alias("k"),
+        F.struct(*[F.col(f"x.v{m}") for m in range(len(slots))]).alias("v"),
+        F.struct(*ranks, (-F.col("x.i")).alias("i")).alias("r"),
     )
-    return exploded, targets, list(maps)
+    return exploded, {t: (j, f"v.v{slot[t]}", sources[t][0]) for j, t in enumerate(targets)}, list(maps)
 
 
 def _first_sights(exploded: DataFrame) -> DataFrame:
@@ -300,34 +314,42 @@ def _first_sights(exploded: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_items(exploded: DataFrame, targets: Sequence[str], maps: Sequence[str], spread: bool) -> DataFrame:
+def _distinct_items(
+    exploded: DataFrame, targets: Mapping[str, Target], maps: Sequence[str], spread: bool
+) -> DataFrame:
     """Per key, each list and map column rebuilt from its distinct items."""
     distinct = _first_sights(exploded)
     cells = [
         F.collect_list(
-            F.when(F.col("c") == j, F.struct("r", F.col("k"), F.col(f"v.v{j}").alias("v")))
+            F.when(F.col("c") == j, F.struct("r", F.col(v).alias("v")))
         ).alias(t)
-        for j, t in enumerate(targets)
+        for t, (j, v, _) in targets.items()
     ]
-    newest_first = lambda c: F.array_sort(
-        c, lambda a, b: F.when(a["r"] > b["r"], -1).when(a["r"] < b["r"], 1).otherwise(0)
-    )
+
+    def newest_first(t: str) -> Column:
+        c = F.col(f"`{t}`")
+        if not holds_map(targets[t][2]):
+            return F.sort_array(c, asc=False)  # no two items of a list have one rank
+        return F.array_sort(
+            c, lambda a, b: F.when(a["r"] > b["r"], -1).when(a["r"] < b["r"], 1).otherwise(0)
+        )
+
     keyless = F.col("_key") == NO_KEY
     gathered = distinct.where(~keyless if spread else F.lit(True)).groupBy("_key").agg(*cells)
     if spread:
         # Sorted runs, which the last sort only merges: it takes SPREAD rows, not one per item.
         part = F.pmod(F.xxhash64("c", "k"), F.lit(SPREAD)).alias("_part")
         parts = distinct.where(keyless).groupBy("_key", part).agg(*cells)
-        runs = parts.select("_key", *[newest_first(F.col(f"`{t}`")).alias(t) for t in targets])
+        runs = parts.select("_key", *[newest_first(t).alias(t) for t in targets])
         whole = runs.groupBy("_key").agg(
             *[F.flatten(F.collect_list(F.col(f"`{t}`"))).alias(t) for t in targets]
         )
         gathered = gathered.unionByName(whole)
 
     def rebuilt(t: str) -> Column:
-        out = F.transform(newest_first(F.col(t)), lambda x: x["v"])
+        out = newest_first(t)["v"]
         if t in maps:
             out = F.map_from_entries(out)
-        return F.when(F.size(F.col(t)) > 0, out).alias(t)
+        return F.when(F.size(F.col(f"`{t}`")) > 0, out).alias(t)
 
     return gathered.select("_key", *[rebuilt(t) for t in targets])

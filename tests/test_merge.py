@@ -217,3 +217,12 @@ def test_plan_never_gathers_whole_groups(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3
     assert "partial_max_by" in plan and "partial_min_by" in plan and "SortMergeJoin" in plan
+
+
+def test_items_have_a_value_field_per_type_and_are_sorted_without_a_comparer(spark):
+    """Two lists of texts and one gathered share a field; a comparer or a key in an array function
+    would be interpreted, item by item."""
+    df = frame(spark, _random_rows(4, 50, 5)).drop("flags")
+    plan = merge_by_key(df, "uid", **OPTIONS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "v0" in plan and "v1" in plan and "v2" not in plan
+    assert "sort_array(" in plan and "array_sort(" not in plan
