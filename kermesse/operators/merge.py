@@ -276,7 +276,8 @@ def _exploded_items(
             )
 
         if many:
-            return F.transform(source, item)
+            numbered = F.transform(source, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
+            return F.transform(numbered, lambda p: item(p["v"], p["i"]))
         return F.when(source.isNotNull(), F.array(item(source, F.lit(0))))
 
     every = F.concat(*[F.coalesce(tagged(j), F.array()) for j in range(len(targets))])
@@ -347,7 +348,7 @@ def _distinct_items(
         gathered = gathered.unionByName(whole)
 
     def rebuilt(t: str) -> Column:
-        out = newest_first(t)["v"]
+        out = F.transform(newest_first(t), lambda x: x["v"])
         if t in maps:
             out = F.map_from_entries(out)
         return F.when(F.size(F.col(f"`{t}`")) > 0, out).alias(t)
