@@ -1,14 +1,20 @@
-"""Language-model scores: a Katz backoff model of words and word pairs.
+"""Language-model scores: a Katz backoff model of words, word pairs and word triples.
 
-Counts are discounted by Good-Turing up to DISCOUNTED; what a context loses goes to the words not
-seen after it, by their own probability, with a weight that makes each context's probabilities sum
-to one. A token is evaluated from the pair down: pair seen, else backoff weight times the word, else
-times the mass of unknown words.
+Counts are discounted by Good-Turing up to DISCOUNTED, level by level; what a context loses goes to
+the words not seen after it, by the probability one level down, with a weight that makes each
+context's probabilities sum to one. A token is evaluated from the triple down: triple seen, else
+backoff weight times the pair's probability; pair seen, else backoff weight times the word's; word
+seen, else the mass of unknown words.
 
 Texts are cut into blocks of some MB. A block numbers its words once, sends its distinct words to
-word partitions and its distinct pairs, with the documents they stand in, to pair partitions, as
-arrays. So a word or pair crosses the network once per block, not once per occurrence, and no table
-of all words or pairs meets in one task.
+word partitions and its distinct triples, with the documents they stand in, to triple partitions, as
+arrays. So a word or triple crosses the network once per block, not once per occurrence, and no table
+of all words or triples meets in one task.
+
+Triples are dealt by their middle word b. The triples a b w of one b hold all that both levels ask
+for: a count of a b is the sum over w, a count of b w the sum over a. Middle words too frequent for one
+partition are dealt by a and b. The pairs b w of these are counted beforehand, in the word partition of
+w; the pairs a b too frequent for one partition are dealt by all three words, and summed up at the end.
 """
 
 from __future__ import annotations
@@ -31,11 +37,11 @@ HELD_OUT_OF = 10  # a document is held out if the CRC of its id is a multiple of
 DISCOUNTED = 5  # counts up to this are discounted by Good-Turing
 TAIL = 1e-3  # share of larger counts that goes to unseen words, so that no context lacks some
 ADDED = 0.1  # of the base score
-HOT_SHARE = 1e-3  # contexts with more of the tokens are split over pair partitions: 1,000 at most
+HOT_SHARE = 1e-3  # words and pairs with more of the tokens, or than a partition's, are dealt over several
 BLOCK_BYTES = 16 << 20
 MAX_BUCKETS = 50_000  # the session refuses more than 100,000
 BLOCK_DOCS = 32_000  # document numbers in a block fit 16 bits
-BEGIN, END = -1, -2  # ids beside the words'
+BEGIN = -1  # an id beside the words'; the end is the word "", which no text has
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,18 +85,30 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _small(values: np.ndarray) -> pa.Array:
+    """Numbers from 0 in the narrowest type that holds them."""
+    most = int(values.max(initial=0))
+    kind = next(t for t in (np.uint8, np.uint16, np.int32, np.int64) if most <= np.iinfo(t).max)
+    return _list(values.astype(kind), pa.from_numpy_dtype(kind))
+
+
+def _steps(values: np.ndarray) -> pa.Array:
+    """Ascending numbers, each less the one before."""
+    return _list(np.diff(values, prepend=0), pa.from_numpy_dtype(values.dtype))
+
+
 def _pack(**arrays: pa.Array) -> bytes:
-    """Arrays as one compressed Arrow batch: what is moved is mostly small numbers."""
+    """Arrays as a compressed Arrow batch: what is moved is mostly small numbers."""
     batch = pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+    with pa.CompressedOutputStream(sink, "zstd") as out, pa.ipc.new_stream(out, batch.schema) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
 def _unpack(batch: pa.RecordBatch, row: int = 0) -> pa.RecordBatch:
-    return pa.ipc.open_stream(batch.column("packet")[row].as_buffer()).read_next_batch()
+    packed = pa.BufferReader(batch.column("packet")[row].as_buffer())
+    return pa.ipc.open_stream(pa.CompressedInputStream(packed, "zstd")).read_next_batch()
 
 
 def _only(batch, name: str, row: int = 0) -> np.ndarray:
@@ -98,6 +116,16 @@ def _only(batch, name: str, row: int = 0) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
 
+def _long(batch, name: str, row: int = 0) -> np.ndarray:
+    return _only(batch, name, row).astype(np.int64)
+
+
+def _arrow_schema(schema: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
 # --- Blocks ---
 
 _GAPS = np.zeros(256, bool)
@@ -121,12 +149,16 @@ def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return words.indices.to_numpy().astype(np.int32), sizes, words.dictionary.cast(pa.string())
 
 
-_BLOCK = "sizes array<int>, tokens array<int>, words array<string>, train array<int>"
+_BLOCK = (
+    "sizes array<int>, tokens array<int>, words array<string>, train array<int>, "
+    "train_tokens long, often array<string>, often_train array<int>"
+)
 
 
-def _block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Blocks of whole documents: ids, which are held out, words each, all words as numbers, and
-    the distinct words with their training counts."""
+def _block_rows(docs: DataFrame, block_bytes: int, share: float) -> DataFrame:
+    """Blocks of whole documents: ids, which are held out, words each, all words as numbers, the
+    distinct words and the end with their training counts, and the words with at least half of
+    `share` of these."""
     id_type = docs.schema["id"].dataType
     schema = StructType(
         [
@@ -142,9 +174,10 @@ def _block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
         column = lambda name: pa.concat_arrays(whole.column(name).chunks)
         held = column("held").to_numpy(zero_copy_only=False).astype(bool)
         tokens, sizes, words = _coded(column("text"))
-        train = np.bincount(
-            tokens[np.repeat(~held, sizes)], minlength=len(words)
-        ).astype(np.int32)
+        train = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words))
+        often = pa.array(np.flatnonzero((train >= share / 2 * (train.sum() + (~held).sum())) & (train > 0)))
+        words = pa.concat_arrays([words, pa.array([""])])
+        train = np.append(train, (~held).sum()).astype(np.int32)
         lists = [
             pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), column("id")),
             _list(held, pa.bool_()),
@@ -152,6 +185,9 @@ def _block_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
             _list(tokens, pa.int32()),
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
             _list(train, pa.int32()),
+            pa.array([int(train.sum())], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(often)], pa.int32()), words.take(often)),
+            _list(train[often], pa.int32()),
         ]
         return pa.RecordBatch.from_arrays([pa.array([block]), *lists], names=schema.names)
 
@@ -180,38 +216,81 @@ _WORDS = "part int, block long, packet binary"
 _ANSWERS = "block long, packet binary, places array<int>, totals array<long>"
 
 
-def _word_requests(blocks: DataFrame, parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _stream(one: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document's first token, target, word before it, document) of a block's tokens, an end after
+    each document, as places in the block's words; the end is the last word, BEGIN stands behind."""
+    sizes, tokens = _long(one, "sizes"), _only(one, "tokens")
+    n = len(one.column("train")[0])
+    first = np.cumsum(sizes + 1) - 1 - sizes
+    target = np.insert(tokens, np.cumsum(sizes), np.int32(n - 1))
+    before = np.roll(target, 1)
+    before[first] = n
+    return first, target, before, np.repeat(np.arange(len(sizes), dtype=np.int16), sizes + 1)
 
+
+def _hot_numbers(words: pa.Array, hot_words: list[str]) -> np.ndarray:
+    """0 for BEGIN, which is the last, 1 and more for frequent words, -1 for others."""
+    found = pc.fill_null(pc.index_in(words, value_set=pa.array(hot_words, pa.string())), -2)
+    return np.append(found.to_numpy(zero_copy_only=False).astype(np.int64) + 1, 0)
+
+
+def _hot_pairs(
+    target: np.ndarray, before: np.ndarray, hot: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens stand after a frequent word, and the key of their pair, ascending with the target."""
+    after = np.flatnonzero(hot[before] >= 0)
+    return after, target[after] * np.int64(width) + hot[before[after]]
+
+
+def _word_requests(blocks: DataFrame, hot_words: list[str], parts: int) -> DataFrame:
+    """The distinct words of each block, each with the pairs of a frequent word and it, as packets by
+    word partition."""
+    width = len(hot_words) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch.column("words")[row].values
-                train = _only(batch, "train", row)
-                hashes = np.fromiter(
-                    (xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)
-                )
-                part = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.unique(part).tolist():
-                    places = order[bounds[p] : bounds[p + 1]]
-                    own = words.take(pa.array(places))
-                    packet = _pack(
-                        places=_list(places.astype(np.int32), pa.int32()),
-                        words=pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
-                        train=_list(train[places], pa.int32()),
-                    )
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([p], pa.int32()),
-                            batch.column("block").slice(row, 1),
-                            pa.array([packet], pa.binary()),
-                        ],
-                        names=["part", "block", "packet"],
-                    )
-
-    return blocks.select("block", "words", "train").mapInArrow(run, _WORDS)
+                yield from requests(batch.slice(row, 1))
+
+    def requests(one: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        words, train = one.column("words")[0].values, _only(one, "train")
+        _, target, before, doc = _stream(one)
+        after, keys = _hot_pairs(target, before, _hot_numbers(words, hot_words), width)
+        learned = ~_only(one, "held").astype(bool)[doc[after]]
+        del target, before, doc, after
+        keys, index = np.unique(keys, return_inverse=True)
+        pair_train = np.bincount(index, weights=learned, minlength=len(keys)).astype(np.int64)
+        del index, learned
+        hashes = np.fromiter(
+            (xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)
+        )
+        part = (hashes % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        pair_part = part[keys // width]
+        pair_order = np.argsort(pair_part, kind="stable")
+        pair_bounds = np.searchsorted(pair_part[pair_order], np.arange(parts + 1))
+        for p in np.unique(part).tolist():
+            places = order[bounds[p] : bounds[p + 1]]
+            pairs = pair_order[pair_bounds[p] : pair_bounds[p + 1]]
+            own = words.take(pa.array(places))
+            packet = _pack(
+                places=_steps(places.astype(np.int32)),
+                words=pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                train=_small(train[places]),
+                pairs=_steps(pairs.astype(np.int32)),
+                p_words=_steps(np.searchsorted(places, keys[pairs] // width).astype(np.int32)),
+                p_hot=_small(keys[pairs] % width),
+                p_train=_small(pair_train[pairs]),
+            )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p], pa.int32()), one.column("block"), pa.array([packet], pa.binary())],
+                names=["part", "block", "packet"],
+            )
+
+    return blocks.select("block", "held", "sizes", "tokens", "words", "train").mapInArrow(run, _WORDS)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -232,9 +311,17 @@ def _dealt(requests: DataFrame, parts: int) -> DataFrame:
     return requests.repartition(parts, "part").sortWithinPartitions("part")
 
 
-def _word_answers(requests: DataFrame, parts: int) -> DataFrame:
-    """For each block's words an id and the training count of the whole corpus; and a row of block
-    -1 per part: places 0 (words), 1 to DISCOUNTED + 1 (words of that count), -1 (tokens)."""
+# Places of a frequent word's facts: pairs of count 1 to DISCOUNTED + 1; of the words seen after it,
+# those of count 1 to DISCOUNTED, and the summed counts of the others.
+_HOT_FACTS = 2 * DISCOUNTED + 2
+_FIRST_HOT = DISCOUNTED + 2
+
+
+def _word_answers(requests: DataFrame, width: int, parts: int) -> DataFrame:
+    """For each block's words an id and the training count of the whole corpus, and for its pairs
+    with a frequent first word their counts; and a row of block -1 per part: places 0 (words), 1 to
+    DISCOUNTED + 1 (words of that count), -1 (tokens), and from _FIRST_HOT on the facts of `width`
+    frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _by_part(batches):
@@ -249,12 +336,26 @@ def _word_answers(requests: DataFrame, parts: int) -> DataFrame:
         codes = words.dictionary_encode().indices.to_numpy()
         train = np.concatenate([_only(row, "train") for row in rows])
         totals = np.bincount(codes, weights=train).astype(np.int64)
+        codes = np.split(codes, np.cumsum(sizes)[:-1])
+        keys = [
+            own[np.cumsum(_only(row, "p_words"))] * np.int64(width) + _only(row, "p_hot")
+            for row, own in zip(rows, codes)
+        ]
+        sizes = [len(own) for own in keys]
+        pairs, index = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        p_train = np.concatenate([_only(row, "p_train") for row in rows])
+        p_totals = np.bincount(index, weights=p_train, minlength=len(pairs)).astype(np.int64)
+        index = np.split(index, np.cumsum(sizes)[:-1])
         names = ["block", "packet", "places", "totals"]
-        for block, row, own in zip(blocks, rows, np.split(codes, np.cumsum(sizes)[:-1])):
+        for block, row, own, own_pairs in zip(blocks, rows, codes, index):
             packet = _pack(
                 places=row.column("places"),
-                ids=_list(first + own.astype(np.int64), pa.int64()),
-                totals=_list(totals[own], pa.int64()),
+                first=_list([first], pa.int64()),
+                codes=_small(own),
+                totals=_small(totals[own]),
+                pairs=row.column("pairs"),
+                p_totals=_small(p_totals[own_pairs]),
             )
             yield pa.RecordBatch.from_arrays(
                 [
@@ -265,9 +366,21 @@ def _word_answers(requests: DataFrame, parts: int) -> DataFrame:
                 ],
                 names=names,
             )
-        places = np.arange(-1, DISCOUNTED + 2)
+        k = DISCOUNTED
         facts = [int(totals.sum()), int((totals > 0).sum())]
-        facts += [int((totals == r).sum()) for r in range(1, DISCOUNTED + 2)]
+        facts += [int((totals == r).sum()) for r in range(1, k + 2)]
+        seen = p_totals > 0
+        hot, count, of_word = pairs[seen] % width * _HOT_FACTS, p_totals[seen], totals[pairs[seen] // width]
+        low = count <= k + 1
+        hot_facts = np.bincount(hot[low] + count[low] - 1, minlength=width * _HOT_FACTS)
+        rare = of_word <= k
+        hot_facts += np.bincount(hot[rare] + k + of_word[rare], minlength=width * _HOT_FACTS)
+        hot_facts = hot_facts + np.bincount(
+            hot[~rare] + 2 * k + 1, weights=of_word[~rare], minlength=width * _HOT_FACTS
+        ).astype(np.int64)
+        some = np.flatnonzero(hot_facts)
+        places = np.concatenate([np.arange(-1, k + 2), some + _FIRST_HOT])
+        facts = np.concatenate([facts, hot_facts[some]])
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1]), pa.nulls(1, pa.binary()), _list(places, pa.int32()), _list(facts, pa.int64())],
             names=names,
@@ -277,18 +390,30 @@ def _word_answers(requests: DataFrame, parts: int) -> DataFrame:
 
 
 def _facts(rows: DataFrame, places: str, values: str) -> dict[int, int]:
-    """Sums of the rows of block -1, by place: a handful of numbers."""
+    """Sums of the rows of block -1, by place."""
     pairs = rows.where("block = -1").select(F.explode(F.arrays_zip(places, values)).alias("x"))
     return dict(
         pairs.groupBy(F.col(f"x.{places}").alias("place")).agg(F.sum(f"x.{values}")).collect()
     )
 
 
-# --- Pairs ---
+def _hot_words(blocks: DataFrame, share: float) -> list[str]:
+    """All words with more than `share` of the training tokens, and some with half of it: a word's
+    blocks in which it has less than half of `share` add up to less than that."""
+    tokens = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]
+    often = blocks.select(F.explode(F.arrays_zip("often", "often_train")).alias("x"))
+    found = often.groupBy(F.col("x.often").alias("word")).agg(F.sum("x.often_train").alias("n"))
+    return sorted(row["word"] for row in found.where(F.col("n") >= share / 2 * tokens).collect())
+
 
-# A packet of pairs has its contexts (c) with the number of pairs of each, its words (t), and for
-# each pair its word's place, its count in training documents, and the documents it stands in.
-_PAIRS = "part int, block long, packet binary"
+# --- Triples ---
+
+# A packet of triples a b w has its middle words (b) with the number of contexts of each, the words
+# before them (a) with the number of triples of each context, the words after (t), and for each
+# triple its count in training documents and the documents it stands in. What is counted beforehand
+# goes along: totals of words, of the pairs b w of frequent b (p_counts), and of the contexts dealt over
+# several partitions (c_counts), which have a key (c_keys); numbers that may lack are one higher, or 0.
+_TRIPLES = "part int, block long, packet binary"
 _INFO = "held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
 
 
@@ -297,12 +422,19 @@ def _scrambled(values: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * _MIX >> np.uint64(16)
 
 
-def _pair_requests(blocks: DataFrame, answers: DataFrame, model: dict, parts: int) -> DataFrame:
-    """The distinct pairs of each block, as packets by pair partition, and a row with what is known
-    of its documents by now."""
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def _triple_requests(blocks: DataFrame, answers: DataFrame, model: dict, parts: int) -> DataFrame:
+    """The distinct triples of each block, as packets by triple partition, and a row with what is
+    known of its documents by now. For a model of pairs all words before a context are BEGIN."""
     id_field = blocks.schema["ids"]
-    schema = StructType([*StructType.fromDDL(_PAIRS).fields, id_field, *StructType.fromDDL(_INFO).fields])
+    schema = StructType([*StructType.fromDDL(_TRIPLES).fields, id_field, *StructType.fromDDL(_INFO).fields])
     blank = pa.RecordBatch.from_pylist([{}], schema=_arrow_schema(schema))
+    hot_words, limit, order = model["hot_words"], model["hot"], model["order"]
+    width = len(hot_words) + 1
 
     def filled(**columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -314,26 +446,25 @@ def _pair_requests(blocks: DataFrame, answers: DataFrame, model: dict, parts: in
             return pa.Table.from_batches([], schema=blank.schema)
         one = block.combine_chunks().to_batches()[0]
         number = pa.array([one.column("block")[0].as_py()], pa.int64())
-        sizes, tokens = _only(one, "sizes").astype(np.int64), _only(one, "tokens")
-        held = _only(one, "held").astype(bool)
-        n = len(_only(one, "train"))
-        ids, totals = np.empty(n + 2, np.int64), np.empty(n + 2, np.int64)
+        first, target, middle, doc = _stream(one)
+        n = len(one.column("train")[0])
+        hot = _hot_numbers(one.column("words")[0].values, hot_words)
+        pair_keys = np.unique(_hot_pairs(target, middle, hot, width)[1])
+        ids, totals = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
+        pair_totals = np.empty(len(pair_keys), np.int64)
         for batch in answers.to_batches():
             for row in range(batch.num_rows):
                 answer = _unpack(batch, row)
-                places = _only(answer, "places")
-                ids[places], totals[places] = _only(answer, "ids"), _only(answer, "totals")
-        ids[n:], totals[n:] = (END, BEGIN), model["train_docs"]
-
-        ends = np.cumsum(sizes + 1) - 1  # where each document's end token stands
-        target = np.insert(tokens, np.cumsum(sizes), np.int32(n))
-        context = np.roll(target, 1)
-        context[ends - sizes] = n + 1
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int16), sizes + 1)
-
-        per_doc = lambda table: np.add.reduceat(table[target], ends - sizes)
-        n_known = per_doc((totals > 0).astype(np.int64))
-        base = per_doc(np.log10(totals + ADDED)) - (sizes + 1) * math.log10(
+                places = np.cumsum(_only(answer, "places"))
+                ids[places] = _only(answer, "first")[0] + _long(answer, "codes")
+                totals[places] = _only(answer, "totals")
+                pair_totals[np.cumsum(_only(answer, "pairs"))] = _only(answer, "p_totals")
+        ids[n], totals[n] = BEGIN, model["train_docs"]
+
+        held = _only(one, "held").astype(bool)
+        sizes = _long(one, "sizes")
+        n_known = np.add.reduceat((totals > 0).astype(np.int64)[target], first)
+        base = np.add.reduceat(np.log10(totals + ADDED)[target], first) - (sizes + 1) * math.log10(
             model["tokens"] + ADDED * (model["words"] + 1)
         )
         out = [
@@ -348,38 +479,92 @@ def _pair_requests(blocks: DataFrame, answers: DataFrame, model: dict, parts: in
             )
         ]
 
-        key = context.astype(np.int64) * (n + 2) + target
+        # Words are numbered anew in the order of their ids, which then go out in small steps.
+        by_id = np.append(np.argsort(ids[:n]), n)
+        rank = np.empty(n + 1, np.int64)
+        rank[by_id] = np.arange(n + 1)
+        ids, totals, hot = ids[by_id], totals[by_id], hot[by_id]
+        pair_keys = rank[pair_keys // width] * width + pair_keys % width
+        in_order = np.argsort(pair_keys)
+        pair_keys, pair_totals = pair_keys[in_order], pair_totals[in_order]
+        del by_id, in_order
+
+        def pair_total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Counts of pairs whose first word is frequent; nothing stands before BEGIN but BEGIN."""
+            at = np.searchsorted(pair_keys, b * np.int64(width) + hot[a])
+            some = pair_totals[np.minimum(at, len(pair_totals) - 1)]
+            return np.where(b == n, model["train_docs"], some)
+
+        target, middle = rank[target], rank[middle]
+        if order == 2:
+            before = np.full_like(middle, n)
+        else:
+            before = np.roll(middle, 1)
+            before[first] = n
+        contexts, context = np.unique(middle * (n + 1) + before, return_inverse=True)
+        del middle, before, rank
+        key = context * (n + 1) + target
         del context, target
-        order = np.argsort(key)
-        key, doc = key[order], doc[order]
-        del order
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        in_order = np.argsort(key)
+        key, doc = key[in_order], doc[in_order]
+        del in_order
+        starts = _starts(key)
         size = np.diff(np.append(starts, len(key)))
         train = np.add.reduceat(~held[doc], starts, dtype=np.int64)
-        c, t = key[starts] // (n + 2), key[starts] % (n + 2)
+        c, t = key[starts] // (n + 1), key[starts] % (n + 1)
         del key
-        spread = _scrambled(ids[c])
-        hot = totals[c] > model["hot"]
-        spread[hot] = _scrambled(spread[hot] ^ _scrambled(ids[t[hot]]))
+        b, a = contexts // (n + 1), contexts % (n + 1)
+        del contexts
+
+        c_counts, c_keys = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        both = np.flatnonzero((hot[a] >= 0) & (hot[b] >= 0))
+        if order == 3:
+            count = pair_total(a[both], b[both])
+            both, count = both[count > limit], count[count > limit]
+            c_counts[both] = count
+        c_keys[both] = hot[a[both]] * width + hot[b[both]] + 1
+        p_counts = np.zeros(len(t), np.int64)
+        after = np.flatnonzero(hot[b[c]] >= 0)
+        p_counts[after] = pair_total(b[c[after]], t[after]) + 1
+        del after
+
+        spread = _scrambled(ids[b])
+        split = hot[b] >= 0
+        spread[split] = _scrambled(spread[split] ^ _scrambled(ids[a[split]]))
+        split = c_keys[c] > 0
+        spread = spread[c]
+        spread[split] = _scrambled(spread[split] ^ _scrambled(ids[t[split]]))
         part = (spread % np.uint64(parts)).astype(np.int32)
+        del spread, split
         by_part = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
         for p in np.unique(part).tolist():
             own = by_part[bounds[p] : bounds[p + 1]]
-            cs, c_sizes = np.unique(c[own], return_counts=True)
+            runs = _starts(c[own])
+            cs = c[own[runs]]
+            b_runs = _starts(b[cs])
+            bs = b[cs[b_runs]]
+            firsts, a_index = np.unique(a[cs], return_inverse=True)
             ts, t_index = np.unique(t[own], return_inverse=True)
             lengths = size[own]
             at = np.repeat(starts[own] - np.append(0, np.cumsum(lengths)[:-1]), lengths)
             packet = _pack(
-                c_ids=_list(ids[cs], pa.int64()),
-                c_counts=_list(totals[cs], pa.int64()),
-                c_sizes=_list(c_sizes.astype(np.int32), pa.int32()),
-                t_ids=_list(ids[ts], pa.int64()),
-                t_counts=_list(totals[ts], pa.int64()),
-                t_index=_list(t_index.astype(np.int32), pa.int32()),
-                train=_list(train[own].astype(np.int32), pa.int32()),
-                sizes=_list(lengths.astype(np.int32), pa.int32()),
-                docs=_list(doc[at + np.arange(len(at))], pa.int16()),
+                b_ids=_steps(ids[bs]),
+                b_counts=_small(totals[bs]),
+                b_hot=_small(hot[bs] + 1),
+                b_sizes=_small(np.diff(np.append(b_runs, len(cs)))),
+                a_ids=_steps(ids[firsts]),
+                a_index=_small(a_index),
+                c_keys=_small(c_keys[cs]),
+                c_counts=_small(c_counts[cs]),
+                c_sizes=_small(np.diff(np.append(runs, len(own)))),
+                t_ids=_steps(ids[ts]),
+                t_counts=_small(totals[ts]),
+                t_index=_small(t_index),
+                p_counts=_small(p_counts[own]),
+                train=_small(train[own]),
+                sizes=_small(lengths),
+                docs=_small(doc[at + np.arange(len(at))]),
             )
             out.append(
                 filled(part=pa.array([p], pa.int32()), block=number, packet=pa.array([packet], pa.binary()))
@@ -390,36 +575,39 @@ def _pair_requests(blocks: DataFrame, answers: DataFrame, model: dict, parts: in
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)
 
 
-def _arrow_schema(schema: StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
-# What is known of a packet's documents: the sum of logarithms that no discount changes, how many
-# of their pairs have count 1 to DISCOUNTED, and their unseen pairs, each with the logarithm of its
-# word's probability and a context. Contexts have their count, the pairs of count 1 to DISCOUNTED
-# and the summed probability of the words seen after them; hot ones, known in part here, only an id.
-# The rows of block -1 have the hot contexts of a partition, and how many pairs have each count.
+# What is known of a packet's documents: the sum of logarithms that no discount changes, how many of
+# their tokens take the discount of a triple or pair of count 1 to DISCOUNTED, and the contexts of two
+# words (c) and of one (b) that their tokens are backed off from. Contexts have their count, the
+# triples or pairs of count 1 to DISCOUNTED, and of the words seen after them the probability one level
+# down: of one word its sum; of two words the pairs of count 1 to DISCOUNTED and the summed count of the
+# others, over the count of b. Contexts dealt over several partitions, known in part here, have a key.
+# The rows of block -1 have these contexts of a partition, and how many pairs (places up to
+# DISCOUNTED + 1) and triples (as many more) have each count.
 _PARTS = (
-    "block long, packet binary, c_ids array<long>, c_counts array<long>, c_seen array<int>, "
-    "c_mass array<double>, facts array<long>, places array<int>"
+    "block long, packet binary, c_keys array<long>, c_facts array<long>, facts array<long>, "
+    "places array<int>"
 )
+_C_FACTS = 2 * DISCOUNTED + 3  # count, count of b, triples, pairs, others
 
 
-def _pair_parts(requests: DataFrame, model: dict, parts: int) -> DataFrame:
+def _triple_parts(requests: DataFrame, model: dict, parts: int) -> DataFrame:
     id_field = requests.schema["ids"]
     schema = StructType([*StructType.fromDDL(_PARTS).fields, id_field, *StructType.fromDDL(_INFO).fields])
     info = [id_field.name, *StructType.fromDDL(_INFO).names]
     blank = pa.RecordBatch.from_pylist([{}], schema=_arrow_schema(schema))
     words: Words = model["unigrams"]
-    hot_count, k = model["hot"], DISCOUNTED
+    k = DISCOUNTED
 
     def filled(**columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [columns.get(name, blank.column(name)) for name in schema.names], schema=blank.schema
         )
 
+    def counted(home: np.ndarray, counts: np.ndarray, homes: int) -> np.ndarray:
+        """How many of each home's counts are 1 to DISCOUNTED."""
+        low = (counts > 0) & (counts <= k)
+        return np.bincount(home[low] * k + counts[low] - 1, minlength=homes * k).reshape(-1, k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_part(batches):
             yield from one_part(rows)
@@ -435,71 +623,129 @@ def _pair_parts(requests: DataFrame, model: dict, parts: int) -> DataFrame:
         rows.clear()
         if not packets:
             return
-        take = lambda name: [_only(p, name) for p in packets]
-        c_sizes = take("c_sizes")
-        c_id = np.concatenate([np.repeat(x, s) for x, s in zip(take("c_ids"), c_sizes)])
-        c_count = np.concatenate([np.repeat(x, s) for x, s in zip(take("c_counts"), c_sizes)])
-        t_id = np.concatenate([x[i] for x, i in zip(take("t_ids"), take("t_index"))])
-        t_count = np.concatenate([x[i] for x, i in zip(take("t_counts"), take("t_index"))])
-        train = np.concatenate(take("train")).astype(np.int64)
-
-        contexts, c_no = np.unique(c_id, return_inverse=True)
-        targets, t_no = np.unique(t_id, return_inverse=True)
-        pairs, first, pair = np.unique(c_no * np.int64(len(targets)) + t_no, return_index=True, return_inverse=True)
-        total = np.bincount(pair, weights=train).astype(np.int64)
-        count_of = np.zeros(len(contexts), np.int64)
-        count_of[c_no] = c_count
+
+        def joined(name: str) -> np.ndarray:
+            return np.concatenate([_long(p, name) for p in packets])
+
+        def numbered(name: str) -> tuple[int, np.ndarray, list[np.ndarray]]:
+            """(how many words, the number of each in all packets, the same by packet)."""
+            lists = [np.cumsum(_only(p, name)) for p in packets]
+            distinct, code = np.unique(np.concatenate(lists), return_inverse=True)
+            code = code.astype(np.int32)
+            return len(distinct), code, np.split(code, np.cumsum([len(x) for x in lists])[:-1])
+
+        def each(codes: list[np.ndarray], index: str) -> np.ndarray:
+            return np.concatenate([x[_only(p, index)] for p, x in zip(packets, codes)])
+
+        # Middle words (b), contexts (c), and the words before (a) and after (t).
+        n_b, b_code, _ = numbered("b_ids")
+        b_count, b_hot = np.zeros(n_b, np.int64), np.zeros(n_b, np.int64)
+        b_count[b_code], b_hot[b_code] = joined("b_counts"), joined("b_hot") - 1
+        n_a, _, a_codes = numbered("a_ids")
+        c_name = np.repeat(b_code, joined("b_sizes")) * np.int64(n_a) + each(a_codes, "a_index")
+        del a_codes, b_code
+        contexts, c_first, c_no = np.unique(c_name, return_index=True, return_inverse=True)
+        del c_name
+        n_c, c_b = len(contexts), contexts // n_a
+        c_key, c_given = joined("c_keys")[c_first], joined("c_counts")[c_first]
+        del contexts, c_first
+        n_t, t_code, t_codes = numbered("t_ids")
+        t_count = np.zeros(n_t, np.int64)
+        t_count[t_code] = joined("t_counts")
         chance = words.probability(t_count)
-        # Each distinct pair that training holds adds to its context.
-        held, home = total > 0, c_no[first]
-        mass = np.bincount(home[held], weights=chance[first][held], minlength=len(contexts))
-        low = held & (total <= k)
-        seen_of = np.bincount(home[low] * k + total[low] - 1, minlength=len(contexts) * k).reshape(-1, k)
-        is_hot = count_of > hot_count
-        spots = np.flatnonzero(is_hot)
+        name = np.repeat(c_no, joined("c_sizes")) * np.int64(n_t) + each(t_codes, "t_index")
+        del c_no, t_code, t_codes, t_count
+
+        # Distinct triples, with their context and last word, and the pairs b w of these.
+        triples, first, triple = np.unique(name, return_index=True, return_inverse=True)
+        del name
+        triple = triple.astype(np.int32)
+        total = np.bincount(triple, weights=joined("train")).astype(np.int64)
+        c, t = triples // n_t, triples % n_t
+        del triples
+        given = joined("p_counts")[first]
+        del first
+        pairs, p_first, pair = np.unique(c_b[c] * n_t + t, return_index=True, return_inverse=True)
+        p_b, p_t, given = pairs // n_t, pairs % n_t, given[p_first]
+        del pairs, p_first
+        p_total = np.bincount(pair, weights=total).astype(np.int64)
+        p_total[given > 0] = given[given > 0] - 1
+        c_total = np.bincount(c, weights=total, minlength=n_c).astype(np.int64)
+        c_total[c_key > 0] = c_given[c_key > 0]
+        if model["order"] == 2:
+            total[:], c_total[:] = 0, 0
+        below = p_total[pair]
+        del pair, given
+
+        # What contexts are backed off by.
+        own = (p_total > 0) & (b_hot[p_b] < 0)
+        b_seen = counted(p_b[own], p_total[own], n_b)
+        b_mass = np.bincount(p_b[own], weights=chance[p_t[own]], minlength=n_b)
+        hot = np.flatnonzero(b_hot >= 0)
+        b_seen[hot], b_mass[hot] = model["hot_seen"][b_hot[hot]], model["hot_mass"][b_hot[hot]]
+        from_two = (total == 0) & (c_total[c] > 0)
+        spots = (c_key > 0) & (c_total > 0)
+        wanted = spots.copy()
+        wanted[c[from_two]] = True
+        c_row, wanted_c = np.cumsum(wanted) - 1, int(wanted.sum())
+        held = np.flatnonzero(wanted[c] & (total > 0))
+        home, lower = c_row[c[held]], below[held]
+        c_facts = np.column_stack(
+            [
+                c_total[wanted],
+                b_count[c_b[wanted]],
+                counted(home, total[held], wanted_c),
+                counted(home, lower, wanted_c),
+                np.bincount(home, weights=lower * (lower > k), minlength=wanted_c).astype(np.int64),
+            ]
+        )
         numbers = np.arange(1, k + 2)
+        facts = [int((p_total[own] == r).sum()) for r in numbers]
+        facts += [int((total == r).sum()) for r in numbers]
         yield filled(
             block=pa.array([-1], pa.int64()),
-            c_ids=_list(contexts[spots], pa.int64()),
-            c_counts=_list(count_of[spots], pa.int64()),
-            c_seen=_list(seen_of[spots].ravel().astype(np.int32), pa.int32()),
-            c_mass=_list(mass[spots], pa.float64()),
-            facts=_list([int((total == r).sum()) for r in numbers], pa.int64()),
-            places=_list(numbers, pa.int32()),
+            c_keys=_list(c_key[spots], pa.int64()),
+            c_facts=_list(c_facts[c_row[spots]].ravel(), pa.int64()),
+            facts=_list(facts, pa.int64()),
+            places=_list(np.arange(1, 2 * k + 3), pa.int32()),
         )
+        del p_b, p_t, p_total, own, held, home, lower, wanted
 
-        count = total[pair]
-        log_c, log_chance = np.log10(np.maximum(c_count, 1)), np.log10(chance)
+        # What tokens take: the triple's count, else the pair's, else the word's.
+        log = lambda counts: np.log10(np.maximum(counts, 1))
+        count = np.where(total > 0, total, below)
         fixed = np.where(
-            count > k,
-            np.log10(np.maximum(count, 1)) + math.log10(1 - TAIL) - log_c,
-            np.where(count > 0, np.log10(np.maximum(count, 1)) - log_c, log_chance),
+            count > 0, log(count) - log(np.where(total > 0, c_total[c], b_count[c_b[c]])), np.log10(chance)[t]
         )
-        unseen = (count == 0) & (c_count > 0)
-        fixed[unseen] = 0.0
+        fixed[count > k] += math.log10(1 - TAIL)
+        step = np.where((count > 0) & (count <= k), np.where(total > 0, 0, k) + count - 1, -1)
+        from_one = (count == 0) & (b_count[c_b[c]] > 0)
+        del count, total, below, t
         start = 0
         for block, packet in zip(blocks, packets):
             sizes, docs = _only(packet, "sizes"), _only(packet, "docs")
-            here = np.repeat(np.arange(start, start + len(sizes)), sizes)
+            here = np.repeat(triple[start : start + len(sizes)], sizes)
             start += len(sizes)
             names, spot = np.unique(docs, return_inverse=True)
             logs = np.bincount(spot, weights=fixed[here], minlength=len(names))
-            small = (count[here] > 0) & (count[here] <= k)
-            seen = np.bincount(spot[small] * k + count[here][small] - 1, minlength=len(names) * k)
-            events = np.flatnonzero(unseen[here])
-            which = here[events]
-            own, place = np.unique(c_no[which], return_inverse=True)
+            small = step[here] >= 0
+            seen = np.bincount(spot[small] * 2 * k + step[here][small], minlength=len(names) * 2 * k)
+            c_events, b_events = np.flatnonzero(from_two[here]), np.flatnonzero(from_one[here])
+            own_c, c_place = np.unique(c[here[c_events]], return_inverse=True)
+            own_b, b_place = np.unique(c_b[c[here[b_events]]], return_inverse=True)
             known = _pack(
-                docs=_list(names, pa.int16()),
+                docs=_small(names),
                 logs=_list(logs, pa.float64()),
-                seen=_list(seen.astype(np.int32), pa.int32()),
-                e_docs=_list(docs[events], pa.int16()),
-                e_logs=_list(log_chance[which], pa.float64()),
-                e_context=_list(place.astype(np.int32), pa.int32()),
-                c_ids=_list(np.where(is_hot[own], contexts[own], 0), pa.int64()),
-                c_counts=_list(np.where(is_hot[own], -1, count_of[own]), pa.int64()),
-                c_seen=_list(seen_of[own].ravel().astype(np.int32), pa.int32()),
-                c_mass=_list(mass[own], pa.float64()),
+                seen=_small(seen),
+                c_docs=_small(docs[c_events]),
+                c_place=_small(c_place),
+                c_keys=_small(c_key[own_c]),
+                c_facts=_small(c_facts[c_row[own_c]].ravel()),
+                b_docs=_small(docs[b_events]),
+                b_place=_small(b_place),
+                b_counts=_small(b_count[own_b]),
+                b_seen=_small(b_seen[own_b].ravel()),
+                b_mass=_list(b_mass[own_b], pa.float64()),
             )
             yield filled(block=block, packet=pa.array([known], pa.binary()))
 
@@ -509,22 +755,51 @@ def _pair_parts(requests: DataFrame, model: dict, parts: int) -> DataFrame:
 def backoff_weights(
     counts: np.ndarray, seen: np.ndarray, mass: np.ndarray, kept: np.ndarray
 ) -> np.ndarray:
-    """Log10 of what a context hands to each word unseen after it, over that word's probability:
-    the share its pairs lose to discounts, over the probability of all words unseen after it."""
+    """Log10 of what a context hands to each word unseen after it, over that word's probability one
+    level down: the share it loses to discounts, over that probability of all words unseen after it."""
     r = np.arange(1, DISCOUNTED + 1)
     freed = seen @ ((1 - kept[1:]) * r) + TAIL * (counts - seen @ r)
     return np.log10(freed / counts) - np.log10(1 - mass)
 
 
+def _two_word_weights(facts: np.ndarray, kept_two: np.ndarray, kept_three: np.ndarray) -> np.ndarray:
+    """`backoff_weights` of contexts of two words."""
+    k = DISCOUNTED
+    count, count_b, seen = facts[:, 0], facts[:, 1], facts[:, 2 : k + 2]
+    low, others = facts[:, k + 2 : 2 * k + 2], facts[:, 2 * k + 2]
+    mass = (low @ (kept_two[1:] * np.arange(1, k + 1)) + (1 - TAIL) * others) / count_b
+    return backoff_weights(count, seen, mass, kept_three)
+
+
 # --- Scores ---
 
 
 def _scores(parts: DataFrame, model: dict, id: str) -> DataFrame:
-    kept, hot = model["kept"], model["hot_weights"]
+    two, three, hot = model["kept_two"], model["kept_three"], model["hot_weights"]
     id_field = parts.schema["ids"]
     info = StructType([id_field, *StructType.fromDDL(_INFO).fields])
     narrow = StructType([*StructType.fromDDL("block long, packet binary").fields, *info.fields])
-    step = np.log10(kept)
+    step = np.log10(np.concatenate([three[1:], two[1:]]))
+
+    def scored(known: pa.RecordBatch) -> bytes:
+        docs, logs = _only(known, "docs"), _only(known, "logs").copy()
+        logs += _only(known, "seen").reshape(-1, 2 * DISCOUNTED) @ step
+        if len(events := _only(known, "c_docs")):
+            keys, facts = _only(known, "c_keys"), _long(known, "c_facts").reshape(-1, _C_FACTS)
+            part = keys > 0
+            weights = np.zeros(len(keys))
+            weights[~part] = _two_word_weights(facts[~part], two, three)
+            weights[part] = [hot[i] for i in keys[part].tolist()]
+            np.add.at(logs, np.searchsorted(docs, events), weights[_only(known, "c_place")])
+        if len(events := _only(known, "b_docs")):
+            weights = backoff_weights(
+                _long(known, "b_counts"),
+                _long(known, "b_seen").reshape(-1, DISCOUNTED),
+                _only(known, "b_mass"),
+                two,
+            )
+            np.add.at(logs, np.searchsorted(docs, events), weights[_only(known, "b_place")])
+        return _pack(docs=_small(docs), logs=_list(logs, pa.float64()))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blank = pa.RecordBatch.from_pylist([{}], schema=_arrow_schema(narrow))
@@ -533,24 +808,7 @@ def _scores(parts: DataFrame, model: dict, id: str) -> DataFrame:
                 row = batch.slice(r, 1)
                 columns = {name: row.column(name) for name in narrow.names}
                 if row.column("packet")[0].is_valid:
-                    known = _unpack(row)
-                    docs, logs = _only(known, "docs"), _only(known, "logs").copy()
-                    logs += _only(known, "seen").reshape(-1, DISCOUNTED) @ step[1:]
-                    if len(events := _only(known, "e_docs")):
-                        ids, counts = _only(known, "c_ids"), _only(known, "c_counts")
-                        part = counts < 0
-                        weights = np.zeros(len(ids))
-                        weights[~part] = backoff_weights(
-                            counts[~part],
-                            _only(known, "c_seen").reshape(-1, DISCOUNTED)[~part],
-                            _only(known, "c_mass")[~part],
-                            kept,
-                        )
-                        weights[part] = [hot[i] for i in ids[part].tolist()]
-                        found = _only(known, "e_logs") + weights[_only(known, "e_context")]
-                        np.add.at(logs, np.searchsorted(docs, events), found)
-                    packet = _pack(docs=_list(docs, pa.int16()), logs=_list(logs, pa.float64()))
-                    columns["packet"] = pa.array([packet], pa.binary())
+                    columns["packet"] = pa.array([scored(_unpack(row))], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [columns[name] for name in narrow.names], schema=blank.schema
                 )
@@ -580,17 +838,24 @@ def _scores(parts: DataFrame, model: dict, id: str) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    order: int = 2,
 ) -> DataFrame:
     """(`id`, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    The model learns from documents whose CRC of the id is no multiple of HELD_OUT_OF, and scores
-    all. Tokens are the words, A-Z in lower case, and an end. A null or empty text is an end alone; a
+    The model, of words and pairs (`order` 2) or of triples too (3), learns from documents whose CRC
+    of the id is no multiple of HELD_OUT_OF, and scores all. Tokens are the words, A-Z in lower case,
+    and an end. A null or empty text is an end alone; a
     null id counts as the empty text, which is held out. Repeated rows are learned and scored each.
-    The tables of blocks, word counts and pair counts are written in the shared folder; parts grow
-    in number with the text, so that one holds less than a block does, and a task works on one part
-    at a time.
+    The tables of blocks, word counts and what triples add to documents are written in the shared
+    folder; parts grow in number with the text, so that one holds less than a block does, and a task
+    works on one part at a time.
     """
+    if order not in (2, 3):
+        raise ValueError(f"a model has order 2 or 3, not {order}")
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF == 0
     rows = docs.select(F.col(id).alias("id"), held.alias("held"), F.col(text).alias("text"))
@@ -598,48 +863,66 @@ def score(
         F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held"))
     ).first()
     parts = int(size // block_bytes) + 1
+    share = min(HOT_SHARE, 1 / parts)
     name = f"llm_blocks_{uuid.uuid4().hex}"
     # Bucketed by block, so that the answers come to the blocks and the texts stay. Beyond MAX_BUCKETS
     # blocks a bucket has several.
-    _block_rows(rows, block_bytes).write.bucketBy(min(parts, MAX_BUCKETS), "block").option(
+    _block_rows(rows, block_bytes, share).write.bucketBy(min(parts, MAX_BUCKETS), "block").option(
         "compression", "zstd"
     ).format("parquet").saveAsTable(name)
     blocks = spark.table(name)
     try:
-        answers = materialise(_word_answers(_word_requests(blocks, parts), parts))
+        hot_words = _hot_words(blocks, share)
+        requests = _word_requests(blocks, hot_words, parts)
+        answers = materialise(_word_answers(requests, len(hot_words) + 1, parts))
         facts = _facts(answers, "places", "totals")
-        tokens = facts.get(-1, 0) + train_docs  # with an end for every document
-        of_count = {r: facts.get(r, 0) + (train_docs == r) for r in range(1, DISCOUNTED + 2)}
+        tokens = facts.get(-1, 0)
         model = {
+            "order": order,
             "train_docs": train_docs,
             "tokens": tokens,
-            "words": facts.get(0, 0) + (train_docs > 0),
-            "hot": tokens * HOT_SHARE,
-            "unigrams": Words(tokens, of_count),
+            "words": facts.get(0, 0),
+            "hot": tokens * share,
+            "hot_words": hot_words,
+            "unigrams": Words(tokens, facts),
         }
-        requests = _pair_requests(blocks, answers, model, parts)
-        pairs = materialise(_pair_parts(requests, model, parts))
+        hot_pairs = _hot_word_facts(facts, model)
+        requests = _triple_requests(blocks, answers, model, parts)
+        triples = materialise(_triple_parts(requests, model, parts))
     finally:
         spark.sql(f"DROP TABLE {name}")
-    model["kept"] = discounts(_facts(pairs, "places", "facts"))
-    model["hot_weights"] = _hot_weights(pairs, model["kept"])
-    return _scores(pairs, model, id).select(
+    found, k = _facts(triples, "places", "facts"), DISCOUNTED
+    model["kept_two"] = discounts({r: found.get(r, 0) + hot_pairs[r - 1] for r in range(1, k + 2)})
+    model["kept_three"] = discounts({r: found.get(r + k + 1, 0) for r in range(1, k + 2)})
+    model["hot_weights"] = _hot_weights(triples, model)
+    return _scores(triples, model, id).select(
         id, "held_out", "n_tokens", "n_known",
         F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
-def _hot_weights(pairs: DataFrame, kept: np.ndarray) -> dict[int, float]:
-    """Backoff weights of the hot contexts: 1 / HOT_SHARE of them at most."""
-    zipped = pairs.where("block = -1").select(
-        F.posexplode(F.arrays_zip("c_ids", "c_counts", "c_mass")).alias("at", "x"), "c_seen"
-    )
-    sums = [
-        F.sum(F.get("c_seen", F.col("at") * DISCOUNTED + r)).alias(f"n{r}") for r in range(DISCOUNTED)
-    ]
-    found = zipped.groupBy("x.c_ids").agg(F.max("x.c_counts"), F.sum("x.c_mass"), *sums).collect()
+def _hot_word_facts(facts: dict[int, int], model: dict) -> list[int]:
+    """Put into the model what is known of frequent words as contexts; how many pairs have each count."""
+    k, words = DISCOUNTED, model["unigrams"]
+    table = np.zeros((len(model["hot_words"]) + 1, _HOT_FACTS), np.int64)
+    for place, value in facts.items():
+        if place >= _FIRST_HOT:
+            table.flat[place - _FIRST_HOT] = value
+    low = table[:, k + 1 : 2 * k + 1] @ (words.kept[1:] * np.arange(1, k + 1))
+    model["hot_seen"] = table[:, :k]
+    model["hot_mass"] = (low + (1 - TAIL) * table[:, 2 * k + 1]) / max(words.tokens, 1)
+    return table[:, : k + 1].sum(axis=0).tolist()
+
+
+def _hot_weights(triples: DataFrame, model: dict) -> dict[int, float]:
+    """Backoff weights of the contexts dealt over several parts: as many as HOT_SHARE lets be, or one
+    a part."""
+    zipped = triples.where("block = -1").select(F.posexplode("c_keys").alias("at", "key"), "c_facts")
+    fact = lambda i: F.get("c_facts", F.col("at") * _C_FACTS + i)
+    sums = [(F.max if i < 2 else F.sum)(fact(i)).alias(f"n{i}") for i in range(_C_FACTS)]
+    found = zipped.groupBy("key").agg(*sums).collect()
     if not found:
         return {}
     values = np.array([row[1:] for row in found], dtype=float)
-    weights = backoff_weights(values[:, 0], values[:, 2:], values[:, 1], kept)
+    weights = _two_word_weights(values, model["kept_two"], model["kept_three"])
     return {row[0]: float(w) for row, w in zip(found, weights)}
