@@ -2,7 +2,7 @@
 
 Texts become blocks of word codes once, with each block's distinct words. Words are counted over the
 cluster, and the frequent ones get an id, which is brought back to the blocks as a list beside their
-words; the texts themselves are not shuffled for it.
+words. The codes themselves stay in a file per block, which only the Python workers write and read.
 
 Then one pass per phrase length, from the shorter to the longer (Apriori): candidates of a length are
 phrases whose parts but one word are frequent, and which stand often enough. A block only says of each
@@ -14,6 +14,7 @@ states of all its blocks, and the sums of all tasks are the counts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kermesse.llm.common import materialise, slices, text_bytes
+from kermesse.llm.common import new_folder, opened, slices, text_bytes, written
 
 SUPPORT = 30
 LONGEST = 4  # words
@@ -31,7 +32,7 @@ COVERED = 80  # percent of a phrase's places at which a longer one stands for it
 TOP = 2000
 NO_LANG = "und"
 BLOCK_BYTES = 8 << 20
-BLOCKS_PER_FILE = 2  # few, as a task's batch holds what a split does
+BLOCKS_PER_FILE = 2  # few, as the lists are a small part of what their tasks read
 WINDOW = 1 << 19
 TRIE_PHRASES = 1 << 20  # phrases per trie: 60 MB to broadcast at most
 CHUNK = 1 << 12  # counts in a row
@@ -45,7 +46,7 @@ _GAPS[[0x20, 0x09]] = True
 
 # --- Blocks ---
 
-_BLOCK = "block long, lang string, codes array<int>, words array<string>, counts array<int>"
+_BLOCK = "block long, lang string, path string, words array<string>, counts array<int>"
 
 
 def word_codes(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -76,8 +77,26 @@ def _one(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
 
 
+def save_codes(uri: str, codes: np.ndarray) -> None:
+    from pyarrow import parquet
+
+    system, path = opened(uri)
+    table = pa.table({"codes": pa.array(codes.astype(np.int32, copy=False))})
+    parquet.write_table(table, path, filesystem=system, compression="zstd", row_group_size=max(len(codes), 1))
+
+
+def load_codes(uri: str) -> np.ndarray:
+    from pyarrow import parquet
+
+    system, path = opened(uri)
+    with system.open_input_file(path) as file:
+        return parquet.ParquetFile(file).read().column("codes").combine_chunks().to_numpy()
+
+
 def blocks(docs: DataFrame, lang: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Codes of whole texts in blocks of one language each; some MB of text, or one longer text."""
+    """Codes of whole texts in blocks of one language each, some MB of text, or one longer text: the
+    file of each block's codes, its distinct words and their counts."""
+    folder = new_folder(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,15 +111,17 @@ def blocks(docs: DataFrame, lang: str, text: str, block_bytes: int = BLOCK_BYTES
             sizes.pop(name)
             codes, words, counts = word_codes(column)
             number += 1
+            uri = f"{folder}/{uuid.uuid4().hex}.parquet"
+            save_codes(uri, codes)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([number]),
                     pa.array([name]),
-                    _one(codes, pa.int32()),
+                    pa.array([uri]),
                     _one(words, pa.string()),
                     _one(counts, pa.int32()),
                 ],
-                names=["block", "lang", "codes", "words", "counts"],
+                names=["block", "lang", "path", "words", "counts"],
             )
 
         for batch in batches:
@@ -122,16 +143,17 @@ def blocks(docs: DataFrame, lang: str, text: str, block_bytes: int = BLOCK_BYTES
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    return rows.mapInArrow(run, _BLOCK)
+    return written(rows, run, _BLOCK)
 
 
 def _with_ids(blocked: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(codes, places, ids): the blocks with the places and ids of their frequent distinct words."""
+    """(path, place, id): the files of the blocks' codes with the places and ids of their frequent
+    distinct words."""
     places = blocked.select("block", "lang", F.posexplode("words").alias("place", "word"))
     known = places.join(frequent.select("lang", "word", "id"), ["lang", "word"])
     # At most the distinct words of a block, so some MB of text, meet in a row.
     lists = known.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("k"))
-    return blocked.select("block", "codes").join(lists, "block").select("codes", "k.place", "k.id")
+    return blocked.select("block", "path").join(lists, "block").select("path", "k.place", "k.id")
 
 
 # --- Tries ---
@@ -287,7 +309,7 @@ def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, suppor
         for batch in batches:
             for r in range(batch.num_rows):
                 take = lambda name: batch.column(name)[r].values.to_numpy(zero_copy_only=False)
-                codes = take("codes")
+                codes = load_codes(batch.column("path")[r].as_py())
                 size = int(codes.max()) + 2
                 ids = np.full(size, -1, np.int64)  # the last one stands for code -1
                 ids[take("place")] = take("id")
@@ -319,7 +341,8 @@ def _pass(coded: DataFrame, length: int, trie, whole: bool, extend: bool, suppor
                 yield from extensions([*words, ids[follow], none], np.minimum(n, support))
         yield from shards(totals)
 
-    return coded.mapInArrow(run, schema)
+    # What is read once only, all pairs or nothing but counts, goes to its shuffle without a file.
+    return written(coded, run, schema) if trie is not None and extend else coded.mapInArrow(run, schema)
 
 
 def _totals(found: DataFrame, length: int, trie) -> DataFrame:
@@ -346,13 +369,13 @@ def _totals(found: DataFrame, length: int, trie) -> DataFrame:
 
     rows = found.where("chunk is not null").select("chunk", "counts")
     dealt = rows.repartition("chunk").sortWithinPartitions("chunk")
-    return materialise(dealt.mapInArrow(run, ", ".join(f"{name} long" for name in names)))
+    return written(dealt, run, ", ".join(f"{name} long" for name in names))
 
 
 def _summed(found: DataFrame, keys: list[str], support: int) -> DataFrame:
     # Dealt out first: blocks send distinct phrases already, and one shuffle serves the sums.
     sums = found.select(*keys, "n").repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return materialise(sums.where(F.col("n") >= support).select(*keys))
+    return written(sums.where(F.col("n") >= support).select(*keys))
 
 
 def _unpacked(keys: DataFrame, length: int, trie) -> DataFrame:
@@ -367,7 +390,7 @@ def _unpacked(keys: DataFrame, length: int, trie) -> DataFrame:
             words = [*own.phrases[key // len(by_symbol)].T, by_symbol[key % len(by_symbol)]]
             yield pa.RecordBatch.from_arrays([pa.array(w) for w in words], names=names)
 
-    return materialise(keys.mapInArrow(run, ", ".join(f"{name} long" for name in names)))
+    return written(keys, run, ", ".join(f"{name} long" for name in names))
 
 
 def frequent_phrases(
@@ -394,7 +417,7 @@ def frequent_phrases(
             if not len(matrix):
                 continue
             trie = context.broadcast(Trie(matrix))
-            found = materialise(_pass(coded, length, trie, parts == 1, length < longest, support))
+            found = _pass(coded, length, trie, parts == 1, length < longest, support)
             sums.append(_totals(found, length, trie))
             if length < longest:
                 longer.append(found.where("chunk is null"))
@@ -472,23 +495,23 @@ def collocations(
     bytes of the phrase; an empty table, or one where nothing is frequent, gives no row. Other
     columns are left out. Memory follows the longest text.
     """
-    blocked = materialise(blocks(docs, lang, text, block_bytes))
+    blocked = blocks(docs, lang, text, block_bytes)
     totals = blocked.groupBy("lang").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")
     )
     pairs = blocked.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     vocabulary = pairs.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
-    frequent = materialise(
+    frequent = written(
         vocabulary.where(F.col("n") >= support).withColumn("id", F.monotonically_increasing_id())
     )
-    coded = materialise(_with_ids(blocked, frequent), rows_per_file=BLOCKS_PER_FILE)
+    coded = written(_with_ids(blocked, frequent), rows_per_file=BLOCKS_PER_FILE)
     found = frequent_phrases(coded, support, longest, trie_phrases)
 
     counts = frequent.select(F.array("id").alias("p"), "n", "lang")
     for length, part in enumerate(found, 2):
         words = F.array(*_names(length)).alias("p")
         counts = counts.union(part.select(words, "n", F.lit(None).cast("string").alias("lang")))
-    counts = materialise(counts)
+    counts = written(counts)
     phrases = counts.where(F.size("p") > 1).select("p", "n")
     best = _best_cuts(phrases.where(F.size("p") > 2), counts)
     if found:
@@ -502,7 +525,7 @@ def collocations(
     group = F.pmod(F.xxhash64("p"), F.lit(FAN_IN))
     first = lambda df, *keys: df.withColumn("at", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= top)
     near = first(first(kept.drop("longer").withColumn("g", group), "lang", "g"), "lang").drop("g", "at")
-    spelled = _spelled(materialise(near), frequent.select("id", "word"))
+    spelled = _spelled(written(near), frequent.select("id", "word"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order, F.asc("phrase")))
     ranked = spelled.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WHITE_SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{WHITE_SPACE}]+"
 SLICE_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +47,81 @@ def materialise(df: DataFrame, *partition_by: str, rows_per_file: int = 0) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def opened(uri: str):
+    """(file system, path) of a URI, or of a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", uri))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder."""
+    folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    system, path = opened(folder)
+    system.create_dir(path, recursive=True)
+    return folder
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Remove the shuffle files of frames that nobody holds any more. Spark does so when the driver's
+    JVM collects its garbage, which may be after all steps of a job."""
+    spark._jvm.System.gc()
+
+
+def written(
+    df: DataFrame, run: Callable[[Batches], Batches] | None = None, schema: str = "", rows_per_file: int = 0
+) -> DataFrame:
+    """`materialise` of `df`, or of `df.mapInArrow(run, schema)`, by files that the Python workers write.
+
+    What `run` makes does not pass through the executors' JVM, and for Spark's own files the JVM starts
+    processes that set their permissions, each as large as the JVM until it has begun. A file is read
+    only if the task that wrote it came to its end.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = df.sparkSession
+    drop_shuffles(spark)
+    shape = StructType.fromDDL(schema) if schema else df.schema
+    folder, kinds = new_folder(spark), to_arrow_schema(shape)
+
+    def save(batches: Batches) -> Batches:
+        from pyarrow import parquet
+
+        system, path = opened(folder)
+        held: list[pa.RecordBatch] = []
+        writer, name, rows = None, "", 0
+
+        def flush() -> None:
+            if held:
+                writer.write_table(pa.Table.from_batches(held).cast(kinds))
+                held.clear()
+
+        def close() -> pa.RecordBatch:
+            nonlocal writer, rows
+            flush()
+            writer.close()
+            writer, rows = None, 0
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+        for batch in run(batches) if run else batches:
+            step = rows_per_file or max(batch.num_rows, 1)
+            for start in range(0, batch.num_rows, step):
+                if writer is None:
+                    name = f"{uuid.uuid4().hex}.parquet"
+                    writer = parquet.ParquetWriter(f"{path}/{name}", kinds, filesystem=system, compression="zstd")
+                held.append(batch.slice(start, step))
+                rows += held[-1].num_rows
+                if sum(b.nbytes for b in held) >= GROUP_BYTES:
+                    flush()
+                if rows_per_file and rows >= rows_per_file:
+                    yield close()
+        if writer is not None:
+            yield close()
+
+    paths = [row["path"] for row in df.mapInArrow(save, "path string").collect()]
+    return spark.read.schema(shape).parquet(*paths) if paths else spark.createDataFrame([], shape)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` is called so."""
     taken = {column.lower() for column in df.columns}

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from edges import documents
 
-from kermesse.llm import collocations
+from kermesse.llm import collocations, common
 
 LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -119,3 +119,30 @@ def test_nulls_clashes_nothing_frequent_and_an_empty_table(spark):
     assert found == plain(rows, support=3)
     assert collocations.collocations(docs.limit(0)).collect() == []
     assert collocations.collocations(docs.where("doc_id = 8")).collect() == []
+
+
+def test_codes_stay_in_files_of_the_workers(spark):
+    rows = [("a", " ".join(f"w{i % 90}" for i in range(20_000))), (None, "x. y"), ("a", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(1)
+    found = collocations.blocks(docs, "lang", "text").orderBy("lang").collect()
+    texts = {"a": [rows[0][1], None], "und": ["x. y"]}
+    for row in found:
+        codes, words, counts = collocations.word_codes(pa.array(texts[row.lang], pa.string()))
+        assert collocations.load_codes(row.path).tolist() == codes.tolist()
+        assert (row.words, row.counts) == (words.to_pylist(), counts.tolist())
+    # What passes through the JVM is as long as the distinct words, not as the text.
+    assert [len(row.words) for row in found] == [90, 2] and all("codes" not in row for row in found)
+
+
+def test_written_rows_come_back_without_files_of_the_jvm(spark):
+    from pathlib import Path
+
+    df = spark.range(0, 50, 1, 3).selectExpr("id", "if(id % 7 = 0, null, array(id, null)) l", "cast(id as string) s")
+    for kept in (common.written(df), common.written(df, rows_per_file=4)):
+        assert kept.dtypes == df.dtypes and sorted(kept.collect()) == sorted(df.collect())
+    files = [Path(f.removeprefix("file://")) for f in kept.inputFiles()]
+    # 16, 17 and 17 rows in a partition; Spark's own writer leaves checksums beside its files.
+    assert len(files) == 4 + 5 + 5 and not list(files[0].parent.glob(".*.crc"))
+    doubled = common.written(df, lambda batches: (b.select(["id"]) for b in batches), "id long")
+    assert sorted(r.id for r in doubled.collect()) == list(range(50))
+    assert common.written(df.where("id < 0")).collect() == [] and common.written(df.limit(0)).dtypes == df.dtypes
