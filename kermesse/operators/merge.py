@@ -8,12 +8,18 @@ Two aggregations, both with partial (map-side) aggregation, meet in one join:
 
 So however many rows a key has, a task sees at most its distinct items - the content of the
 merged row itself - never the group.
+
+Both carry a rank beside every value and item, which costs several times the row. Where asked, keys are
+counted first: a row whose key no other row has is its own merged row and is not shuffled, and where no
+key has many rows, the others are dealt by key as they are, once, and aggregated where they arrive.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +32,10 @@ LONG_KEY = 64
 # Parts in which the items of the group without a key are put in order, if asked.
 SPREAD = 64
 NO_KEY = "null"
+# Words of 64 bits, by hash, that flag the keys of several rows: 2 MB.
+FLAG_WORDS = 1 << 18
+# Rows that a key may have where rows are dealt by key before they are aggregated.
+MANY = 10_000
 NULL_KEYS = ("group", "spread", "apart")
 
 Target = tuple[int, str, T.DataType]  # number of a gathered column, where its values are, their type
@@ -159,6 +169,7 @@ def merge_by_key(
     gather_text: Mapping[str, str] | None = None,
     normalised: bool = False,
     null_keys: str = "group",
+    count_first: bool = False,
 ) -> DataFrame:
     """One row per key; null keys form one group.
 
@@ -170,7 +181,8 @@ def merge_by_key(
     whole columns are null already. `null_keys`: with "group" the rows without a key become one row
     as any other; with "spread" too, but its items, which may be a large part of all, are put in
     order in SPREAD parts before they meet; with "apart" they are left out, and `keyless_rows` has
-    them for a table of their own.
+    them for a table of their own. `count_first`: a job counts the rows of each key, and what is
+    shuffled follows from it; the result is the same.
     """
     if null_keys not in NULL_KEYS:
         raise ValueError(f"null_keys must be one of {NULL_KEYS}")
@@ -183,6 +195,20 @@ def merge_by_key(
     work, forward, backward = _ranked(df, key, types, order_by, tie_break)
     lists, maps, values = _kinds(types, key, tie_break, base_only)
     scalars = [n for n in values if n not in lists and n not in maps]
+    order = [key, *values, *gather, *gather_text]
+
+    lone = None
+    if count_first:
+        several, most = _counted(work, types, lists, maps)
+        if several is not False:
+            rows = work if several is None else work.where(~several)
+            cells = _as_merged(types, lists, maps, scalars, base_only, gather, gather_text, normalised)
+            lone = rows.select(*[cells.get(n, F.col(f"`{n}`")).alias(n) for n in order])
+            if several is None:
+                return lone
+            work = work.where(several)
+        if most <= MANY:
+            work = work.repartition("_key")
 
     rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(forward)])
     aggs = [F.max_by(F.col(key), F.col("_rank")).alias(key)]
@@ -213,8 +239,89 @@ def merge_by_key(
         items = _distinct_items(exploded, targets, of_maps, spread)
         # Every key of `items` is a key of `plain`, so a left join keeps exactly one row per key.
         joined = plain.join(items, "_key", "left")
-    order = [key, *values, *gather, *gather_text]
-    return joined.select(*[shape.get(n, F.col(f"`{n}`")).alias(n) for n in order])
+    merged = joined.select(*[shape.get(n, F.col(f"`{n}`")).alias(n) for n in order])
+    return merged if lone is None else lone.unionByName(merged)
+
+
+def _counted(
+    work: DataFrame, types: Mapping[str, T.DataType], lists: Sequence[str], maps: Sequence[str]
+) -> tuple[Column | bool | None, int]:
+    """Which rows need a merge, and the rows of the most frequent key. Which rows: a condition that
+    holds for all that share their key, or hold an item twice, and for some more whose hashes meet;
+    None if there is no such row; False if there are so many that they are not worth telling apart."""
+    twice = F.lit(False)
+    for n in lists:
+        element, size = types[n].elementType, F.size(f"`{n}`")
+        keys = F.transform(F.col(f"`{n}`"), lambda v: comparison_key(v, element))
+        twice |= F.coalesce((size > 1) & (F.size(F.array_distinct(keys)) < size), F.lit(False))
+    for n in maps:
+        if not isinstance(types[n].keyType, T.StringType):
+            keys = F.transform(F.map_keys(F.col(f"`{n}`")), lambda k: k.cast("string"))
+            twice |= F.coalesce(F.size(F.array_distinct(keys)) < F.size(f"`{n}`"), F.lit(False))
+
+    def flag(h: Column) -> tuple[Column, Column]:
+        bits = F.shiftright(h, FLAG_WORDS.bit_length() - 1)
+        return F.pmod(h, F.lit(FLAG_WORDS)).cast("int"), F.pmod(bits, F.lit(64)).cast("int")
+
+    word, bit = flag(F.col("h"))
+    counts = work.select(F.xxhash64("_key").alias("h"), twice.alias("t")).groupBy("h")
+    counts = counts.agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"))
+    flagged = (F.col("n") > 1) | F.col("t")
+    # The keys of one row each are one group, which a task counts before the shuffle.
+    rows = counts.select("n", F.when(flagged, word).alias("w"), F.when(flagged, bit).alias("b"))
+    found = rows.groupBy("w").agg(
+        F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"),
+        F.sum("n").alias("rows"),
+        F.max("n").alias("most"),
+    )
+    table = found.toArrow()
+    most = max(table.column("most").to_pylist(), default=0)
+    total = sum(table.column("rows").to_pylist())
+    table = table.filter(table.column("w").is_valid())
+    if not len(table):
+        return None, most
+    words = np.zeros(FLAG_WORDS, np.int64)
+    words[table.column("w").to_numpy()] = table.column("bits").to_numpy()
+    single = total - sum(table.column("rows").to_pylist())
+    clear = 1 - int(np.unpackbits(words.view(np.uint8)).sum()) / (64 * FLAG_WORDS)
+    if 2 * single * clear < total:
+        return False, most
+    flags = pa.table({"flags": pa.ListArray.from_arrays(pa.array([0, FLAG_WORDS], pa.int32()), pa.array(words))})
+    word, bit = flag(F.xxhash64("_key"))
+    return F.getbit(F.get(work.sparkSession.createDataFrame(flags).scalar(), word), bit) == 1, most
+
+
+def _as_merged(
+    types: Mapping[str, T.DataType],
+    lists: Sequence[str],
+    maps: Sequence[str],
+    scalars: Sequence[str],
+    base_only: Sequence[str],
+    gather: Mapping[str, str],
+    gather_text: Mapping[str, str],
+    normalised: bool,
+) -> dict[str, Column]:
+    """The columns, as merged, of a row that is alone with its key and holds no item twice."""
+    cells = {n: F.when(F.size(f"`{n}`") > 0, F.col(f"`{n}`")) for n in lists}
+    for n in maps:
+        value = types[n].valueType
+        kept = F.map_filter(F.col(f"`{n}`"), lambda _, v: ~is_missing(v, value))
+        cells[n] = F.when(F.size(kept) > 0, kept)
+    for n in scalars:
+        dtype, c = types[n], F.col(f"`{n}`")
+        if n in base_only:
+            continue
+        if isinstance(dtype, T.StructType):
+            fields = [present(c.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+            cells[n] = present(F.struct(*fields), dtype)
+        elif not normalised:
+            cells[n] = present(c, dtype)
+    texts = {t: valid_text(F.col(f"`{n}`")) for t, n in gather_text.items()}
+    for t, c in {**{t: F.col(f"`{n}`") for t, n in gather.items()}, **texts}.items():
+        cells[t] = F.when(c.isNotNull(), F.array(c))
+    return cells
+
+
 
 
 def _exploded_items(

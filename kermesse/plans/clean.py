@@ -60,6 +60,7 @@ def merge_events(raw: DataFrame, *, null_keys: str = "group") -> DataFrame:
         gather_text={"agenda_titles": "agenda_title"} if "agenda_title" in has_agenda else None,
         normalised=True,
         null_keys=null_keys,
+        count_first=True,
     )
 
 

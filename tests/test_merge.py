@@ -226,3 +226,39 @@ def test_items_have_a_value_field_per_type_and_are_sorted_without_a_comparer(spa
     plan = merge_by_key(df, "uid", **OPTIONS)._jdf.queryExecution().optimizedPlan().toString()
     assert "v0" in plan and "v1" in plan and "v2" not in plan
     assert "sort_array(" in plan and "array_sort(" not in plan
+
+
+def test_counting_first_changes_no_result(spark, monkeypatch):
+    """Keys of one row, of several and of none; items twice in a row; rows dealt by key and not."""
+    from kermesse.operators import merge
+
+    lone = [(f"x{i}", *r[1:]) for i, r in enumerate(_random_rows(5, 200, 10))]
+    twice = ("y", DAY(1), 1, "t", ["a", " a", "b"], [("1", None), ("1", None)], {"k": "", "l": "v"}, (" ", None), "g")
+    tables = [lone, [*lone, twice], [*lone, twice, *_random_rows(6, 60, 9)], _random_rows(7, 200, 10), [], [(None, *twice[1:])]]
+    show = lambda d: sorted(map(repr, d.select(*[c for c in d.columns if c != "flags"], F.to_json("flags")).collect()))
+    for rows in tables:
+        df = frame(spark, rows)
+        for normalised in (False, True):
+            options = {**OPTIONS, "normalised": normalised}
+            want = show(merge_by_key(df, "uid", **options))
+            for many in (10_000, 0):
+                monkeypatch.setattr(merge, "MANY", many)
+                found = merge_by_key(df, "uid", **options, count_first=True)
+                assert found.dtypes == merge_by_key(df, "uid", **options).dtypes
+                assert show(found) == want
+
+
+def test_rows_alone_with_their_key_are_not_shuffled(spark):
+    df = frame(spark, [(f"x{i}", *r[1:]) for i, r in enumerate(_random_rows(8, 60, 10))])
+    alone = df.withColumn("tags", F.array(F.lit("a"), F.col("uid"))).drop("times")
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(merge_by_key(alone, "uid", **OPTIONS, count_first=True)) == 0
+        # Dealt by key once for values and once for items, where partial results would take three.
+        several = merge_by_key(alone.union(alone), "uid", **OPTIONS, count_first=True)
+        assert exchanges(several) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
